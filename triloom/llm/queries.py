@@ -8,12 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, {LOWER_SQL.format("coalesce(text, '')")} AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(read(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("body", "UTF-8"), 256).alias("kept_sha256"))
@@ -33,11 +45,13 @@ FROM m GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_exact_dedup": op6_exact_dedup,
         "op7_line_dedup": op7_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_exact_dedup": OP6_SQL,
         "op7_line_dedup": OP7_SQL,
     }
