@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .mixing import mix
 
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -43,10 +44,17 @@ FROM m GROUP BY doc_id
 """
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix(read(spark, sf_dir, "documents"))
+    of = spark.createDataFrame([(x["src"], x["size"], x["target"]) for x in plan.sources], "src string, source_size long, target double")
+    return plan.taken().join(of, "src").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_exact_dedup": op6_exact_dedup,
         "op7_line_dedup": op7_line_dedup,
+        "op9_mixing": op9_mixing,
     }
 
 
