@@ -11,11 +11,43 @@ from .common import read
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
+from .sharding import shuffle_into_shards
+from .warc import archive
 
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(read(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_SHA1_BITS = "CAST('0x' || substr(h, {}, 5) AS BIGINT)"
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({} // {}) % 32 AS BIGINT) + 1, 1)"
+BASE32_SQL = " || ".join(_LETTER.format(_SHA1_BITS.format(5 * i + 1), 32**j) for i in range(8) for j in (3, 2, 1, 0))
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT b, max(page_id) AS first_id FROM p GROUP BY b)
+SELECT page_id, CAST(strlen(p.b) AS BIGINT) AS payload_bytes, {BASE32_SQL} AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM p JOIN g ON p.b = g.b
+"""
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("row.text", F.lit(""))
+    return shuffle_into_shards(read(spark, sf_dir, "documents")).select(
+        "row.doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
@@ -52,6 +84,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc": op2_warc,
+        "op4_sharding": op4_sharding,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_line_dedup": op7_line_dedup,
         "op9_mixing": op9_mixing,
@@ -60,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": OP2_SQL,
         "op6_exact_dedup": OP6_SQL,
         "op7_line_dedup": OP7_SQL,
     }
