@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import read
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -76,6 +77,14 @@ FROM m GROUP BY doc_id
 """
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.ranks_from(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix(read(spark, sf_dir, "documents"))
     of = spark.createDataFrame([(x["src"], x["size"], x["target"]) for x in plan.sources], "src string, source_size long, target double")
@@ -88,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": op4_sharding,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_line_dedup": op7_line_dedup,
+        "op8_bpe": op8_bpe,
         "op9_mixing": op9_mixing,
     }
 
