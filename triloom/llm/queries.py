@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, language_id
 from .common import read
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -19,6 +19,12 @@ SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language_id.detect(docs, language_id.fit(docs), ["doc_id"])
+    return found.select("row.doc_id", language_id.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(read(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -93,6 +99,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_warc": op2_warc,
         "op4_sharding": op4_sharding,
         "op6_exact_dedup": op6_exact_dedup,
