@@ -94,7 +94,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     suspects = blocks.join(parts, "block").mapInArrow(_suspects, "id long, fp long").distinct()
     suspects = materialise(suspects, "suspects")
     texts = pairs.mapInArrow(_with_text, "id long, fp long, norm binary").alias("t")
-    marked = texts.join(suspects.alias("s"), F.col("t.id").eqNullSafe(F.col("s.id")) & (F.col("t.fp") == F.col("s.fp")), "left_semi")
+    marked = texts.join(suspects.hint("merge").alias("s"), F.col("t.id").eqNullSafe(F.col("s.id")) & (F.col("t.fp") == F.col("s.fp")), "left_semi")
     groups = (
         marked.groupBy("fp", "norm")
         .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
