@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
 from .sharding import shuffle_into_shards
+from .substring_dedup import substring_dedup
 from .warc import archive
 
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -97,6 +98,32 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.taken().join(of, "src").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(read(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_sentences", "n_removed", F.coalesce("body", F.lit("")).alias("text"))
+
+
+_SPACE_RE = "[ \\t\\n\\x0b\\f\\r]"
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?]{_SPACE_RE}+|\\n+)', '\\1' || chr(30), 'g'), chr(30)) AS ps FROM documents),
+p AS (SELECT doc_id, i, ps[i] AS piece, trim(regexp_replace({LOWER_SQL.format("ps[i]")}, '{_SPACE_RE}+', ' ', 'g')) AS s
+      FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM d)),
+s AS (SELECT doc_id, i, s, row_number() OVER w - 1 AS pos, len(string_split(s, ' ')) AS w1,
+             lead(s) OVER w AS s2, lead(s, 2) OVER w AS s3 FROM p WHERE s <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT *, s || chr(30) || s2 AS k2, s || chr(30) || s2 || chr(30) || s3 AS k3, w1 + len(string_split(s2, ' ')) AS w2,
+             w1 + len(string_split(s2, ' ')) + len(string_split(s3, ' ')) AS w3 FROM s),
+r AS (SELECT doc_id, pos, 1 AS n, s AS k FROM k WHERE w1 >= 40 UNION ALL SELECT doc_id, pos, 2, k2 FROM k WHERE w2 >= 24
+      UNION ALL SELECT doc_id, pos, 3, k3 FROM k WHERE w3 >= 12),
+o AS (SELECT doc_id, pos, n, row_number() OVER (PARTITION BY n, k ORDER BY doc_id, pos) AS occ FROM r),
+x AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM o WHERE occ > 1),
+m AS (SELECT p.doc_id, p.i, p.piece, s.pos IS NOT NULL AS is_s, x.pos IS NOT NULL AS gone
+      FROM p LEFT JOIN s ON p.doc_id = s.doc_id AND p.i = s.i LEFT JOIN x ON s.doc_id = x.doc_id AND s.pos = x.pos)
+SELECT doc_id, CAST(sum(CAST(is_s AS INT)) AS BIGINT) AS n_sentences, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed,
+       coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS text
+FROM m GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -106,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": op7_line_dedup,
         "op8_bpe": op8_bpe,
         "op9_mixing": op9_mixing,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
@@ -114,4 +142,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": OP2_SQL,
         "op6_exact_dedup": OP6_SQL,
         "op7_line_dedup": OP7_SQL,
+        "op10_substring_dedup": OP10_SQL,
     }
