@@ -12,6 +12,7 @@ from .common import read
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
+from .ngram_jaccard import jaccard_components
 from .sharding import shuffle_into_shards
 from .substring_dedup import substring_dedup
 from .warc import archive
@@ -43,6 +44,22 @@ FROM p JOIN g ON p.b = g.b
 """
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+OP3_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^ \\t\\n\\x0b\\f\\r]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) m ON m.x = d.doc_id
+"""
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("row.text", F.lit(""))
     return shuffle_into_shards(read(spark, sf_dir, "documents")).select(
@@ -128,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_warc": op2_warc,
+        "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_sharding": op4_sharding,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_line_dedup": op7_line_dedup,
@@ -140,6 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": OP2_SQL,
+        "op3_ngram_jaccard": OP3_SQL,
         "op6_exact_dedup": OP6_SQL,
         "op7_line_dedup": OP7_SQL,
         "op10_substring_dedup": OP10_SQL,
