@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id
-from .common import read
+from . import audio, bpe, language_id
+from .common import materialise, read
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
@@ -73,6 +73,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _melody(vector) -> object:
+    return audio.read_wav(audio.melody(vector))
+
+
+def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no recordings: each vector of embeddings is rendered as a WAV file, a note per value."""
+    prints = materialise(audio.fingerprints(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", _melody), "prints")
+    return audio.align(prints).withColumnRenamed("id", "vec_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
@@ -147,6 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_sharding": op4_sharding,
+        "op5_audio": op5_audio,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_line_dedup": op7_line_dedup,
         "op8_bpe": op8_bpe,
