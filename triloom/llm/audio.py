@@ -21,10 +21,10 @@ FRAME, HOP = 512, 128
 LOW_HZ, HIGH_HZ = 60.0, 1_800.0
 #: Frames over which pitch classes are smoothed.
 SMOOTH = (0.25, 0.75, 1.0, 0.75, 0.25)
-#: A filter's value falls into one of four steps at -STEP, 0 and STEP.
-STEP = 0.08
+#: A filter's value, the log ratio of two mean energies, falls into one of four steps at -STEP, 0 and STEP.
+STEP, FLOOR = 0.6, 0.02
 #: Equal items at one offset that make a candidate, and the largest share of differing bits of a match.
-MIN_VOTES, MAX_BIT_ERROR = 8, 0.2
+MIN_VOTES, MAX_BIT_ERROR = 3, 0.2
 MIN_OVERLAP = 16
 
 
@@ -70,22 +70,20 @@ def pack(frames: np.ndarray) -> np.ndarray:
     t, out = np.arange(n), np.zeros(n, np.uint32)
     for i, (kind, p, height, width) in enumerate(FILTERS):
         q, r, mid, third, half = p + height, p + height // 2, width // 2, width // 4, height // 4
-        whole = _area(image, t, (0, width), (p, q))
+        whole, size = _area(image, t, (0, width), (p, q)), width * height
         if kind == 0:  # these pitch classes against the others
-            a, b = whole, _area(image, t, (0, width), (0, 12)) - whole
+            a, n_a, rest, n_rest = whole, size, _area(image, t, (0, width), (0, 12)) - whole, 12 * width - size
         elif kind == 1:  # lower against upper
-            a = _area(image, t, (0, width), (p, r))
-            b = whole - a
+            a, n_a = _area(image, t, (0, width), (p, r)), width * (r - p)
         elif kind == 2:  # before against after
-            a = _area(image, t, (0, mid), (p, q))
-            b = whole - a
+            a, n_a = _area(image, t, (0, mid), (p, q)), mid * height
         elif kind == 3:  # one diagonal against the other
-            a = _area(image, t, (0, mid), (p, r)) + _area(image, t, (mid, width), (r, q))
-            b = whole - a
+            a, n_a = _area(image, t, (0, mid), (p, r)) + _area(image, t, (mid, width), (r, q)), mid * height
         else:  # middle against rim
-            a = _area(image, t, (third, width - third), (p + half, q - half))
-            b = whole - a
-        value = np.log1p(a) - np.log1p(b)
+            a, n_a = _area(image, t, (third, width - third), (p + half, q - half)), (width - 2 * third) * (height - 2 * half)
+        if kind:
+            rest, n_rest = whole - a, size - n_a
+        value = np.log(np.maximum(a, 0) / n_a + FLOOR) - np.log(np.maximum(rest, 0) / n_rest + FLOOR)
         step = (value > -STEP).astype(np.uint32) + (value > 0) + (value > STEP)
         out |= (step ^ (step >> 1)).astype(np.uint32) << np.uint32(2 * i)
     return out.view(np.int32)
@@ -110,12 +108,12 @@ def write_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
     return out.getvalue()
 
 
-def melody(vector: list[float] | None, note_s: float = 0.08) -> bytes | None:
-    """A vector as a recording: a note per value, higher for larger values, a semitone per 0.02."""
+def melody(vector: list[float] | None, note_s: float = 0.08, semitone: float = 0.05) -> bytes | None:
+    """A vector as a recording: a note per value, higher for larger values."""
     if vector is None:
         return None
     v = np.nan_to_num(np.array([np.nan if x is None else x for x in vector], np.float64), nan=0.0, posinf=1.0, neginf=-1.0)
-    hz = 440.0 * 2 ** (np.clip(np.rint(v / 0.02), -24, 24) / 12)
+    hz = 440.0 * 2 ** (np.clip(np.rint(v / semitone), -24, 24) / 12)
     phase = np.cumsum(np.repeat(hz, int(RATE * note_s))) * (2 * np.pi / RATE)
     return write_wav(0.5 * np.sin(phase))
 
