@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .common import materialise, partitions
 
 #: Characters of text in a block, distinct words whose merges one index replays together, documents per owner of words.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 32_000_000
 REPLAY_WORDS = 200_000
-DOCS_PER_OWNER = 2_000
+DOCS_PER_OWNER = 8_000
 #: A space before a non-space starts a word of its own whatever surrounds it: texts are cut there first.
 _CUT, _HARD = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
 
@@ -156,23 +156,41 @@ def _ends(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
+#: Values from here on take two more bytes; the largest that three bytes hold.
+_DIRECT, _LARGEST = 224, 224 + (32 << 16) - 1
+
+
 def _packed(x: np.ndarray) -> bytes:
-    """Byte planes of uint32 values, compressed: most values are small."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    """Compressed unsigned integers, most of them small: a byte each, two more for large ones, each kind of byte by itself."""
+    if len(x) and int(x.max()) > _LARGEST:
+        return b"\1" + zstandard.ZstdCompressor(level=3).compress(x.astype("<u4").tobytes())
+    large = x >= _DIRECT
+    rest = x[large].astype(np.int64) - _DIRECT
+    first = x.astype(np.uint8)
+    first[large] = _DIRECT + (rest >> 16)
+    kinds = first, (rest >> 8 & 255).astype(np.uint8), (rest & 255).astype(np.uint8)
+    return b"\0" + len(x).to_bytes(8, "little") + zstandard.ZstdCompressor(level=3).compress(b"".join(k.tobytes() for k in kinds))
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    if x[0]:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), "<u4").astype(np.int64)
+    n = int.from_bytes(x[1:9], "little")
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(x[9:]), np.uint8).astype(np.int64)
+    out, more = data[:n], data[n:].reshape(2, -1)
+    large = out >= _DIRECT
+    out[large] = _DIRECT + ((out[large] - _DIRECT) << 16) + (more[0] << 8) + more[1]
+    return out
 
 
-_BLOCKS = "block long, owner int, ids array<long>, docs binary, chunks binary, chunk_words binary, chunk_sizes binary, words binary, word_sizes binary"
+_BLOCKS = "block long, owner int, ids array<long>, docs binary, chunks binary, chunk_words binary, chunk_sizes binary, word_owners binary, words binary, word_sizes binary"
 _FIELDS = pa.schema(
-    [("block", pa.int64()), ("owner", pa.int32()), ("ids", pa.list_(pa.int64()))] + [(x, pa.binary()) for x in ("docs", "chunks", "chunk_words", "chunk_sizes", "words", "word_sizes")]
+    [("block", pa.int64()), ("owner", pa.int32()), ("ids", pa.list_(pa.int64()))] + [(x, pa.binary()) for x in ("docs", "chunks", "chunk_words", "chunk_sizes", "word_owners", "words", "word_sizes")]
 )
 
 
 def _block(rows: list[tuple[int | None, str]], pattern: str, owners: int) -> pa.RecordBatch:
-    """Documents as numbers of chunks, chunks as numbers of words, words ordered by owner: row 0, then a message per owner."""
+    """Documents as numbers of chunks, chunks as numbers of words (0: the next new word, else its number + 1), owners of words: row 0; then a message per owner."""
     number: dict[str, int] = {}
     sizes, sequence = [], []
     for _, text in rows:
@@ -187,26 +205,33 @@ def _block(rows: list[tuple[int | None, str]], pattern: str, owners: int) -> pa.
             if p not in number:
                 number[p] = len(number)
         sequence.extend(map(number.__getitem__, rest))
+    chunks = np.array(sequence, np.int64)
+    often = np.argsort(-np.bincount(chunks, minlength=len(number)), kind="stable")  # frequent chunks get small numbers
+    rank = np.empty(len(often), np.int64)
+    rank[often] = np.arange(len(often))
+    names = list(number)
     find = regex.compile(pattern).findall
     word_number: dict[str, int] = {}
-    chunk_words, chunk_sizes = [], []
-    for chunk in number:
+    refs, chunk_sizes = [], []
+    for i in often.tolist():
+        chunk = names[i]
         got = find(chunk[1:] if chunk[:1] == "\n" else " " + chunk)
         chunk_sizes.append(len(got))
         for w in got:
-            chunk_words.append(word_number.setdefault(w, len(word_number)))
+            refs.append(word_number.setdefault(w, len(word_number)))
+    refs = np.array(refs, np.int64)
+    is_new = refs > np.concatenate([[-1], np.maximum.accumulate(refs)[:-1]]) if len(refs) else refs
     words = [w.encode("utf-8", "surrogatepass") for w in word_number]
     owner = np.array([xxhash.xxh32_intdigest(w) % owners for w in words], np.int64)
     order = np.argsort(owner, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
     block = xxhash.xxh3_64_intdigest(repr((rows[0][0], rows[-1][0], len(rows), sum(len(t) for _, t in rows), rows[0][1][:99])).encode()) >> 1
-    out = [(block, -1, [i for i, _ in rows], _packed(np.array(sizes, np.uint32)), _packed(np.array(sequence, np.uint32)), _packed(place[np.array(chunk_words, np.int64)]), _packed(np.array(chunk_sizes, np.uint32)), None, None)]
+    own = (np.array(sizes, np.int64), rank[chunks], np.where(is_new, 0, refs + 1), np.array(chunk_sizes, np.int64), owner)
+    out = [(block, -1, [i for i, _ in rows], *map(_packed, own), None, None)]
     sorted_owner = owner[order]
     starts = np.flatnonzero(np.diff(sorted_owner, prepend=-1))
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
         own = [words[i] for i in order[a:b].tolist()]
-        out.append((block, int(sorted_owner[a]), None, None, None, None, None, b"".join(own), _packed(np.array([len(w) for w in own], np.uint32))))
+        out.append((block, int(sorted_owner[a]), *[None] * 6, zstandard.ZstdCompressor(level=9).compress(b"".join(own)), _packed(np.array([len(w) for w in own], np.int64))))
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_FIELDS)], schema=_FIELDS)
 
 
@@ -248,7 +273,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
         def flush() -> Iterator[pa.RecordBatch]:
             cut = []
             for block, owner, words, word_sizes in held:
-                ends = _ends(_unpacked(word_sizes)).tolist()
+                ends, words = _ends(_unpacked(word_sizes)).tolist(), zstandard.ZstdDecompressor().decompress(words)
                 cut.append((block, owner, [words[a:b] for a, b in zip(ends, ends[1:], strict=False)]))
             new = list(dict.fromkeys(w for _, _, ws in cut for w in ws if w not in known))
             if len(known) + len(new) > 4 * REPLAY_WORDS:
@@ -266,7 +291,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
         for batch in batches:
             for row in zip(*[batch.column(c).to_pylist() for c in ("block", "owner", "words", "word_sizes")], strict=True):
                 held.append(row)
-                n += len(row[2])
+                n += 2 * len(row[2])  # compressed
                 if n >= 8 * REPLAY_WORDS:
                     yield from flush()
                     held, n = [], 0
@@ -283,13 +308,17 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 own = sorted(row["parts"] or [], key=lambda x: x["owner"])
-                empty = [np.zeros(0, np.uint32)]
+                empty = [np.zeros(0, np.int64)]
                 word_ends = _ends(np.concatenate([_unpacked(x["sizes"]) for x in own] or empty))
                 word_ids = np.concatenate([_unpacked(x["word_ids"]) for x in own] or empty)
                 chunk_sizes = _unpacked(row["chunk_sizes"])
-                per_word, chunk_ids = ragged(word_ends, word_ids, _unpacked(row["chunk_words"]).astype(np.int64))
+                refs, word_owners = _unpacked(row["chunk_words"]), _unpacked(row["word_owners"])
+                refs = np.where(refs == 0, np.cumsum(refs == 0) - 1, refs - 1)
+                place = np.empty(len(word_owners), np.int64)
+                place[np.argsort(word_owners, kind="stable")] = np.arange(len(word_owners))
+                per_word, chunk_ids = ragged(word_ends, word_ids, place[refs])
                 chunk_ends = _ends(per_word)[_ends(chunk_sizes)]
-                chunks, doc_ends = _unpacked(row["chunks"]).astype(np.int64), _ends(_unpacked(row["docs"])).tolist()
+                chunks, doc_ends = _unpacked(row["chunks"]), _ends(_unpacked(row["docs"])).tolist()
                 done = 0
                 while done < len(row["ids"]):  # about 300,000 chunks at a time
                     upto = done + 1
@@ -309,7 +338,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
                     )
                     done = upto
 
-    bodies = made.where("owner < 0").select("block", "ids", "docs", "chunks", "chunk_words", "chunk_sizes")
+    bodies = made.where("owner < 0").select("block", "ids", "docs", "chunks", "chunk_words", "chunk_sizes", "word_owners")
     return bodies.hint("merge").join(parts, "block", "left").mapInArrow(tokens, "id long, n_tokens long, ids binary, decoded binary")
 
 
