@@ -23,8 +23,8 @@ LOW_HZ, HIGH_HZ = 60.0, 1_800.0
 SMOOTH = (0.25, 0.75, 1.0, 0.75, 0.25)
 #: A filter's value, the log ratio of two mean energies, falls into one of four steps at -STEP, 0 and STEP.
 STEP, FLOOR = 0.6, 0.02
-#: Equal items at one offset that make a candidate, and the largest share of differing bits of a match.
-MIN_VOTES, MAX_BIT_ERROR = 3, 0.2
+#: Pairs of items GAP apart that must be equal at one offset to make a candidate, and the largest share of differing bits of a match.
+MIN_VOTES, GAP, MAX_BIT_ERROR = 2, 2, 0.2
 MIN_OVERLAP = 16
 
 
@@ -138,21 +138,22 @@ def align(prints: DataFrame, every: int = 100, min_votes: int = MIN_VOTES, max_b
     """A row per recording: id, class_id, class_size, n_items, digest, matches.
 
     Recordings with equal items are a class, named after its smallest id; equal recordings match by that. Classes with a member
-    whose id every divides are queries. A query matches another class when, at the offset at which most of their items are
-    equal (of equal ones the smallest), at least min_votes are, at least min_overlap items overlap there and at most max_bit_error
-    of the bits of the overlap differ. ``matches`` stands in the row of the class's smallest id and lists the queries that the class matches: (query
+    whose id every divides are queries. A query matches another class when, at the offset at which most pairs of items GAP apart
+    are equal (of equal ones the smallest), at least min_votes are, at least min_overlap items overlap there and at most
+    max_bit_error of the bits of the overlap differ. ``matches`` stands in the row of the class's smallest id and lists the queries that the class matches: (query
     class, offset: position in the query less position here, bit_error), best first; it's null in other rows.
 
-    Recordings without items match nothing. Items meet through a join on the item, counted per (query, class, offset) with
-    map-side combining; a third of all recordings being equal is one class. Null ids are members but name no class.
+    Recordings without items match nothing. Pairs of items, which unlike recordings seldom share, meet through a join, counted
+    per (query, class, offset) with map-side combining; a third of all recordings being equal is one class. Null ids are members but name no class.
     """
     classes = prints.groupBy("digest").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.any_value("items").alias("items"), F.coalesce(F.bool_or(F.col("id") % every == 0), F.lit(False)).alias("query"))
     classes = materialise(classes, "classes")
     usable = classes.where("class_id is not null and size(items) > 0")
-    posted = usable.select("class_id", "query", F.posexplode("items").alias("pos", "item"))
-    asked = posted.where("query").select(F.col("class_id").alias("query_id"), F.col("pos").alias("query_pos"), "item")
+    places = F.when(F.size("items") > GAP, F.sequence(F.lit(0), F.size("items") - 1 - GAP))
+    posted = usable.select("class_id", "query", "items", F.explode(places).alias("pos")).select("class_id", "query", "pos", F.get("items", "pos").alias("item"), F.get("items", F.col("pos") + GAP).alias("later"))
+    asked = posted.where("query").select(F.col("class_id").alias("query_id"), F.col("pos").alias("query_pos"), "item", "later")
     votes = (
-        posted.join(asked, "item")
+        posted.join(asked, ["item", "later"])
         .where("class_id <> query_id")
         .groupBy("query_id", "class_id", F.expr("query_pos - pos").alias("offset"))
         .agg(F.count(F.lit(1)).alias("votes"))
