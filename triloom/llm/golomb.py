@@ -50,9 +50,9 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
 
 
-def messages(block: str, keys: np.ndarray, counts: np.ndarray, owner_bits: int) -> pa.RecordBatch:
+def messages(block: str, keys: np.ndarray, counts: np.ndarray, owner_bits: int, key_bits: int = KEY_BITS) -> pa.RecordBatch:
     """One message per owner that the block has keys for. keys: ascending, distinct."""
-    owners = (keys >> np.uint64(KEY_BITS - owner_bits)).astype(np.int64)
+    owners = (keys >> np.uint64(key_bits - owner_bits)).astype(np.int64)
     starts = np.flatnonzero(np.diff(owners, prepend=-1))
     ends = [*starts[1:].tolist(), len(keys)]
     out = [(int(owners[a]), block, encode(keys[a:b]), zlib.compress(counts[a:b].astype("<u4").tobytes(), 1)) for a, b in zip(starts.tolist(), ends, strict=True)]
@@ -84,8 +84,13 @@ def replies(sent: DataFrame) -> DataFrame:
 
 
 def joined_levels(parts: list[tuple[int, bytes]]) -> np.ndarray:
-    """A block's replies, in key order."""
-    return np.frombuffer(b"".join(zlib.decompress(x) for _, x in sorted(parts)), np.uint8)
+    """A block's replies, in key order; equal blocks have equal names and equal replies, of which one counts."""
+    return np.frombuffer(b"".join(zlib.decompress(x) for _, x in sorted(dict(parts).items())), np.uint8)
+
+
+def key_bits(n_keys: int, spare: int = 12) -> int:
+    """Bits of a key for so many keys, when one in 2**spare may seem to occur once more than it does."""
+    return min(60, max(32, n_keys.bit_length() + spare))
 
 
 def owner_bits(n_keys: int, per_owner: int = 1 << 19) -> int:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golomb
-from .common import join_groups, materialise, partitions
+from .common import join_groups, materialise, partitions, released
 from .components import components
 
 N_GRAM = 5
@@ -23,9 +23,9 @@ THRESHOLD = 75
 BLOCK_BYTES, BLOCK_ROWS, VERIFY_TEXTS = 12_000_000, 20_000, 2_000
 #: Tokens in up to 2**5 - 1 documents are indexed singly, in up to 2**9 - 1 as pairs, beyond as triples; sets below 16 tokens only singly.
 PAIR_LEVEL, TRIPLE_LEVEL, SMALL = 6, 10, 16
-#: Pivots that each bucket tries in a round; a round's last number holds for all later ones.
-PIVOTS = (1, 16, 128, 1024)
-_GOLD = 0x9E3779B97F4A7C15
+#: Nodes and tokens of a tile of a family.
+TILE_NODES, TILE_TOKENS = 2_000, 1_000_000
+_GOLD, _ODD, _MASK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
 
 
 class _Words(dict):
@@ -92,8 +92,12 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, threshold: int = THRESHOL
             else:
                 k = 2 if level < TRIPLE_LEVEL else 3
                 held = classes.setdefault((k, (token * _GOLD >> 40 & 0xFFFFFF) % kinds), [])
+                seed = (token * _GOLD + band * 4 + k) & _MASK
                 for others in combinations(held, k - 1):
-                    out.add(xxhash.xxh3_64_intdigest(np.array([band, k, *others, token], np.uint64).tobytes()))
+                    h = seed
+                    for x in others:
+                        h = (h ^ (h >> 31) ^ x) * _ODD & _MASK
+                    out.add(h)
                 held.append(token)
                 need -= len(held) >= k
             if need <= 0:
@@ -101,31 +105,23 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, threshold: int = THRESHOL
     return out
 
 
-_BLOCK = "owner long, block string, keys binary, counts binary, ids array<long>, sizes array<long>, sets array<binary>, texts binary, lengths array<long>"
-_FIELDS = pa.schema(
-    [("owner", pa.int64()), ("block", pa.string()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("sets", pa.list_(pa.binary())), ("texts", pa.binary()), ("lengths", pa.list_(pa.int64()))]
-)
-
-
-def _block(rows: list[tuple[int | None, bytes]], n_gram: int, bits: int, words: _Words) -> Iterator[pa.RecordBatch]:
-    ids, sizes, sets, seen, texts, tokens = [], [], [], set(), [], []
-    for i, text in rows:
-        own = shingles(text, words, n_gram)
-        digest = xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
-        ids.append(i)
-        sizes.append(len(own))
-        sets.append(digest)
-        if digest and digest not in seen:
-            seen.add(digest)
-            texts.append(text)
-            tokens.append(own)
-    block = xxhash.xxh3_128_hexdigest(repr((ids, sets)).encode())
-    row = (None, block, None, None, ids, sizes, sets, zstandard.ZstdCompressor(level=1).compress(b"".join(texts)), [len(x) for x in texts])
-    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _FIELDS, strict=True)], schema=_FIELDS)
-    if tokens:
-        keys, counts = np.unique(np.concatenate(tokens) >> np.uint64(64 - golomb.KEY_BITS), return_counts=True)
-        sent = golomb.messages(block, keys, counts, bits)
-        yield pa.RecordBatch.from_arrays([*sent.columns, *[pa.nulls(sent.num_rows, f.type) for f in list(_FIELDS)[4:]]], schema=_FIELDS)
+def _digest(own: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[int | None], list[bytes]]]:
+    """(name, ids, lower-cased texts) of the blocks of a task. The same rows give the same blocks: a block is cut by size and named after its rows."""
+    ids, texts, n = [], [], 0
+    for batch in batches:
+        for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ids.append(i)
+            texts.append(_lower(text))
+            n += len(texts[-1])
+            if n >= BLOCK_BYTES or len(ids) >= BLOCK_ROWS:
+                yield xxhash.xxh3_128_hexdigest(repr(ids).encode() + b"".join(texts)), ids, texts
+                ids, texts, n = [], [], 0
+    if ids:
+        yield xxhash.xxh3_128_hexdigest(repr(ids).encode() + b"".join(texts)), ids, texts
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, groups: int, n_gram: int, threshold: int) -> DataFrame:
@@ -136,9 +132,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, groups: int, n_gram: int, thresh
     """
     group = F.pmod(F.xxhash64("a"), F.lit(groups)).alias("group")
     pairs = pairs.withColumn("group", group)
-    left = pairs.select("group", "a").distinct().join(texts.select(F.col("node").alias("a"), "text"), "a").select("group", F.lit(0).alias("tag"), F.col("a").alias("node"), "text", F.lit(None).cast("array<binary>").alias("partners"))
-    right = pairs.groupBy("group", "b").agg(F.collect_list("a").alias("partners")).join(texts.select(F.col("node").alias("b"), "text"), "b").select("group", F.lit(1).alias("tag"), F.col("b").alias("node"), "text", "partners")
+    left = pairs.select("group", "a").distinct().join(texts.select(F.col("node").alias("a"), "text").hint("merge"), "a").select("group", F.lit(0).alias("tag"), F.col("a").alias("node"), "text", F.lit(None).cast("array<binary>").alias("partners"))
+    right = pairs.groupBy("group", "b").agg(F.collect_list("a").alias("partners")).join(texts.select(F.col("node").alias("b"), "text").hint("merge"), "b").select("group", F.lit(1).alias("tag"), F.col("b").alias("node"), "text", "partners")
 
+    @released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, at = _Words(), {}, None
         for batch in batches:
@@ -162,6 +159,77 @@ def _verify(pairs: DataFrame, texts: DataFrame, groups: int, n_gram: int, thresh
     return left.unionByName(right).repartition(groups, "group").sortWithinPartitions("group", "tag").mapInArrow(compare, "a binary, b binary")
 
 
+def _verify_families(families: DataFrame, comps: DataFrame, texts: DataFrame, n_gram: int, threshold: int) -> DataFrame:
+    """Links (``a``, ``b``) that join different components (``comp`` of each node) within a family, as many as it takes.
+
+    A family is dealt into tiles of bounded nodes and tokens, and every two tiles meet in one task, which counts overlaps
+    through postings of tokens and gives out only links that join what is not joined yet. No pairs travel.
+    """
+    held = families.join(comps, "node").join(texts.hint("merge"), "node")
+    sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("tokens"))
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("nodes") / TILE_NODES), F.ceil(F.col("tokens") / TILE_TOKENS)).cast("int")
+    sizes = materialise(sizes.select("family", "nodes", tiles.alias("tiles")), "families")
+    held = join_groups(materialise(held, "family-texts"), sizes, ["family"], "nodes", "inner").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    meet = held.select("family", "node", "comp", "text", "tile", other).select("family", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "comp", "text", "tile")
+    total = sizes.agg(F.sum(F.col("nodes") * F.col("tiles"))).first()[0] or 0
+
+    @released
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, at = _Words(), [], None
+
+        def links() -> pa.RecordBatch:
+            found = _linked([(node, comp, shingles(text, words, n_gram), tile) for node, comp, text, tile in held], at[1] != at[2], threshold) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = row["family"], row["i"], row["j"]
+                if key != at:
+                    if held:
+                        yield links()
+                    held, at = [], key
+                held.append((row["node"], row["comp"], row["text"], row["tile"]))
+        if held:
+            yield links()
+
+    count = max(partitions(families.sparkSession), total // VERIFY_TEXTS)
+    return meet.repartition(count, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(compare, "a binary, b binary")
+
+
+def _linked(rows: list[tuple[bytes, bytes, np.ndarray, int]], across: bool, threshold: int) -> list[tuple[bytes, bytes]]:
+    """Links between rows (node, component, tokens, tile) that join components; across: only those between different tiles."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    sizes = np.array([len(x[2]) for x in rows])
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    tokens, number, df = np.unique(np.concatenate([x[2] for x in rows]), return_inverse=True, return_counts=True)
+    number = number.ravel()
+    postings, ends = owner[np.argsort(number, kind="stable")], np.concatenate([[0], np.cumsum(df)])
+    starts = np.cumsum(sizes) - sizes
+    tile = np.array([x[3] for x in rows])
+    found = []
+    for i, (node, comp, own, _) in enumerate(rows):
+        mine = number[starts[i] : starts[i] + len(own)]
+        mine = mine[df[mine] > 1]
+        if not len(mine):
+            continue
+        common = np.bincount(np.concatenate([postings[ends[t] : ends[t + 1]] for t in mine.tolist()]), minlength=len(rows))[:i]
+        for k in np.flatnonzero(100 * common >= threshold * (sizes[i] + sizes[:i] - common)).tolist():
+            if across and tile[k] == tile[i]:
+                continue
+            x, y = find(comp), find(rows[k][1])
+            if x != y:
+                root[x] = y
+                found.append((node, rows[k][0]))
+    return found
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_gram: int = N_GRAM, threshold: int = THRESHOLD) -> DataFrame:
     """A row per input row: ``id``, ``n_shingles``, ``component_id``.
 
@@ -173,104 +241,97 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with equal sets are one node, whatever their ids (null ids or repeated ones too: a row without any non-null id in its
     component gets null). Other columns are not read; an empty table gives an empty one. Ids are integers.
 
-    Token frequencies, over all documents, come from the Golomb-coded exchange. Sets are indexed under signatures(); each
-    bucket of equal signatures compares its members with pivots, verified links merge components, and buckets whose members
-    are all in one component are done; the others go on with more pivots until every member has been one. Copies near to each
-    other, however many, so cost a comparison each and not one per pair, and no link that joins two components is lost.
-    Hot signatures, nodes and components are met by join_groups().
+    Token frequencies, over all documents, come from the Golomb-coded exchange. The input is read twice and must be the same
+    both times, as a table is; a difference fails the job. Sets are indexed under signatures(). First each bucket of equal
+    signatures compares its members with one pivot, the set with most signatures, which in a group of near copies is the least
+    altered one; verified links make components. Buckets whose members are all in one component are done. Nodes that the other
+    buckets tie together, directly or through others, are a family, within which all links between different components are then found
+    (_verify_families()), so no link that joins two components is lost. Copies near to a pivot, however many, cost one comparison
+    each; only what is left after that is compared with its whole family. Hot signatures, nodes, components and families are
+    met by join_groups().
     """
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bits = golomb.owner_bits(docs.count() * 512)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = _Words(), [], 0
-        for batch in batches:
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held.append((i, _lower(text)))
-                n += len(held[-1][1])
-                if n >= BLOCK_BYTES or len(held) >= BLOCK_ROWS:
-                    yield from _block(held, n_gram, bits, words)
-                    held, n = [], 0
-        if held:
-            yield from _block(held, n_gram, bits, words)
-
-    made = materialise(pairs.mapInArrow(blocks, _BLOCK), "shingle-blocks")
-    bodies = made.where("owner is null")
-    rows = bodies.select(F.explode(F.arrays_zip("ids", "sizes", "sets")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.sizes").alias("n"), F.col("x.sets").alias("node"))
-    rows = materialise(rows, "sets")
-    parts = golomb.replies(made.where("owner is not null").select("owner", "block", "keys", "counts"))
-    parts = parts.groupBy("block").agg(F.collect_list(F.struct("owner", "levels")).alias("parts"))
+    total = docs.count()
+    bits, owners = golomb.key_bits(total * 512), golomb.owner_bits(total * 512)
+    shift = np.uint64(64 - bits)
 
+    @released
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for block, _, texts in _blocks(batches):
+            sets = {own.tobytes(): own for own in (shingles(text, words, n_gram) for text in texts) if len(own)}
+            if sets:
+                keys, counts = np.unique(np.concatenate(list(sets.values())) >> shift, return_counts=True)
+                yield golomb.messages(block, keys, counts, owners, bits)
+
+    parts = golomb.replies(pairs.mapInArrow(send, golomb.MESSAGE)).groupBy("block").agg(F.collect_list(F.struct("owner", "levels")).alias("parts"))
+    parts = materialise(parts, "levels")
+
+    @released
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, texts in _blocks(batches):
+            data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())), pa.array([data])], ["block", "ids", "lengths", "texts"])
+
+    @released
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                data, at = zstandard.ZstdDecompressor().decompress(row["texts"]), 0
-                nodes = list(dict.fromkeys(x for x in row["sets"] if x))
-                texts, tokens = [], []
+                data, at, texts = zstandard.ZstdDecompressor().decompress(row["texts"]), 0, []
                 for length in row["lengths"]:
                     texts.append(data[at : at + length])
-                    tokens.append(shingles(texts[-1], words, n_gram))
                     at += length
-                shift = np.uint64(64 - golomb.KEY_BITS)
-                keys = np.unique(np.concatenate(tokens) >> shift)
-                levels = golomb.joined_levels([(x["owner"], x["levels"]) for x in row["parts"]])
-                out = []
-                for node, text, own in zip(nodes, texts, tokens, strict=True):
-                    if found := signatures(own, levels[np.searchsorted(keys, own >> shift)], threshold):
-                        out.append((node, len(own), text, np.array(sorted(found), np.uint64).view(np.int64)))
-                kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], ["node", "n", "text", "sigs"])
-
-    indexed = bodies.select("block", "sets", "texts", "lengths").hint("merge").join(parts, "block").mapInArrow(index, "node binary, n long, text binary, sigs array<long>")
-    indexed = materialise(indexed, "signatures")
-    texts = materialise(indexed.groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+                tokens = [shingles(text, words, n_gram) for text in texts]
+                nodes = [_digest(own) for own in tokens]
+                keys, number = np.unique(np.concatenate(tokens) >> shift, return_inverse=True)
+                levels = golomb.joined_levels([(x["owner"], x["levels"]) for x in row["parts"] or ()])
+                ends = np.cumsum([len(own) for own in tokens])
+                if len(keys) != len(levels):
+                    raise ValueError("the input changed between two readings of it")
+                out, seen = [], set()
+                number = np.split(levels[number.ravel()], ends[:-1])
+                for i, node, text, own, level in zip(row["ids"], nodes, texts, tokens, number, strict=True):
+                    found = None
+                    if node and node not in seen:
+                        seen.add(node)
+                        found = signatures(own, level, threshold)
+                    out.append((i, node, len(own), text if found else None, np.array(sorted(found), np.uint64).view(np.int64) if found else None))
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], ["id", "node", "n", "text", "sigs"])
+
+    blocks = pairs.mapInArrow(packed, "block string, ids array<long>, lengths array<long>, texts binary")
+    every = blocks.hint("merge").join(parts, "block", "left").mapInArrow(index, "id long, node binary, n long, text binary, sigs array<long>")
+    every = materialise(every, "signatures")
+    rows, indexed = every.select("id", "n", "node"), every.where("sigs is not null")
+    texts = materialise(indexed.select("node", "n", "text").dropDuplicates(["node"]), "texts")
     groups = max(partitions(docs.sparkSession), texts.count() // VERIFY_TEXTS)
-    members = indexed.select("node", "n", F.explode("sigs").alias("sig")).distinct()
-    members = materialise(members, "members")
-    tested = edges = names = None
-    for turn in range(1 << 30):
-        pivots = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        if names is None:
-            live = members.withColumn("comp", F.col("node"))
-        else:
-            live = members.join(names, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots))
-        heads = (
-            live.groupBy("sig", slot.alias("slot"))
-            .agg(F.min(F.struct("node", "n", "comp")).alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
-            .groupBy("sig")
-            .agg(F.collect_list("pivot").alias("pivots"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("size").alias("size"))
-            .where("lo <> hi")
-            .drop("lo", "hi")
-        )
-        heads = materialise(heads, "pivots")
-        if heads.isEmpty():
-            break
-        live = materialise(join_groups(live, heads, ["sig"], "size", "inner").drop("size"), "live")
-        sized = F.expr(f"filter(pivots, p -> p.comp <> comp and 100 * p.n >= {threshold} * n and 100 * n >= {threshold} * p.n)")
-        chosen = live.select("node", F.explode(sized).alias("p")).select(F.col("node").alias("x"), F.col("p.node").alias("y"))
-        chosen = chosen.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        if tested is not None:
-            chosen = chosen.join(tested, ["a", "b"], "left_anti")
-        chosen = materialise(chosen, "candidates")
-        tested = chosen if tested is None else tested.unionByName(chosen)
-        found = materialise(_verify(chosen, texts, groups, n_gram, threshold), "links")
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            names = components(edges)
-        used = F.exists("pivots", lambda p: p["node"] == F.col("node"))
-        members = materialise(live.where(~used).select("node", "n", "sig"), "members")
+    members = indexed.select("node", F.size("sigs").alias("weight"), "n", F.explode("sigs").alias("sig")).distinct()
+    heads = members.groupBy("sig").agg(F.max(F.struct("weight", "node", "n")).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    heads = materialise(heads, "pivots")
+    members = materialise(join_groups(materialise(members, "members"), heads, ["sig"], "size", "inner"), "buckets")
+    near = members.where(f"node <> pivot.node and 100 * n >= {threshold} * pivot.n and 100 * pivot.n >= {threshold} * n")
+    chosen = materialise(near.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "candidates")
+    edges = materialise(_verify(chosen, texts, groups, n_gram, threshold), "links")
+    names = components(edges)
+
+    named = members.select("sig", "node", "size").join(names, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = materialise(named, "named")
+    open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("least"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("sig", "least", "size")
+    open_ = materialise(open_, "open")
+    ties = join_groups(named.drop("size"), open_, ["sig"], "size", "inner").select(F.col("node").alias("a"), F.col("least").alias("b"), "comp").distinct()
+    ties = materialise(ties, "ties")
+    families = components(ties)
+    if not families.isEmpty():
+        comps = ties.select(F.col("a").alias("node"), "comp").distinct()
+        edges = edges.unionByName(materialise(_verify_families(families.withColumnRenamed("comp", "family"), comps, texts, n_gram, threshold), "family-links"))
+        names = components(edges)
 
     classes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    if names is not None:
-        classes = materialise(classes, "classes").join(names, "node", "left")
-        merged = classes.where("comp is not null").groupBy("comp").agg(F.min("least_id").alias("comp_id"), F.count(F.lit(1)).alias("nodes"))
-        merged = materialise(merged, "merged")
-        in_one = materialise(classes.where("comp is not null"), "in-components")
-        alone = classes.where("comp is null").select("node", "least_id", "copies")
-        joined = join_groups(in_one, merged, ["comp"], "nodes", "inner").select("node", F.col("comp_id").alias("least_id"), "copies")
-        classes = joined.unionByName(alone)
-    classes = materialise(classes, "component-ids")
+    classes = materialise(classes.join(names, "node", "left"), "classes")
+    merged = classes.where("comp is not null").groupBy("comp").agg(F.min("least_id").alias("comp_id"), F.count(F.lit(1)).alias("nodes"))
+    joined = join_groups(classes.where("comp is not null"), materialise(merged, "merged"), ["comp"], "nodes", "inner")
+    alone = classes.where("comp is null").select("node", "least_id", "copies")
+    classes = materialise(joined.select("node", F.col("comp_id").alias("least_id"), "copies").unionByName(alone), "component-ids")
     return join_groups(rows, classes, ["node"], "copies").select("id", F.col("n").alias("n_shingles"), F.coalesce("least_id", "id").alias("component_id"))
