@@ -13,6 +13,7 @@ from .operators.compiler import QueryCompiler
 from .plans.algebra import InvalidQueryError, Query, UnsupportedQueryError
 from .plans.parser import PREFIXES, parse
 from .plans.relation import TERM, Relation, column
+from .shipping import ship
 from .sources.base import Source
 
 log = logging.getLogger("triloom.engine")
@@ -62,6 +63,7 @@ class Engine:
     def __init__(self, spark: SparkSession, source: Source, prefixes: dict[str, str] | None = None, compat: str = "standard"):
         if compat not in ("standard", "quirks"):
             raise ValueError(f"unknown compat {compat!r}")
+        ship(spark)
         self.spark, self.source, self.quirks = spark, source, compat == "quirks"
         self.prefixes = PREFIXES | (prefixes or {})
 

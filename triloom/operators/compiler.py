@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from ..plans.planner import plan
 from ..plans.relation import TERM, Relation, column, join, left_join, nothing, union, unit
 from ..sources.base import Source
 
+log = logging.getLogger("triloom.plan")
+
 TRIPLE = "s string, p string, o string"
 
 
@@ -44,9 +47,11 @@ class QueryCompiler:
             return start or unit(self.spark)
         units = plan(patterns, self.source, set(start.encs) if start else set())
         if units is None:
+            log.info("no match for some pattern of %s", "; ".join(map(str, patterns)))
             return nothing(self.spark, names)
         out = start
-        for u in units:
+        for i, u in enumerate(units):
+            log.info("step %d, about %.0f rows: %s", i, u.count, "; ".join(map(str, u.patterns)))
             found = self.source.star(u.patterns) if len(u.patterns) > 1 else self.source.match(u.patterns[0])
             out = found if out is None else join(out, found)
             if out.empty:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
+from ..shipping import ship
 
 _IRI, _BLANK = r"<[^<>\"{}|^`\\\x00-\x20]*>", r"_:[^\s<>\"]+"
 _LITERAL = r'"(?:[^"\\\n\r]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^<>\s]*>)?'
@@ -48,6 +49,7 @@ def read_ntriples(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_turtle(spark: SparkSession, path: str | list[str], base: str = "") -> DataFrame:
     """Rows s, p, o, g of Turtle, N3 (its Turtle part) or TriG files. A file is parsed by one task; blank nodes are distinct between files."""
+    ship(spark)
     files = spark.read.text(path, wholetext=True).select("value", F.md5(F.coalesce(F.input_file_name(), F.lit(""))).alias("file"), F.input_file_name().alias("name"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

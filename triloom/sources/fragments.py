@@ -19,6 +19,7 @@ from ..functions import terms as T
 from ..plans.algebra import Pattern
 from ..plans.parser import parse_turtle
 from ..plans.relation import Relation
+from ..shipping import ship
 from .base import Source, bind, impossible
 from .files import UnknownFormatError
 
@@ -205,6 +206,7 @@ class FragmentSource(Source):
     def __init__(self, spark: SparkSession, start: str, fetch: Fetch | None = None, on_error: str = "raise", at: str | None = None, cache: int = 100):
         self.spark, self.start, self.fetch, self.on_error, self.at = spark, start, fetch, on_error, at
         self.cache, self._pages, self._controls, self._failure = cache, {}, None, None
+        ship(spark)
         spark.dataSource.register(FragmentDataSource)
 
     def controls(self) -> Controls:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..plans.algebra import Bgp, Filter, Group, Union, UnsupportedQueryError
 from ..plans.parser import parse
+from ..shipping import ship
 from ..sources.triples import TripleSource
 
 
@@ -77,6 +78,7 @@ def windowed_sort(df: DataFrame, column: str, window: int, position: str) -> Dat
         if out:
             yield pd.DataFrame(out, columns=[*df_columns, "place"])
 
+    ship(df.sparkSession)
     df_columns = list(df.columns)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.repartition(1).sortWithinPartitions(position).mapInPandas(run, f"{fields}, place long")
