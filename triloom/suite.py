@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .engine import Engine
+from .engine import Engine, Result
 from .plans.algebra import Pattern
-from .results.writers import WRITERS
+from .results.writers import WRITERS, save_ntriples, write_turtle
 from .sources.federated import FederatedSource
+from .sources.files import read_ntriples, read_turtle, snapshot
+from .sources.fragments import HYDRA, FragmentSource
 from .sources.relational import Mapping, RelationalSource, star_schema
+from .sources.scratch import new_path
 from .sources.triples import TripleSource
-from .streaming.monotone import windowed_sort
+from .streaming.monotone import stream_query, windowed_sort
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels pages benchmark conversations".split()
 PREFIXES = {t: f"urn:t:{t}#" for t in TABLES} | {"c": "urn:t:"}
@@ -256,6 +259,74 @@ def _quirks_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, compat="quirks").sparql("SELECT ?d ?q WHERE { ?d documents:source ?s OPTIONAL { ?l labels:doc_id ?d ; labels:quality ?q } FILTER(?q > 0) }").typed()
 
 
+_SUPPLIERS = "SELECT ?sn ?rn WHERE { ?s supplier:s_name ?sn ; supplier:s_nationkey ?n . ?n nation:n_regionkey ?r . ?r region:r_name ?rn }"
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Texts of the literals in columns of terms."""
+    return df.select(*[F.regexp_extract(F.col(f"`{c}`"), '"(.*)"', 1).alias(c.lstrip("?")) for c in df.columns])
+
+
+def _ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "ntriples")
+    save_ntriples(Result("CONSTRUCT", [], None, _as_triples(spark, sf_dir).df), path)
+    return _plain(Engine(spark, TripleSource(read_ntriples(spark, path)), PREFIXES).sparql(_SUPPLIERS).terms())
+
+
+def _trig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as TriG, with a count in a named graph that is not data."""
+    data = Engine(spark, star_schema(spark, sf_dir), PREFIXES).sparql("CONSTRUCT { ?r region:r_name ?n } WHERE { ?r region:r_name ?n }")
+    text = "".join(write_turtle(data)) + "<urn:meta> { <urn:page> <http://rdfs.org/ns/void#triples> 5 }\n"
+    path = new_path(spark, "trig")
+    spark.createDataFrame([(text,)], "value string").write.text(path)
+    return _plain(Engine(spark, TripleSource(read_turtle(spark, path)), PREFIXES).sparql("SELECT ?o WHERE { ?s ?p ?o }").terms())
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders hold from their date on."""
+    dated = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns({"valid_from": F.col("o_orderdate"), "valid_to": F.lit(None).cast("timestamp")})
+    source = RelationalSource(spark, [Mapping("orders", snapshot(dated, "1996-01-01 00:00:00"), ["o_orderkey"])])
+    return Engine(spark, source, PREFIXES).sparql("SELECT ?o ?st WHERE { ?o orders:o_orderstatus ?st }").typed()
+
+
+_PAGE = """@prefix h: <{h}>. @prefix r: <http://www.w3.org/1999/02/22-rdf-syntax-ns#>.
+<urn:dataset> h:search [ h:template "http://pages/{{?s,p,o}}"; h:mapping [ h:variable "s"; h:property r:subject ], [ h:variable "p"; h:property r:predicate ], [ h:variable "o"; h:property r:object ] ] .
+<{url}> h:totalItems {n} {following}.
+{data}"""
+
+
+def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and regions as pages of ten triples, answered by a stand-in for a server."""
+    from urllib.parse import parse_qsl, urlsplit
+
+    names = RelationalSource(spark, [Mapping("region", spark.read.parquet(f"{sf_dir}/region.parquet"), ["r_regionkey"]), Mapping("nation", spark.read.parquet(f"{sf_dir}/nation.parquet"), ["n_nationkey"], {"n_regionkey": "region"})])
+    triples = [tuple(t) for t in names.triples().where("p like '%name' or p like '%n_regionkey'").orderBy("s", "p").collect()]
+
+    def fetch(url: str, headers: dict[str, str]) -> tuple[int, dict[str, str], bytes]:
+        args = dict(parse_qsl(urlsplit(url).query))
+        page = int(args.pop("page", 1))
+        found = [t for t in triples if all(args.get(k, v) == v for k, v in zip("spo", t, strict=True))]
+        term = lambda t: t if t.startswith('"') else f"<{t}>"
+        data = "\n".join(" ".join(map(term, t)) + " ." for t in found[10 * page - 10 : 10 * page])
+        following = f"; h:next <{url.split('&page')[0]}{'&' if '?' in url else '?'}page={page + 1}>" if len(found) > 10 * page else ""
+        return 200, {"content-type": "text/turtle"}, _PAGE.format(h=HYDRA, url=url, n=len(found), following=following, data=data).encode()
+
+    source = FragmentSource(spark, "http://pages/", fetch)
+    return _plain(Engine(spark, source, PREFIXES).sparql("SELECT ?nn ?rn WHERE { ?n nation:n_name ?nn ; nation:n_regionkey ?r . ?r region:r_name ?rn }").terms())
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join over a stream of triples, run until it has caught up."""
+    path, name = new_path(spark, "stream"), "streamed_" + new_path(spark, "x").rpartition("triloom-")[2][:8]
+    _as_triples(spark, sf_dir).df.write.parquet(path)
+    prefixes = "".join(f"PREFIX {t}: <{PREFIXES[t]}> " for t in ("supplier", "nation", "region"))
+    found = _plain(stream_query(spark.readStream.schema("s string, p string, o string").parquet(path), prefixes + _SUPPLIERS))
+    q = found.writeStream.format("memory").queryName(name).option("checkpointLocation", path + "-state").start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
 CODE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "seed_bindings": (_seeded, "SELECT CASE c_nationkey WHEN 1 THEN 'one' ELSE 'two' END AS tag, c_name AS cn FROM customer WHERE c_nationkey IN (1, 2)"),
     "federated_union": (_federated_union, "SELECT 'urn:t:supplier/' || s_suppkey AS s, s_name AS n FROM supplier UNION ALL SELECT 'urn:t:supplier/' || s_suppkey, s_name FROM supplier"),
@@ -271,6 +342,11 @@ CODE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     ),
     "construct_blank": (_construct_blank, "SELECT CAST(2 AS BIGINT) AS n, 'urn:t:nation/' || n_nationkey AS o FROM nation"),
     "quirks_keep_undefined": (_quirks_keep, "SELECT 'urn:t:documents/' || d.doc_id AS d, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE quality > 0 OR quality IS NULL"),
+    "ntriples_reader": (_ntriples, "SELECT s_name AS sn, r_name AS rn FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    "trig_reader": (_trig, "SELECT r_name AS o FROM region"),
+    "snapshot": (_snapshot, "SELECT 'urn:t:orders/' || o_orderkey AS o, o_orderstatus AS st FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01 00:00:00'"),
+    "fragments": (_fragments, "SELECT n_name AS nn, r_name AS rn FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "stream_bgp": (_streamed, "SELECT s_name AS sn, r_name AS rn FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "windowed_sort": (_windowed, None),
     "json": (_written("application/json"), None),
     "sparql_json": (_written("application/sparql-results+json"), None),
