@@ -102,7 +102,7 @@ class Engine:
         def walk(g: Group) -> None:
             patterns = [p for x in g.parts if isinstance(x, Bgp) for p in x.patterns]
             for u in plan(patterns, self.source) or ():
-                lines.append(f"{u.count:.0f}: " + " . ".join(map(str, u.patterns)))
+                lines.append(f"{max(0, u.count):.0f}: " + " . ".join(map(str, u.patterns)))
             for x in g.parts:
                 for inner in [x] if isinstance(x, Group) else getattr(x, "branches", ()):
                     walk(inner)

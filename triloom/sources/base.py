@@ -44,6 +44,10 @@ class Source:
         """Estimated number of matches; 0 only if there are none."""
         raise NotImplementedError
 
+    def estimate(self, p: Pattern) -> float:
+        """Like count(), for ordering joins; cheaper where a source can."""
+        return self.count(p)
+
     def match(self, p: Pattern) -> Relation:
         """scan(), or no rows at once for patterns that can't match."""
         if impossible(p):

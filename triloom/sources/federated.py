@@ -54,6 +54,9 @@ class FederatedSource(Source):
             total += n or 0
         return total
 
+    def estimate(self, p: Pattern) -> float:
+        return sum(s.estimate(p) for s in self.sources) if not self.failed and all(type(s).estimate is not Source.estimate for s in self.sources) else self.count(p)
+
     def scan(self, p: Pattern) -> Relation:
         parts = []
         for i, source in list(self._each(p)):

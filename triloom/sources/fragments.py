@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import terms as T
 from ..plans.algebra import Pattern
 from ..plans.parser import parse_turtle
-from ..plans.relation import Relation
+from ..plans.relation import Relation, nothing
 from ..shipping import ship
 from .base import Source, bind, impossible
 from .files import UnknownFormatError
@@ -243,6 +243,8 @@ class FragmentSource(Source):
         return float(len(page.data) if page.total is None else page.total)
 
     def scan(self, p: Pattern) -> Relation:
+        if self.on_error == "warn_empty" and self.count(p) == 0:
+            return nothing(self.spark, p.variables())
         url = self.controls().url(p)
         if self.fetch is None:
             df = self.spark.read.format("fragments").options(**({"at": self.at} if self.at else {})).load(url)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,15 +19,22 @@ _DATATYPES = {S.ByteType: T.INTEGER, S.ShortType: T.INTEGER, S.IntegerType: T.IN
 
 @dataclass
 class Mapping:
-    """How a table becomes triples. key: its columns, none for a hash of the whole row. links: column to the table whose row it names; languages: text column to the column of its language."""
+    """How a table becomes triples. frame: the table, or a function that opens it when it is first needed. key: its columns, none for a hash
+    of the whole row. links: column to the table whose row it names; languages: text column to the column of its language."""
 
     name: str
-    df: DataFrame
+    frame: DataFrame | Callable[[], DataFrame]
     key: list[str]
     links: dict[str, str] = field(default_factory=dict)
     languages: dict[str, str] = field(default_factory=dict)
     rows: int | None = None
 
+    @property
+    def df(self) -> DataFrame:
+        if not isinstance(self.frame, DataFrame):
+            self.frame = self.frame()
+        return self.frame
+
     def subject(self) -> Column:
         if not self.key:
             return F.sha1(F.to_json(F.struct(*[F.col(c) for c in self.df.columns])))
@@ -39,13 +47,18 @@ class RelationalSource(Source):
     def __init__(self, spark: SparkSession, mappings: list[Mapping], base: str = "urn:t:"):
         self.spark, self.base = spark, base
         self.tables = {m.name: m for m in mappings}
-        self.columns = {f"{base}{m.name}#{c}": (m, c) for m in mappings for c in m.df.columns if self._maps(m, c)}
         self.classes = {self.class_iri(m): m for m in mappings}
         self._rows: dict[str, int] = {}
 
     def _maps(self, m: Mapping, c: str) -> bool:
         return type(m.df.schema[c].dataType) in _DATATYPES and c not in m.languages.values()
 
+    def _column(self, predicate: str) -> tuple[Mapping, str] | None:
+        """Table and column of a predicate; opens no other table."""
+        table, _, c = predicate.removeprefix(self.base).partition("#")
+        m = self.tables.get(table)
+        return (m, c) if predicate.startswith(self.base) and m and c in m.df.columns and self._maps(m, c) else None
+
     def class_iri(self, m: Mapping) -> str:
         return f"{self.base}{m.name[:1].upper()}{m.name[1:]}"
 
@@ -81,12 +94,25 @@ class RelationalSource(Source):
             return c == lex
         return enc.term(c) == t
 
+    def _counted(self, m: Mapping) -> int:
+        if m.name not in self._rows:
+            self._rows[m.name] = m.rows if m.rows is not None else m.df.count()  # from file footers
+        return self._rows[m.name]
+
+    def _guessed(self, m: Mapping) -> int:
+        """Rows by the size of the files, for which no job runs; at least one, as only a job would know."""
+        if m.rows is not None:
+            return m.rows
+        size = m.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return max(1, int(str(size)) // (8 * len(m.df.columns)))
+
     def count(self, p: Pattern) -> float:
-        def rows(m: Mapping) -> int:
-            if m.name not in self._rows:
-                self._rows[m.name] = m.rows if m.rows is not None else m.df.count()  # from file footers
-            return self._rows[m.name]
+        return self._matches(p, self._counted)
+
+    def estimate(self, p: Pattern) -> float:
+        return self._matches(p, self._guessed)
 
+    def _matches(self, p: Pattern, rows: Callable[[Mapping], int]) -> float:
         if T.py_is_literal(p.s) or T.py_is_literal(p.p):
             return 0
         if T.py_is_open(p.p):
@@ -94,23 +120,23 @@ class RelationalSource(Source):
         elif p.p == T.RDF_TYPE:
             n = float(sum(rows(m) for iri, m in self.classes.items() if T.py_is_open(p.o) or iri == p.o))
             return n if T.py_is_open(p.s) else min(n, 1.0)
-        elif p.p in self.columns:
-            m, c = self.columns[p.p]
+        elif found := self._column(p.p):
+            m, c = found
             n = float(rows(m))
             if not T.py_is_open(p.o):
-                n /= rows(self.tables[m.links[c]]) or 1 if c in m.links else 20  # an object's share, without looking at the data
+                n /= max(1, rows(self.tables[m.links[c]])) if c in m.links else 20  # an object's share, without looking at the data
         else:
             return 0
         return n if T.py_is_open(p.s) else min(n, 50.0)
 
     def star(self, patterns: list[Pattern]) -> Relation | None:
         """One scan for several patterns on one subject of one table: its key is unique, so joining the patterns is reading the row."""
-        found = [self.columns.get(p.p) for p in patterns if p.p != T.RDF_TYPE]
+        found = [self._column(p.p) for p in patterns if p.p != T.RDF_TYPE]
         tables = {x[0].name if x else None for x in found} | {self.classes[p.o].name if p.o in self.classes else None for p in patterns if p.p == T.RDF_TYPE}
         if len(tables) != 1 or None in tables:
             return None
         m = self.tables[tables.pop()]
-        return self._read(m, patterns[0].s, [(p.o, self.columns[p.p][1]) for p in patterns if p.p != T.RDF_TYPE])
+        return self._read(m, patterns[0].s, [(p.o, self._column(p.p)[1]) for p in patterns if p.p != T.RDF_TYPE])
 
     def _read(self, m: Mapping, s: str, wanted: list[tuple[str, str]]) -> Relation:
         names = list(dict.fromkeys([t for t in (s, *[o for o, _ in wanted]) if T.py_is_open(t)]))
@@ -151,9 +177,9 @@ class RelationalSource(Source):
             return self._any_predicate(p)
         if p.p == T.RDF_TYPE:
             return self._types(p)
-        if p.p not in self.columns:
+        if (found := self._column(p.p)) is None:
             return nothing(self.spark, p.variables())
-        m, c = self.columns[p.p]
+        m, c = found
         return self._read(m, p.s, [(p.o, c)])
 
     def _types(self, p: Pattern) -> Relation:
@@ -204,7 +230,7 @@ class RelationalSource(Source):
 
 def star_schema(spark: SparkSession, folder: str) -> RelationalSource:
     """The mapping of the driver's tables. lineitem has no key of its own: its rows are named by a hash of the whole row."""
-    read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
+    read = lambda t: lambda: spark.read.parquet(f"{folder}/{t}.parquet")
     return RelationalSource(
         spark,
         [
