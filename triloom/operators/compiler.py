@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions.expressions import Compiler
-from ..plans.algebra import Bgp, Filter, Group, Pattern, Query, Union, UnsupportedQueryError, in_scope
+from ..plans.algebra import Bgp, Filter, Group, Pattern, Query, Union, UnsupportedQueryError
 from ..plans.planner import plan
 from ..plans.relation import TERM, Relation, column, join, left_join, nothing, union, unit
 from ..sources.base import Source
@@ -241,5 +241,3 @@ class QueryCompiler:
         rows = self.group(q.where)
         return rows if seed is None else join(seed, rows)
 
-
-__all__ = ["QueryCompiler", "in_scope"]

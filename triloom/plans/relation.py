@@ -131,8 +131,6 @@ def join(left: Relation, right: Relation) -> Relation:
     encs = {v: left.encs[v] if v in left.encs else right.encs[v] for v in names}
     maybe = left.maybe | right.maybe
     if not shared:
-        if not left.encs or not right.encs:  # a unit row changes nothing; a count of rows does
-            pass
         return Relation(left.df.crossJoin(right.df).select(*[column(v) for v in names]), encs, maybe)
     return Relation(left.df.join(right.df, shared).select(*[column(v) for v in names]), encs, maybe)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..plans.algebra import Pattern
-from ..plans.relation import TERM, Relation, column, nothing, unit
+from ..plans.relation import TERM, Relation, column, nothing
 
 
 def impossible(p: Pattern) -> bool:
@@ -52,16 +52,9 @@ class Source:
         """scan(), or no rows at once for patterns that can't match."""
         if impossible(p):
             return nothing(self.spark, p.variables())
-        found = self.scan(p)
-        return found if found.encs else self._at_most_unit(found)
-
-    def _at_most_unit(self, found: Relation) -> Relation:
-        return found
+        return self.scan(p)
 
     def triples(self) -> DataFrame:
         """All triples as text."""
         r = self.scan(Pattern("?s", "?p", "?o")).as_terms(["?s", "?p", "?o"])
         return r.df.select(*[column(f"?{x}").alias(x) for x in "spo"])
-
-
-__all__ = ["Source", "bind", "impossible", "unit"]

@@ -11,8 +11,8 @@ from pyspark.sql import types as S
 
 from ..functions import terms as T
 from ..plans.algebra import Pattern
-from ..plans.relation import TERM, Enc, Relation, column, nothing, union
-from .base import Source
+from ..plans.relation import TERM, Enc, Relation, nothing, union
+from .base import Source, bind
 
 _DATATYPES = {S.ByteType: T.INTEGER, S.ShortType: T.INTEGER, S.IntegerType: T.INTEGER, S.LongType: T.INTEGER, S.FloatType: T.DOUBLE, S.DoubleType: T.DOUBLE, S.BooleanType: T.BOOLEAN, S.TimestampType: T.DATETIME, S.TimestampNTZType: T.DATETIME, S.StringType: ""}
 
@@ -220,8 +220,6 @@ class RelationalSource(Source):
         df = parts[0]
         for other in parts[1:]:
             df = df.unionAll(other)
-        from .base import bind
-
         return bind(df, p)
 
     def predicate(self, table: str, col: str) -> str:
@@ -250,5 +248,3 @@ def star_schema(spark: SparkSession, folder: str) -> RelationalSource:
         ],
     )
 
-
-__all__ = ["Mapping", "RelationalSource", "column", "star_schema"]
