@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialise
+from ..shipping import ship
+from .common import join_groups, materialise, released
 
 RATE = 4_000
 #: Samples per frame and from one frame to the next.
@@ -125,6 +126,9 @@ def fingerprints(rows: DataFrame, id_col: str, media_col: str, decode: Callable[
     Other columns are not read; rows may repeat.
     """
 
+    ship(rows.sparkSession)
+
+    @released
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             items = [pack(chroma(decode(x))) for x in batch["media"]]

@@ -17,7 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from ..shipping import ship
+from .common import materialise, partitions, released, small
 
 #: Characters of text in a block, distinct words whose merges one index replays together, documents per owner of words.
 BLOCK_CHARS = 32_000_000
@@ -189,27 +190,42 @@ _FIELDS = pa.schema(
 )
 
 
-def _block(rows: list[tuple[int | None, str]], pattern: str, owners: int) -> pa.RecordBatch:
-    """Documents as numbers of chunks, chunks as numbers of words (0: the next new word, else its number + 1), owners of words: row 0; then a message per owner."""
-    number: dict[str, int] = {}
-    sizes, sequence = [], []
-    for _, text in rows:
-        pieces = _CUT.split(text) if _HARD.search(text) else text.split(" ")
+class _Block:
+    """Documents as numbers of chunks; texts are not kept."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids: list[int | None] = []
+        self.sizes: list[int] = []
+        self.sequence: list[np.ndarray] = []
+        self.name, self.chars = xxhash.xxh3_64(), 0
+
+    def add(self, i: int | None, text: str) -> None:
+        self.ids.append(i)
+        self.name.update(f"{i} {len(text)} ".encode() + text.encode("utf-8", "surrogatepass"))
+        self.chars += len(text)
         if not text:
-            sizes.append(0)
-            continue
-        head, rest = "\n" + pieces[0], pieces[1:]  # "\n" marks a chunk that starts a text: no space comes before it
-        sizes.append(len(pieces))
-        sequence.append(number.setdefault(head, len(number)))
-        for p in rest:
+            self.sizes.append(0)
+            return
+        pieces = _CUT.split(text) if _HARD.search(text) else text.split(" ")
+        pieces[0] = "\n" + pieces[0]  # marks a chunk that starts a text: no space comes before it
+        number = self.number
+        for p in pieces:
             if p not in number:
                 number[p] = len(number)
-        sequence.extend(map(number.__getitem__, rest))
-    chunks = np.array(sequence, np.int64)
-    often = np.argsort(-np.bincount(chunks, minlength=len(number)), kind="stable")  # frequent chunks get small numbers
-    rank = np.empty(len(often), np.int64)
+        self.sizes.append(len(pieces))
+        self.sequence.append(np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces)))
+
+
+def _messages(held: _Block, pattern: str, owners: int) -> pa.RecordBatch:
+    """Chunks as numbers of words (0: the next new word, else its number + 1), owners of words: row 0; then a message per owner."""
+    sizes, block = held.sizes, held.name.intdigest() >> 1
+    chunks = np.concatenate(held.sequence or [np.zeros(0, np.int32)])
+    often = np.argsort(-np.bincount(chunks, minlength=len(held.number)), kind="stable")  # frequent chunks get small numbers
+    rank = np.empty(len(often), np.int32)
     rank[often] = np.arange(len(often))
-    names = list(number)
+    names = list(held.number)
+    held.number, held.sequence = {}, []
     find = regex.compile(pattern).findall
     word_number: dict[str, int] = {}
     refs, chunk_sizes = [], []
@@ -224,9 +240,8 @@ def _block(rows: list[tuple[int | None, str]], pattern: str, owners: int) -> pa.
     words = [w.encode("utf-8", "surrogatepass") for w in word_number]
     owner = np.array([xxhash.xxh32_intdigest(w) % owners for w in words], np.int64)
     order = np.argsort(owner, kind="stable")
-    block = xxhash.xxh3_64_intdigest(repr((rows[0][0], rows[-1][0], len(rows), sum(len(t) for _, t in rows), rows[0][1][:99])).encode()) >> 1
     own = (np.array(sizes, np.int64), rank[chunks], np.where(is_new, 0, refs + 1), np.array(chunk_sizes, np.int64), owner)
-    out = [(block, -1, [i for i, _ in rows], *map(_packed, own), None, None)]
+    out = [(block, -1, held.ids, *map(_packed, own), None, None)]
     sorted_owner = owner[order]
     starts = np.flatnonzero(np.diff(sorted_owner, prepend=-1))
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
@@ -248,24 +263,26 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
     a very frequent word is one entry per block. A text longer than a block is a block of its own.
     """
     spark = docs.sparkSession
+    ship(spark)
     ranks = spark.sparkContext.broadcast(ranks_file)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     owners = min(1 << 16, max(16, docs.count() // DOCS_PER_OWNER))
 
+    @released
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for row in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held.append(row)
-                n += len(row[1])
-                if n >= BLOCK_CHARS:
-                    yield _block(held, pattern, owners)
-                    held, n = [], 0
-        if held:
-            yield _block(held, pattern, owners)
+        held = _Block()
+        for batch in small(batches):
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held.add(i, text)
+                if held.chars >= BLOCK_CHARS:
+                    yield _messages(held, pattern, owners)
+                    held = _Block()
+        if held.ids:
+            yield _messages(held, pattern, owners)
 
     made = materialise(pairs.mapInArrow(blocks, _BLOCKS), "bpe-blocks")
 
+    @released
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, n = merges(ranks.value), [], 0
         known: dict[bytes, np.ndarray] = {}
@@ -302,12 +319,13 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
     answers = asked.sortWithinPartitions("owner").mapInArrow(answer, "block long, owner int, sizes binary, ids binary")
     parts = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "sizes", F.col("ids").alias("word_ids"))).alias("parts"))
 
+    @released
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = merges(ranks.value).tokens
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                own = sorted(row["parts"] or [], key=lambda x: x["owner"])
+                own = [x for _, x in sorted({x["owner"]: x for x in row["parts"] or ()}.items())]  # equal blocks have equal answers
                 empty = [np.zeros(0, np.int64)]
                 word_ends = _ends(np.concatenate([_unpacked(x["sizes"]) for x in own] or empty))
                 word_ids = np.concatenate([_unpacked(x["word_ids"]) for x in own] or empty)

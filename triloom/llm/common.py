@@ -6,34 +6,21 @@ import ctypes
 import functools
 import gc
 import string
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+from ..sources.scratch import new_path
+
 #: Keys that hold more than 1/HOT_KEYS of all rows number fewer than HOT_KEYS: what is broadcast for them has a proven bound.
 HOT_KEYS = 4096
 #: The six ASCII white-space characters [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), a temporary one that is set for the session."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    context = spark.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="triloom-"))
-    return context.getCheckpointDir().get().rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/triloom-{uuid.uuid4().hex}-{tag}"
-
-
 def materialise(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write df as a table in the shared scratch folder and read it back: later stages start from files that outlive any executor."""
     path = path or new_path(df.sparkSession, tag)
@@ -99,4 +86,5 @@ def ascii_lower(text: Column) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

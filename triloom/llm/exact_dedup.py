@@ -12,8 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import golomb
-from .common import join_groups, materialise
+from .common import join_groups, materialise, released
 
 #: Rows whose fingerprints one block holds: 16 bytes each.
 BLOCK_ROWS = 100_000
@@ -23,6 +24,7 @@ def _normalised(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()  # bytes.lower() changes A-Z only
 
 
+@released
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [_normalised(x) for x in batch.column("body").to_pylist()]
@@ -36,6 +38,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+@released
 def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [_normalised(x) for x in batch.column("body").to_pylist()]
@@ -45,6 +48,7 @@ def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@released
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in golomb.tables(batches, BLOCK_ROWS):
         fps = table.column("fp").to_numpy()
@@ -56,6 +60,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@released
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
@@ -78,11 +83,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of all rows share arrives once per task; the verdicts go back to the rows by join_groups().
     """
     spark = docs.sparkSession
+    ship(spark)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     rows = materialise(pairs.mapInArrow(_fingerprints, "id long, fp long, sha string"), "fingerprints")
     blocks = materialise(rows.select("id", "fp").mapInArrow(_blocks, "block string, ids array<long>, fps array<long>"), "blocks")
     bits = golomb.owner_bits(blocks.agg(F.sum(F.size("ids"))).first()[0] or 0)
 
+    @released
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, fps in zip(batch.column("block").to_pylist(), batch.column("fps").to_pylist(), strict=True):

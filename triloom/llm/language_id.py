@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+from .common import released, small
+
 #: Labelled rows per language that the classifier is fitted on, about: the bound of the training sample.
 SAMPLE_ROWS = 2_000
 #: Feature buckets; nats that a change of language costs; most nats by which one word can speak against a language.
@@ -22,7 +25,7 @@ WORD_LIMIT = 10.0
 #: A language is a candidate for a script that at least this share of its words is written in.
 SCRIPT_SHARE = 0.005
 #: Words that a task keeps scores of, and words that go through Viterbi at a time.
-KNOWN_WORDS, STEP_WORDS = 400_000, 1_000_000
+KNOWN_WORDS, STEP_WORDS = 250_000, 500_000
 
 #: First code points of script ranges and the script (a number per script, 0 for others) from there on.
 SCRIPT_STARTS = (0x0, 0x41, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x2C60, 0x2C80, 0x2E80, 0x3040, 0x3100, 0x3130, 0x3190, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00)
@@ -86,6 +89,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Counts of hashed pairs and triples of letters and of words are summed per language in Spark; the driver gets at most
     BUCKETS + N_SCRIPTS numbers per language.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(id_col).alias("out"))
     rows = rows.where("not out and id is not null and lang is not null and text is not null")
     sizes = {x["lang"]: x["count"] for x in rows.groupBy("lang").count().collect()}
@@ -95,8 +99,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample_rows / sizes[k])))])
     picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             seen: dict[str, Counter] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(_WORDS.findall(text.lower()))
@@ -171,19 +176,21 @@ def detect(docs: DataFrame, model: Model, carry: list[str], text_col: str = "tex
     language uses any of a text's scripts, the most common learned language is given with score 0; without training rows
     all texts are ``und``. Only the text is looked at. Rows may repeat; an empty table gives an empty one.
     """
+    ship(docs.sparkSession)
     spans_type = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())]))
 
+    @released
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known()
         table, lengths = np.zeros((0, len(model.languages)), np.float32), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             if len(known) > KNOWN_WORDS:
                 known = _Known()
                 table, lengths = table[:0], lengths[:0]
             numbers, letters = [], []
             for text in batch.column("text").to_pylist():
                 words = _WORDS.findall(text.lower()) if text else []
-                numbers.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+                numbers.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 letters.append(bool(words) and any(map(str.isalpha, text)))
             if known.new and model.languages:
                 scores, length = model.scores(known.new)

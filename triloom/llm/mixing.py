@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from ..shipping import ship
+from .common import materialise, partitions, released
 
 #: Words in a block, blocks in an output shard, how often a word may be taken, weights of the sources in order.
 BLOCK_WORDS = 64
@@ -146,6 +147,7 @@ def mix(
     (source, block index), so no task holds a source.
     """
     spark = docs.sparkSession
+    ship(spark)
     order = ["src", "o", "id", "size", "h"]
     rows = docs.select(
         F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string"))).alias("src"),
@@ -181,6 +183,7 @@ def mix(
     shards = int(-(-quotas.sum() // shard_blocks))
     names = np.array([x["src"] for x in sources], object)
 
+    @released
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch["id"].tolist():
@@ -220,6 +223,7 @@ def mixed_documents(docs: DataFrame, plan: Mix, id_col: str = "doc_id", text_col
 
     ``body`` is the whole text where all its words are taken, else the taken stretches, joined by \\n. The texts are shuffled once.
     """
+    ship(docs.sparkSession)
     same = Window.partitionBy("id", "h").orderBy("src", "part", "rn")
     ranked = plan.rows.select("src", "part", "rn", "id", "h", F.row_number().over(same).alias("r"))
     ranges = plan.segments().groupBy("src", "part", "rn", "epoch").agg(F.collect_list(F.struct("word_from", "word_to")).alias("ranges"))
@@ -228,6 +232,7 @@ def mixed_documents(docs: DataFrame, plan: Mix, id_col: str = "doc_id", text_col
     held = held.withColumn("r", F.row_number().over(Window.partitionBy("id", "h").orderBy(F.lit(0)))).alias("d")
     both = held.join(wanted, F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.h") == F.col("w.h")) & (F.col("d.r") == F.col("w.r")))
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = [_cut(t, r) for t, r in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]

@@ -12,6 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import golomb
 from .common import join_groups, materialise, partitions, released
 from .components import components
@@ -24,7 +25,7 @@ BLOCK_BYTES, BLOCK_ROWS, VERIFY_TEXTS = 12_000_000, 20_000, 2_000
 #: Tokens in up to 2**5 - 1 documents are indexed singly, in up to 2**9 - 1 as pairs, beyond as triples; sets below 16 tokens only singly.
 PAIR_LEVEL, TRIPLE_LEVEL, SMALL = 6, 10, 16
 #: Nodes and tokens of a tile of a family.
-TILE_NODES, TILE_TOKENS = 2_000, 1_000_000
+TILE_NODES, TILE_TOKENS = 500, 500_000
 _GOLD, _ODD, _MASK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
 
 
@@ -250,6 +251,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each; only what is left after that is compared with its whole family. Hot signatures, nodes, components and families are
     met by join_groups().
     """
+    ship(docs.sparkSession)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = docs.count()
     bits, owners = golomb.key_bits(total * 512), golomb.owner_bits(total * 512)

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path
+from ..shipping import ship
+from .common import materialise, new_path, released
 
 #: Bytes of text that one bucket holds about: a bucket is shuffled in the memory of one task.
 BUCKET_BYTES = 16 << 20
@@ -39,6 +40,7 @@ def shuffle_into_shards(
     gives no rows.
     """
     spark = docs.sparkSession
+    ship(spark)
     spread = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     hashes = materialise(docs.select(spread.alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("b")), "hashes")
     rows, size = hashes.agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
@@ -63,6 +65,7 @@ def shuffle_into_shards(
         held = table.column("row").combine_chunks().take(pa.array(order))
         return pa.RecordBatch.from_arrays([held, pa.array(slot), pa.array(shard.astype(np.int32))], ["row", "slot", "shard"])
 
+    @released
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, b, start = [], None, 0
         for batch in batches:

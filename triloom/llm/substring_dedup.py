@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import golomb
-from .common import join_groups, materialise
+from .common import join_groups, materialise, released
 
 #: Runs that are compared: so many consecutive sentences with so many words together at least.
 RUNS = ((1, 40), (2, 24), (3, 12))
@@ -92,6 +93,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full hash, with map-side combining, and meet their first occurrence by join_groups(), so a passage in a third of the
     documents stays spread. The removals meet the texts in one shuffle.
     """
+    ship(docs.sparkSession)
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(id_col).cast("long").alias("id"),
@@ -100,6 +102,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     bits = golomb.owner_bits(docs.count() * 64)
 
+    @released
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in golomb.tables(batches, BLOCK_ROWS):
             seen, first, second, words, doc, sizes = set(), [], [], [], [], []
@@ -127,6 +130,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sent = golomb.messages(block, keys, counts, bits)
                 yield pa.RecordBatch.from_arrays([*sent.columns, *[pa.nulls(sent.num_rows, f.type) for f in list(_FIELDS)[4:]]], schema=_FIELDS)
 
+    @released
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -153,6 +157,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = join_groups(again, materialise(groups, "run-groups"), ["h1", "h2"], "times", "inner").where(~place.eqNullSafe(F.col("first")))
     drops = others.groupBy("id", "k").agg(F.collect_set(F.struct("pos", "n")).alias("drops")).alias("d")
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies, totals, removed = [], [], []
