@@ -252,3 +252,15 @@ def test_no_literal_star_join_reads_a_table_once(spark):
 def test_explain(engine):
     text = engine.explain(P + 'SELECT ?p { ?p e:born ?c . ?c e:name "York"@en }')
     assert "born" in text and "Physical Plan" in text
+
+
+def test_a_known_subject_narrows_a_variable_predicate(spark):
+    from triloom.sources.relational import Mapping, RelationalSource
+
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id long, n string")
+    b = spark.createDataFrame([(1, 2)], "id long, a long")
+    engine = Engine(spark, RelationalSource(spark, [Mapping("a", a, ["id"]), Mapping("b", b, ["id"], {"a": "a"})]), {"a": "urn:t:a#", "b": "urn:t:b#"})
+    found = list(engine.sparql("SELECT * { ?y b:a ?x . ?x ?p ?o }").rows())
+    assert {(r["?p"], r["?o"]) for r in found} == {("http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "urn:t:A"), ("urn:t:a#id", f'"2"^^{INTEGER}'), ("urn:t:a#n", '"y"')}
+    assert list(engine.sparql('SELECT ?p { ?y b:a ?x . ?x ?p "y" }').rows()) == [{"?p": "urn:t:a#n"}]
+    assert list(engine.sparql("SELECT * { ?y b:a ?x . ?x ?x ?o }").rows()) == []

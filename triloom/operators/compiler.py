@@ -52,12 +52,18 @@ class QueryCompiler:
         out = start
         for i, u in enumerate(units):
             log.info("step %d, about %.0f rows: %s", i, u.count, "; ".join(map(str, u.patterns)))
-            found = self.source.star(u.patterns) if len(u.patterns) > 1 else self.source.match(u.patterns[0])
+            found = self.source.star(u.patterns) if len(u.patterns) > 1 else self.match(u.patterns[0], out)
             out = found if out is None else join(out, found)
             if out.empty:
                 return nothing(self.spark, names)
         return out.select([v for v in names if v in out.encs])
 
+    def match(self, p: Pattern, known: Relation | None) -> Relation:
+        """A pattern's solutions; what is known of its subject may narrow where to look."""
+        if known is not None and T.py_is_open(p.s) and p.s in known.encs and p.s not in known.maybe:
+            return self.source.about(p, known.encs[p.s])
+        return self.source.match(p)
+
     def group(self, node: Group, start: Relation | None = None) -> Relation:
         """Parts joined in order; adjacent patterns are planned together, filters hold for the whole group."""
         out, patterns, filters = start, [], []
@@ -217,7 +223,7 @@ class QueryCompiler:
         for v in names:
             if v in rows.encs:
                 own = Relation(rows.df.where(column(v).isNotNull()).select(column(v)).distinct(), {v: rows.encs[v]})
-                found = join(own, self.source.match(Pattern(v, "?__predicate", "?__object")))
+                found = join(own, self.match(Pattern(v, "?__predicate", "?__object"), own))
                 parts.append(found.df.select(found.term(v).alias("s"), found.term("?__predicate").alias("p"), found.term("?__object").alias("o")))
         for iri in q.variables:
             if not T.py_is_variable(iri) and iri != "*":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..plans.algebra import Pattern
-from ..plans.relation import TERM, Relation, column, nothing
+from ..plans.relation import TERM, Enc, Relation, column, nothing
 
 
 def impossible(p: Pattern) -> bool:
@@ -54,6 +54,10 @@ class Source:
             return nothing(self.spark, p.variables())
         return self.scan(p)
 
+    def about(self, p: Pattern, subject: Enc) -> Relation:
+        """Like match(), where p's subject is a variable known to be so encoded; other subjects may be left out."""
+        return self.match(p)
+
     def triples(self) -> DataFrame:
         """All triples as text."""
         r = self.scan(Pattern("?s", "?p", "?o")).as_terms(["?s", "?p", "?o"])

@@ -208,13 +208,7 @@ class RelationalSource(Source):
             if not T.py_is_open(p.s):
                 kind = m.df.schema[m.key[0]].dataType if len(m.key) == 1 else None
                 df = df.where(self._same(self.subject_enc(m), m.subject(), kind, p.s))
-            cells = [F.struct(F.lit(T.RDF_TYPE).alias("p"), F.lit(self.class_iri(m)).alias("o"))]
-            for c in m.df.columns:
-                if self._maps(m, c):
-                    enc, value = self.object(m, c)
-                    cells.append(F.struct(F.lit(f"{self.base}{m.name}#{c}").alias("p"), enc.term(value).alias("o")))
-            df = df.select(self.subject_enc(m).term(m.subject()).alias("s"), F.inline(F.array(*cells))).where("o is not null")
-            parts.append(df)
+            parts.append(df.select(self.subject_enc(m).term(m.subject()).alias("s"), self._cells(m)).where("o is not null"))
         if not parts:
             return nothing(self.spark, p.variables())
         df = parts[0]
@@ -222,6 +216,27 @@ class RelationalSource(Source):
             df = df.unionAll(other)
         return bind(df, p)
 
+    def _cells(self, m: Mapping) -> Column:
+        """A row's predicates and objects, one row each."""
+        cells = [F.struct(F.lit(T.RDF_TYPE).alias("p"), F.lit(self.class_iri(m)).alias("o"))]
+        for c in m.df.columns:
+            if self._maps(m, c):
+                enc, value = self.object(m, c)
+                cells.append(F.struct(F.lit(self.predicate(m.name, c)).alias("p"), enc.term(value).alias("o")))
+        return F.inline(F.array(*cells))
+
+    def about(self, p: Pattern, subject: Enc) -> Relation:
+        """A variable predicate needs only the table that the subject's keys are of, and joins on those keys."""
+        own = [m for m in self.tables.values() if self.subject_enc(m) == subject]
+        if not T.py_is_open(p.p) or not own or len({p.s, p.p, p.o}) < 3:
+            return self.match(p)
+        m = own[0]
+        df = m.df.select(m.subject().alias("s"), self._cells(m)).where("o is not null")
+        if not T.py_is_open(p.o):
+            df = df.where(F.col("o") == p.o)
+        parts = {p.s: "s", p.p: "p"} | ({p.o: "o"} if T.py_is_open(p.o) else {})
+        return Relation(df.select(*[F.col(x).alias(v) for v, x in parts.items()]), {v: subject if v == p.s else TERM for v in parts})
+
     def predicate(self, table: str, col: str) -> str:
         return f"{self.base}{table}#{col}"
 
