@@ -10,7 +10,7 @@ from math import floor
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -120,6 +120,11 @@ class Mix:
         return self.rows.join(sums, ["src", "part", "rn"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    """128 bits of a row's id and text."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("k2")]
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -148,13 +153,13 @@ def mix(
     """
     spark = docs.sparkSession
     ship(spark)
-    order = ["src", "o", "id", "size", "h"]
+    order = ["src", "o", "id", "size", "k1"]
     rows = docs.select(
         F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string"))).alias("src"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("o"),
         F.col(id_col).alias("id"),
         F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(text_col).alias("h"),
+        *_keys(id_col, text_col),
     )
     rows = materialise(rows, "sizes").repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id())
     rows = materialise(rows, "ranges")
@@ -166,7 +171,7 @@ def mix(
         rows.withColumn("rn", F.row_number().over(within))
         .withColumn("run", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
         .join(sums, ["src", "part"])
-        .select("src", "part", "rn", "id", "h", "size", (F.col("before") + F.col("run") - F.col("size")).alias("start"))
+        .select("src", "part", "rn", "id", "k1", "k2", "size", (F.col("before") + F.col("run") - F.col("size")).alias("start"))
     )
     rows = materialise(rows, "places")
 
@@ -224,19 +229,21 @@ def mixed_documents(docs: DataFrame, plan: Mix, id_col: str = "doc_id", text_col
     ``body`` is the whole text where all its words are taken, else the taken stretches, joined by \\n. The texts are shuffled once.
     """
     ship(docs.sparkSession)
-    same = Window.partitionBy("id", "h").orderBy("src", "part", "rn")
-    ranked = plan.rows.select("src", "part", "rn", "id", "h", F.row_number().over(same).alias("r"))
+    same = Window.partitionBy("k1", "k2").orderBy("src", "part", "rn")
+    ranked = plan.rows.select("src", "part", "rn", "k1", "k2", F.row_number().over(same).alias("r"))
     ranges = plan.segments().groupBy("src", "part", "rn", "epoch").agg(F.collect_list(F.struct("word_from", "word_to")).alias("ranges"))
-    wanted = ranges.join(ranked, ["src", "part", "rn"]).select("id", "h", "r", "epoch", "ranges").alias("w")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    held = held.withColumn("r", F.row_number().over(Window.partitionBy("id", "h").orderBy(F.lit(0)))).alias("d")
-    both = held.join(wanted, F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.h") == F.col("w.h")) & (F.col("d.r") == F.col("w.r")))
+    wanted = ranges.join(ranked, ["src", "part", "rn"]).select("k1", "k2", "r", "ranges")
+    held, key = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys(id_col, text_col)), ["k1", "k2"]
+    if not ranked.where("r > 1").isEmpty():  # equal rows are told apart by their rank, which costs another shuffle of the texts
+        held, key = held.withColumn("r", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))), ["k1", "k2", "r"]
+    both = held.hint("merge").join(wanted, key)
 
     @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = [_cut(t, r) for t, r in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(bodies, pa.string())], ["row", "body"])
+            rows = batch.column("row")
+            bodies = [_cut(t, r) for t, r in zip(rows.field(text_col).to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([rows, pa.array(bodies, pa.string())], ["row", "body"])
 
-    chosen = both.select("d.row", "d.text", "w.ranges")
+    chosen = both.select("row", "ranges")
     return chosen.mapInArrow(cut, f"row {chosen.schema['row'].dataType.simpleString()}, body string")
