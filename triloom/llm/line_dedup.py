@@ -58,11 +58,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("k1", "k2")
         .agg(F.collect_set("pos").alias("drops"))
     )
-    every = F.split("body", "\n", -1)
+    body = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))  # not carried beside row: it would be shuffled twice
     kept = F.array_except(F.sequence(F.lit(0), F.size("all_lines") - 1), F.col("drops"))
     return (
-        keyed.join(drops, ["k1", "k2"], "left")
-        .select("row", "body", "drops", every.alias("all_lines"))
+        keyed.select("row", "k1", "k2")
+        .join(drops, ["k1", "k2"], "left")
+        .select("row", body.alias("body"), "drops", F.split(body, "\n", -1).alias("all_lines"))
         .select(
             "row",
             F.when(F.col("drops").isNull(), F.col("body"))

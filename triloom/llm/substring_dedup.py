@@ -161,7 +161,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies, totals, removed = [], [], []
-            for text, drop in zip(batch.column("text").to_pylist(), batch.column("drops").to_pylist(), strict=True):
+            for text, drop in zip(batch.column("row").field(text_col).to_pylist(), batch.column("drops").to_pylist(), strict=True):
                 gone = {p for x in drop or () for p in range(x["pos"], x["pos"] + x["n"])}
                 kept, number = [], 0
                 for piece in pieces(text):
@@ -175,5 +175,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(bodies, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], ["row", "body", "n_sentences", "n_removed"])
 
     kind = keyed.schema["row"].dataType.simpleString()
-    both = keyed.hint("merge").alias("t").join(drops, F.col("t.id").eqNullSafe(F.col("d.id")) & (F.col("t.k") == F.col("d.k")), "left")
-    return both.select("t.row", "t.text", "d.drops").mapInArrow(cut, f"row {kind}, body string, n_sentences long, n_removed long")
+    both = keyed.select("row", "id", "k").hint("merge").alias("t").join(drops, F.col("t.id").eqNullSafe(F.col("d.id")) & (F.col("t.k") == F.col("d.k")), "left")
+    return both.select("t.row", "d.drops").mapInArrow(cut, f"row {kind}, body string, n_sentences long, n_removed long")
