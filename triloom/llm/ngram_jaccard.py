@@ -21,7 +21,7 @@ N_GRAM = 5
 #: Similarity as a fraction of 100.
 THRESHOLD = 75
 #: Bytes of text and rows that a block holds at most, about; texts in a group that is verified together.
-BLOCK_BYTES, BLOCK_ROWS, VERIFY_TEXTS = 12_000_000, 20_000, 2_000
+BLOCK_BYTES, BLOCK_ROWS, VERIFY_TEXTS = 8_000_000, 20_000, 2_000
 #: Tokens in up to 2**5 - 1 documents are indexed singly, in up to 2**9 - 1 as pairs, beyond as triples; sets below 16 tokens only singly.
 PAIR_LEVEL, TRIPLE_LEVEL, SMALL = 6, 10, 16
 #: Nodes and tokens of a tile of a family.
@@ -33,7 +33,7 @@ class _Words(dict):
     """64-bit hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
