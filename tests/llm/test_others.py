@@ -184,6 +184,42 @@ def test_audio_alignment(spark):
     assert audio.align(prints.limit(0)).count() == 0
 
 
+def best_offsets(items, every):
+    """(query, recording): (offset, bit error), by trying every pair at every offset; no two recordings are equal."""
+    out = {}
+    for q in (i for i in items if i % every == 0):
+        for c in items.keys() - {q}:
+            found = []
+            for offset in range(audio.MIN_OVERLAP - len(items[c]), len(items[q]) - audio.MIN_OVERLAP + 1):
+                a, b = items[c][max(0, -offset) :], items[q][max(0, offset) :]
+                n = min(len(a), len(b))
+                differ = int(np.bitwise_count((a[:n] ^ b[:n]).view(np.uint32)).sum())
+                if n >= audio.MIN_OVERLAP and differ <= audio.MAX_BIT_ERROR * 32 * n:
+                    found.append((2 * differ - 32 * n, offset, differ / (32 * n)))
+            if found:
+                out[q, c] = min(found)[1:]
+    return out
+
+
+def aligned(spark, vectors, every):
+    """The same by align(), and the items."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    prints = materialise(audio.fingerprints(df, "vec_id", "embedding", lambda v: audio.read_wav(audio.melody(v))), "prints")
+    got = {(m["query_id"], r["id"]): (m["offset"], m["bit_error"]) for r in audio.align(prints, every).collect() for m in r["matches"] or ()}
+    return got, {r["id"]: np.array(r["items"], np.int32) for r in prints.collect()}
+
+
+def test_audio_copies_with_bit_errors_up_to_the_limit(spark):
+    rng = np.random.default_rng(11)
+    vectors = {10 * i: rng.normal(0, 0.125, 64) for i in range(30)}
+    vectors |= {i + k: vectors[i] + rng.normal(0, noise, 64) for i in list(vectors) for k, noise in ((1, 0.02), (2, 0.03))}
+    got, items = aligned(spark, vectors, 10)
+    error = {i: np.bitwise_count((items[i] ^ items[i - i % 10]).view(np.uint32)).mean() / 32 for i in items if i % 10}
+    planted = {i for i, e in error.items() if e <= audio.MAX_BIT_ERROR}
+    assert len(planted) > 40 and sum(error[i] > 0.15 for i in planted) >= 5
+    assert {(i - i % 10, i) for i in planted} <= got.keys()
+
+
 @pytest.fixture(scope="module")
 def ranks():
     return bpe.ranks_from(tokenizers.path("byte_bpe_50k.tiktoken"))

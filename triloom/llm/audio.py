@@ -1,4 +1,4 @@
-"""Chroma audio fingerprints: integral-image filters over pitch-class frames, offset histograms, bit errors."""
+"""Chroma audio fingerprints: integral-image filters over pitch-class frames, bit errors at every offset by correlation."""
 
 from __future__ import annotations
 
@@ -24,9 +24,11 @@ LOW_HZ, HIGH_HZ = 60.0, 1_800.0
 SMOOTH = (0.25, 0.75, 1.0, 0.75, 0.25)
 #: A filter's value, the log ratio of two mean energies, falls into one of four steps at -STEP, 0 and STEP.
 STEP, FLOOR = 0.6, 0.02
-#: Pairs of items GAP apart that must be equal at one offset to make a candidate, and the largest share of differing bits of a match.
-MIN_VOTES, GAP, MAX_BIT_ERROR = 2, 2, 0.2
+#: The largest share of differing bits of a match, and the fewest items that overlap in one.
+MAX_BIT_ERROR = 0.2
 MIN_OVERLAP = 16
+#: Items that a block of recordings holds, padding included; values that are correlated at once; transforms beyond this length are in double precision.
+BLOCK_ITEMS, AT_ONCE, LONG = 1 << 16, 1 << 22, 1 << 13
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -138,41 +140,104 @@ def fingerprints(rows: DataFrame, id_col: str, media_col: str, decode: Callable[
     return held.mapInPandas(of, "id long, items array<int>, digest string")
 
 
-def align(prints: DataFrame, every: int = 100, min_votes: int = MIN_VOTES, max_bit_error: float = MAX_BIT_ERROR, min_overlap: int = MIN_OVERLAP) -> DataFrame:
+_BLOCK = "ids binary, sizes binary, items binary"
+
+
+@released
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Recordings of about one length, packed; a recording longer than a block is one by itself."""
+    for batch in batches:
+        sizes = batch["items"].map(len).to_numpy()
+        order, at = np.argsort(sizes, kind="stable"), 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * sizes[order[end]] <= BLOCK_ITEMS:
+                end += 1
+            own, at = order[at:end], end
+            ids, items = batch["class_id"].to_numpy(np.int64)[own], np.concatenate(batch["items"].to_numpy()[own])
+            yield pd.DataFrame({"ids": [ids.tobytes()], "sizes": [sizes[own].astype(np.int64).tobytes()], "items": [items.astype(np.int32).tobytes()]})
+
+
+def _smooth(n: int) -> int:
+    """The smallest 2**a * 3**b * 5**c of n at least: such transforms are fast."""
+    odd = [3**b * 5**c for b in range(40) for c in range(28) if 3**b * 5**c < 2 * n]
+    return min(x << max(0, (-(-n // x) - 1).bit_length()) for x in odd)
+
+
+def _spectra(sizes: np.ndarray, items: np.ndarray, n: int, weight: float) -> np.ndarray:
+    """Transforms of length n of each recording's bits as 1 and -1, and of weight where it has items: (frequency, recording, 33)."""
+    at = np.arange(sizes.max()) < sizes[:, None]
+    signals = np.zeros((*at.shape, 33), np.float32 if n <= LONG else np.float64)
+    bits = np.unpackbits(items.astype("<i4").view(np.uint8).reshape(-1, 4), axis=1)
+    signals[at, :32] = bits * 2.0 - 1.0
+    signals[at, 32] = weight
+    return np.fft.rfft(signals, n, axis=1).transpose(1, 0, 2)
+
+
+def _alike(q_sizes: np.ndarray, q_items: np.ndarray, c_sizes: np.ndarray, c_items: np.ndarray, max_bit_error: float, min_overlap: int) -> tuple[np.ndarray, ...]:
+    """(query, recording, offset, bits that differ, overlap) of the pairs that match: every pair at every offset, the best offset of each.
+
+    The products of the bits as 1 and -1 sum to 32 * overlap - 2 * differing; a last signal takes off what a match must reach,
+    so that one correlation is to be compared with 0. Sums are whole and even, so rounding makes them exact.
+    """
+    low, high = int(min_overlap - c_sizes.max()), int(q_sizes.max() - min_overlap)
+    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    if low > high or not len(q_sizes) or not len(c_sizes):
+        return none
+    n = _smooth(int(q_sizes.max() + c_sizes.max()) - 1)
+    least = 32 * (1 - 2 * max_bit_error)
+    q, c = _spectra(q_sizes, q_items, n, 1.0), np.conj(_spectra(c_sizes, c_items, n, -least)).transpose(0, 2, 1)
+    allowed, out = np.zeros(n, bool), []
+    allowed[np.arange(low, high + 1) % n] = True
+    step = max(1, AT_ONCE // (q.shape[0] * len(c_sizes)))
+    for at in range(0, len(q_sizes), step):
+        sums = np.matmul(np.ascontiguousarray(q[:, at : at + step]), c)
+        sums = np.fft.irfft(sums.reshape(len(sums), -1).T, n, axis=1)
+        pair, o = np.nonzero((sums >= -0.5) & allowed)
+        o, value = np.where(o > high, o - n, o), sums[pair, o]
+        a, b = at + pair // len(c_sizes), pair % len(c_sizes)
+        overlap = np.minimum(c_sizes[b], q_sizes[a] - o) - np.maximum(0, -o)
+        differ = np.rint((32 * overlap - value - least * overlap) / 2).astype(np.int64)
+        fits = (overlap >= min_overlap) & (differ / (32.0 * np.maximum(overlap, 1)) <= max_bit_error)
+        a, b, o, differ, overlap = (x[fits] for x in (a, b, o, differ, overlap))
+        order = np.lexsort((o, 2 * differ - 32 * overlap, b, a))
+        a, b, o, differ, overlap = (x[order] for x in (a, b, o, differ, overlap))
+        first = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))
+        out.append(tuple(x[first] for x in (a, b, o, differ, overlap)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def align(prints: DataFrame, every: int = 100, max_bit_error: float = MAX_BIT_ERROR, min_overlap: int = MIN_OVERLAP) -> DataFrame:
     """A row per recording: id, class_id, class_size, n_items, digest, matches.
 
     Recordings with equal items are a class, named after its smallest id; equal recordings match by that. Classes with a member
-    whose id every divides are queries. A query matches another class when, at the offset at which most pairs of items GAP apart
-    are equal (of equal ones the smallest), at least min_votes are, at least min_overlap items overlap there and at most
-    max_bit_error of the bits of the overlap differ. ``matches`` stands in the row of the class's smallest id and lists the queries that the class matches: (query
+    whose id every divides are queries. A query matches another class when there is an offset at which at least min_overlap items
+    overlap and at most max_bit_error of the bits of the overlap differ; of such offsets that counts at which equal bits exceed
+    differing ones by most (of equal ones the smallest). ``matches`` stands in the row of the class's smallest id and lists the queries that the class matches: (query
     class, offset: position in the query less position here, bit_error), best first; it's null in other rows.
 
-    Recordings without items match nothing. Pairs of items, which unlike recordings seldom share, meet through a join, counted
-    per (query, class, offset) with map-side combining; a third of all recordings being equal is one class. Null ids are members but name no class.
+    Recordings without items match nothing. Every query meets every class at every offset, in blocks of recordings, so nothing
+    that matches is missed; the work grows with queries times classes. A third of all recordings being equal is one class. Null
+    ids are members but name no class. A recording of n items takes some 1000 n bytes of a task's memory.
     """
     classes = prints.groupBy("digest").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.any_value("items").alias("items"), F.coalesce(F.bool_or(F.col("id") % every == 0), F.lit(False)).alias("query"))
     classes = materialise(classes, "classes")
     usable = classes.where("class_id is not null and size(items) > 0")
-    places = F.when(F.size("items") > GAP, F.sequence(F.lit(0), F.size("items") - 1 - GAP))
-    posted = usable.select("class_id", "query", "items", F.explode(places).alias("pos")).select("class_id", "query", "pos", F.get("items", "pos").alias("item"), F.get("items", F.col("pos") + GAP).alias("later"))
-    asked = posted.where("query").select(F.col("class_id").alias("query_id"), F.col("pos").alias("query_pos"), "item", "later")
-    votes = (
-        posted.join(asked, ["item", "later"])
-        .where("class_id <> query_id")
-        .groupBy("query_id", "class_id", F.expr("query_pos - pos").alias("offset"))
-        .agg(F.count(F.lit(1)).alias("votes"))
-        .where(F.col("votes") >= min_votes)
-        .groupBy("query_id", "class_id")
-        .agg(F.max(F.struct("votes", (-F.col("offset")).alias("neg"))).alias("best"))
-        .select("query_id", "class_id", (-F.col("best.neg")).alias("offset"))
-    )
-    own = usable.select("class_id", "items")
-    both = votes.join(own, "class_id").join(own.select(F.col("class_id").alias("query_id"), F.col("items").alias("query_items")), "query_id")
-    start = F.greatest(F.lit(0), -F.col("offset"))
-    overlap = F.least(F.size("items"), F.size("query_items") - F.col("offset")) - start
-    bits = F.aggregate(F.sequence(start, start + F.col("overlap") - 1), F.lit(0), lambda acc, i: acc + F.bit_count(F.get("items", i).bitwiseXOR(F.get("query_items", i + F.col("offset")))))
-    scored = both.withColumn("overlap", overlap).where(F.col("overlap") >= min_overlap).withColumn("bit_error", bits / (F.lit(32.0) * F.col("overlap")))
-    found = scored.where(F.col("bit_error") <= max_bit_error).groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("bit_error", "query_id", "offset"))).alias("matches"))
+    held = materialise(usable.select("class_id", "items").mapInPandas(_blocks, _BLOCK), "item-blocks")
+    asked = materialise(usable.where("query").select("class_id", "items").mapInPandas(_blocks, _BLOCK), "query-blocks")
+    both = held.crossJoin(asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns]))
+
+    @released
+    def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in batch.itertuples():
+                ids, sizes, q_ids, q_sizes = (np.frombuffer(y, np.int64) for y in (x.ids, x.sizes, x.q_ids, x.q_sizes))
+                a, b, offset, differ, overlap = _alike(q_sizes, np.frombuffer(x.q_items, np.int32), sizes, np.frombuffer(x.items, np.int32), max_bit_error, min_overlap)
+                found = pd.DataFrame({"query_id": q_ids[a], "class_id": ids[b], "offset": offset, "bit_error": differ / (32.0 * overlap)})
+                yield found[found["query_id"] != found["class_id"]]
+
+    pairs = both.mapInPandas(matched, "query_id long, class_id long, offset int, bit_error double")
+    found = pairs.groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("bit_error", "query_id", "offset"))).alias("matches"))
     named = classes.select("digest", "class_id", "class_size", F.size("items").alias("n_items")).join(found, "class_id", "left")
     named = materialise(named, "class-matches")
     return join_groups(prints.select("id", "digest"), named, ["digest"], "class_size", "inner").select(
