@@ -220,6 +220,19 @@ def test_audio_copies_with_bit_errors_up_to_the_limit(spark):
     assert {(i - i % 10, i) for i in planted} <= got.keys()
 
 
+def test_audio_finds_what_brute_force_finds(spark):
+    rng = np.random.default_rng(12)
+    vectors = {i: rng.normal(0, 0.125, rng.integers(16, 65)) for i in range(0, 200)}
+    vectors |= {1000 + i: vectors[i][:-8] + rng.normal(0, 0.02, len(vectors[i]) - 8) for i in range(0, 200, 10)}
+    vectors |= {2000 + i: np.concatenate([rng.normal(0, 0.125, 30), vectors[i][:14] + rng.normal(0, 0.01, 14)]) for i in range(5, 200, 10)}
+    got, items = aligned(spark, vectors, 5)
+    lengths = {i: len(x) for i, x in items.items()}
+    want = best_offsets(items, 5)
+    short = sum(min(lengths[c], lengths[q] - o) - max(0, -o) < 30 for (q, c), (o, _) in want.items())
+    assert len(want) > 80 and short > 20 and len({*lengths.values()}) > 30
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def ranks():
     return bpe.ranks_from(tokenizers.path("byte_bpe_50k.tiktoken"))
