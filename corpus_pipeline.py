@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triloom.llm import bpe, language_id
-from triloom.llm.common import materialise, read
+from triloom.llm.common import ascii_lower, materialise, read
 from triloom.llm.line_dedup import line_dedup
 from triloom.llm.mixing import mix, mixed_documents
 from triloom.llm.ngram_jaccard import jaccard_components
@@ -42,12 +42,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays, of rows that repeat an id one; rows with a null id stay as they are."""
-    found = jaccard_components(docs)
-    stay = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(stay.hint("merge"), "doc_id", "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1")
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each component one row stays: the one with the smallest id (null last), then of the smallest hash of its text. Rows that share an id are rows of their own."""
+    found = jaccard_components(docs, keyed=True)
+    alone = F.col("component").isNull()  # no words: linked with nothing
+    first = found.groupBy("component", F.when(alone, F.col("id")), F.when(alone, F.col("text_key"))).agg(F.min(F.struct(F.col("id").isNull(), "id", "text_key")).alias("first"))
+    first = materialise(first.select(F.col("first.id").alias("doc_id"), F.col("first.text_key").alias("__k")), "first-rows")
+    keyed = docs.withColumn("__k", F.xxhash64(ascii_lower(F.coalesce("text", F.lit("")))))
+    same = Window.partitionBy("doc_id", "__k").orderBy(F.xxhash64("text"))
+    kept = keyed.join(first.hint("merge"), ["doc_id", "__k"], "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1")
+    nameless = keyed.where("doc_id is null").groupBy("__k").agg(F.min(F.struct(F.xxhash64("text"), F.struct(*docs.columns).alias("row"))).alias("least"))
+    nameless = nameless.join(first.where("doc_id is null"), "__k", "left_semi").select("least.row.*")
+    return kept.select(docs.columns).unionByName(nameless)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,18 @@ def test_stages(spark, corpus, tmp_path):
     assert sorted(map(tuple, tokens)) == sorted(want)
 
 
+def test_near_copies_row_by_row(frame):
+    rng = random.Random(12)
+    texts = [prose(rng, "en", 60) for _ in range(12)]
+    rows = [(0, texts[0]), (5, texts[1]), (5, texts[1].upper()), (None, texts[0]), (None, texts[2]), (None, texts[2]), (None, texts[2] + " end"), (None, texts[3])]
+    rows += [(10 + i, t) for i in range(8) for t in (texts[0] + f" more{i}", texts[4 + i])]  # each id: a near copy of 0 and a text of its own
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(None, frame(rows), "").collect()]
+    assert sorted(i for i, _ in kept if i is not None) == [0, 5, *range(10, 18)]
+    assert {(0, texts[0]), *((10 + i, texts[4 + i]) for i in range(8))} <= {*kept}
+    nameless = sorted(t for i, t in kept if i is None)
+    assert len(nameless) == 2 and texts[3] in nameless and any(t.startswith(texts[2]) for t in nameless)
+
+
 def test_run_gives_the_same(spark, corpus):
     a, b = (sorted(map(str, corpus_pipeline.run(spark, corpus).collect())) for _ in range(2))
     assert a == b and a

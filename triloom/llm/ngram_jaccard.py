@@ -231,8 +231,9 @@ def _linked(rows: list[tuple[bytes, bytes, np.ndarray, int]], across: bool, thre
     return found
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_gram: int = N_GRAM, threshold: int = THRESHOLD) -> DataFrame:
-    """A row per input row: ``id``, ``n_shingles``, ``component_id``.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_gram: int = N_GRAM, threshold: int = THRESHOLD, keyed: bool = False) -> DataFrame:
+    """A row per input row: ``id``, ``n_shingles``, ``component_id``; if keyed also ``text_key``, xxhash64() of the lower-cased text, and
+    ``component``, which names the component whatever its ids (null without words).
 
     A document's set: the distinct n_gram-word shingles of its text, A-Z lower-cased, words cut at ASCII white space; a shorter
     text is one shingle; one without words (null, empty) has none and is linked with nothing. Documents link when 100 times
@@ -299,14 +300,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     if node and node not in seen:
                         seen.add(node)
                         found = signatures(own, level, threshold)
-                    out.append((i, node, len(own), text if found else None, np.array(sorted(found), np.uint64).view(np.int64) if found else None))
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], ["id", "node", "n", "text", "sigs"])
+                    key = xxhash.xxh64_intdigest(text, seed=42) if keyed else None
+                    out.append((i, node, len(own), None if key is None else key - (key >> 63 << 64), text if found else None, np.array(sorted(found), np.uint64).view(np.int64) if found else None))
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], ["id", "node", "n", "k", "text", "sigs"])
 
     blocks = pairs.mapInArrow(packed, "block string, ids array<long>, lengths array<long>, texts binary")
-    every = blocks.hint("merge").join(parts, "block", "left").mapInArrow(index, "id long, node binary, n long, text binary, sigs array<long>")
+    every = blocks.hint("merge").join(parts, "block", "left").mapInArrow(index, "id long, node binary, n long, k long, text binary, sigs array<long>")
     every = materialise(every, "signatures")
-    rows, indexed = every.select("id", "n", "node"), every.where("sigs is not null")
+    rows, indexed = every.select("id", "n", "node", *(["k"] if keyed else [])), every.where("sigs is not null")
     texts = materialise(indexed.select("node", "n", "text").dropDuplicates(["node"]), "texts")
     groups = max(partitions(docs.sparkSession), texts.count() // VERIFY_TEXTS)
     members = indexed.select("node", F.size("sigs").alias("weight"), "n", F.explode("sigs").alias("sig")).distinct()
@@ -334,6 +336,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = materialise(classes.join(names, "node", "left"), "classes")
     merged = classes.where("comp is not null").groupBy("comp").agg(F.min("least_id").alias("comp_id"), F.count(F.lit(1)).alias("nodes"))
     joined = join_groups(classes.where("comp is not null"), materialise(merged, "merged"), ["comp"], "nodes", "inner")
-    alone = classes.where("comp is null").select("node", "least_id", "copies")
-    classes = materialise(joined.select("node", F.col("comp_id").alias("least_id"), "copies").unionByName(alone), "component-ids")
-    return join_groups(rows, classes, ["node"], "copies").select("id", F.col("n").alias("n_shingles"), F.coalesce("least_id", "id").alias("component_id"))
+    alone = classes.where("comp is null").select("node", "least_id", "copies", *([F.col("node").alias("comp")] if keyed else []))
+    classes = materialise(joined.select("node", F.col("comp_id").alias("least_id"), "copies", *(["comp"] if keyed else [])).unionByName(alone), "component-ids")
+    more = [F.col("k").alias("text_key"), F.col("comp").alias("component")] if keyed else []
+    return join_groups(rows, classes, ["node"], "copies").select("id", F.col("n").alias("n_shingles"), F.coalesce("least_id", "id").alias("component_id"), *more)
