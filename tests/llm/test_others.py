@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import tiktoken
 
-from triloom.llm import audio, bpe, language_id
+from triloom.llm import audio, bpe, language_id, mixing
 from triloom.llm.common import materialise
 from triloom.llm.mixing import mix, mixed_documents, permuted, shard_counts, targets
 from triloom.llm.sharding import _positions, shuffle_into_shards
@@ -296,6 +296,20 @@ def test_permutation_and_draws():
     assert all((starts[i + 1] == starts[i] + counts[i]).all() for i in range(shards - 1))
 
 
+def test_draws_of_many_slots_follow_the_law():
+    rare = np.array([1, 2, 2 * mixing._DRAW_LIMIT])  # a few slots among very many: most draws of a hundredth get none
+    found = np.array([mixing._draw(np.random.default_rng([1, i]), rare, int(rare.sum()) // 100) for i in range(5000)])
+    assert (found.sum(axis=1) == rare.sum() // 100).all() and 25 <= found[:, 0].sum() <= 80 and 65 <= found[:, 1].sum() <= 140
+    rng = np.random.default_rng(2)
+    for good, bad, n in ((30, 50, 20), (5, 900, 300), (400, 7, 390), (0, 9, 4), (9, 0, 4)):
+        own = np.bincount([mixing._hypergeometric(rng, good, bad, n) for _ in range(20_000)], minlength=n + 1)
+        of_numpy = np.bincount(rng.hypergeometric(good, bad, n, 20_000), minlength=n + 1)
+        assert np.abs(np.cumsum(own - of_numpy)).max() < 500  # Kolmogorov and Smirnov's distance: 0.025
+    big = 3 * mixing._DRAW_LIMIT
+    found = np.array([mixing._hypergeometric(rng, big, big, big) for _ in range(400)], np.float64)
+    assert abs(found.mean() - big / 2) < 5 * (big / 8 / 400) ** 0.5 and 0.8 < found.var() / (big / 8) < 1.25
+
+
 def test_mixing(frame):
     rng = random.Random(8)
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(rng.randint(0, 300))), "en", rng.choice(["a", "b", "b", "b", "ü", None, "tiny"] if i % 40 else ["tiny"]), i) for i in range(300)]

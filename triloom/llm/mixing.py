@@ -63,15 +63,26 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """A hypergeometric draw at any size, by inversion: the weights come from the ratios of neighbours, as far as 12 deviations from the mean and 64 more."""
+    total = max(1, good + bad)
+    mean = n * good / total
+    reach = int(12 * (mean * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5) + 64
+    low, high = max(0, n - bad, int(mean) - reach), min(good, n, int(mean) + reach)
+    k = np.arange(low, high, dtype=np.int64)
+    ratios = np.log((good - k).astype(np.float64)) + np.log((n - k).astype(np.float64)) - np.log(k + 1.0) - np.log((bad - n + 1 + k).astype(np.float64))
+    weights = np.concatenate([[0.0], np.cumsum(ratios)])
+    sums = np.cumsum(np.exp(weights - weights.max()))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
+
+
 def _draw(rng: np.random.Generator, quotas: np.ndarray, n: int) -> np.ndarray:
-    """How many of n slots each source gets: multinomial draws given that the quotas are used up in the end."""
+    """How many of n slots each source gets: multinomial draws given that the quotas are used up in the end. One law at every size."""
     if quotas.sum() < _DRAW_LIMIT:
         return rng.multivariate_hypergeometric(quotas, n, method="marginals").astype(np.int64)
-    out, left, all_left = np.zeros(len(quotas), np.int64), n, int(quotas.sum())
+    out, left, all_left = np.zeros(len(quotas), np.int64), int(n), int(quotas.sum())
     for i, quota in enumerate(quotas.tolist()):
-        mean = left * quota / max(1, all_left)
-        deviation = (mean * (1 - quota / max(1, all_left)) * (all_left - left) / max(1, all_left - 1)) ** 0.5
-        out[i] = min(quota, left, max(0, left - (all_left - quota), round(rng.normal(mean, deviation))))
+        out[i] = _hypergeometric(rng, quota, all_left - quota, left)
         left, all_left = left - int(out[i]), all_left - quota
     return out
 
