@@ -6,7 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from triloom.llm import golomb
+from triloom.llm import golomb, ngram_jaccard
+from triloom.llm.common import materialise
 from triloom.llm.components import components
 from triloom.llm.exact_dedup import exact_dedup
 from triloom.llm.line_dedup import line_dedup
@@ -179,7 +180,7 @@ def test_jaccard_components(frame, seed):
 
 def test_jaccard_empty(frame):
     assert jaccard_components(frame([])).count() == 0
-    assert [tuple(r) for r in jaccard_components(frame([(1, None), (2, " ")])).collect()] == [(1, 0, 1), (2, 0, 2)]
+    assert sorted(tuple(r) for r in jaccard_components(frame([(1, None), (2, " ")])).collect()) == [(1, 0, 1), (2, 0, 2)]
 
 
 def test_similar_sets_share_a_signature():
@@ -202,9 +203,42 @@ def test_linked_gives_a_spanning_set():
     rng = random.Random(2)
     rows = near_copies(rng, 50, 40, 3, 0)
     words = _Words()
-    nodes = [(str(i).encode(), str(i).encode(), shingles(t.encode(), words), i % 2) for i, t in rows]
-    assert len(_linked(nodes, False, 75)) <= 49
-    assert all(int(a) % 2 != int(b) % 2 for a, b in _linked(nodes, True, 75))
+    nodes = [(str(i).encode(), str(i).encode(), shingles(t.encode(), words)) for i, t in rows]
+    assert len(_linked(nodes, nodes, 75)) <= 49
+    found = _linked(nodes[::2], nodes[1::2], 75)
+    assert found and all(int(a) % 2 == 1 and int(b) % 2 == 0 for a, b in found)
+    assert _linked([], nodes, 75) == _linked(nodes, [], 75) == []
+
+
+def test_jaccard_large_group_with_shared_passages(frame, monkeypatch):
+    """5,000 near copies of a text, many of them too far from the pivot, and unlike texts that share a passage with them: nothing gathers in one task."""
+    seen = []
+
+    def spied(ties, threshold):
+        seen.append(materialise(real(ties, threshold), "spied"))
+        return seen[-1]
+
+    real = ngram_jaccard._meetings
+    monkeypatch.setattr(ngram_jaccard, "_meetings", spied)
+    rng = random.Random(8)
+    rows = near_copies(rng, 5000, 80, 5, 1000)
+    passage = " ".join(rows[0][1].split()[:40])
+    rows += [(i, passage + " " + " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(30))) for i in range(300)]
+    found = {r["id"]: r["component_id"] for r in jaccard_components(frame(rows)).collect()}
+    words, near = _Words(), {}
+    sets = {i: set(shingles(t.encode(), words).tolist()) for i, t in rows}
+    names = {i: found[i] for i, _ in rows}
+    assert all(names[i] == i for i in range(300))  # a passage of half a text is no link
+    for i, own in sets.items():
+        if i >= 1000:
+            near.setdefault(names[i], []).append(i)
+    largest = max(near.values(), key=len)
+    others = [i for i in sets if i >= 1000 and i not in set(largest)]
+    assert 2000 < len(largest) < 4000  # copies with up to two changes or so
+    for i in others:  # outside the large component: no link with any of it
+        assert all(100 * len(sets[i] & sets[j]) < 75 * len(sets[i] | sets[j]) for j in largest)
+    meet = seen[0].groupBy("tile", "slot").count().toPandas()["count"]
+    assert len(meet) >= 20 and meet.max() <= 0.05 * meet.sum()
 
 
 def test_components(spark):

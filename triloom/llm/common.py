@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from ..sources.scratch import new_path
 
-#: Keys that hold more than 1/HOT_KEYS of all rows number fewer than HOT_KEYS: what is broadcast for them has a proven bound.
+#: A key is hot when it holds more than one part in hot_parts() of all rows: at least one in so many, and a quarter of a partition's share.
 HOT_KEYS = 4096
 #: The six ASCII white-space characters [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -58,20 +58,37 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_parts(spark: SparkSession) -> int:
+    """Hot keys number fewer than this, whatever the input: what is broadcast for them has a proven bound, and it follows the number of partitions."""
+    return max(HOT_KEYS, 4 * partitions(spark))
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], weight: str, how: str = "left") -> DataFrame:
     """rows joined to groups, which has one row per key and in ``weight`` how many of the rows hold it.
 
-    A key may hold a third of all rows. Keys over 1/HOT_KEYS of the total weight (fewer than HOT_KEYS of them, whatever the
-    input) are broadcast, so their rows stay where they are; the others are shuffled. Both inputs are read more than once and
-    should be tables. Rows with a null key find no partner.
+    A key may hold a third of all rows. Hot keys (fewer than hot_parts() of them) are broadcast, so their rows stay where they are; the
+    others are shuffled. rows is read more than once and should be a table, groups one or a plain aggregate of one. Rows with a null key find no partner.
     """
-    total = groups.agg(F.sum(weight)).first()[0] or 0
-    is_hot = F.col(weight) * HOT_KEYS > F.lit(total)
+    is_hot = F.col(weight) * hot_parts(rows.sparkSession) > F.lit(rows.count())
     hot = F.broadcast(groups.where(is_hot))
     cold_rows = rows.join(F.broadcast(groups.where(is_hot).select(*key)), key, "left_anti")
     return rows.join(hot, key, "inner").unionByName(cold_rows.join(groups.where(~is_hot), key, how))
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """rows joined to table, whose rows are large or several a key, so that hot ones can't be broadcast.
+
+    A key may hold a third of rows. Rows of a hot key are dealt into as many parts as it holds hot_parts() shares, and its rows of table are
+    copied to each part. rows is read more than once and should be a table; names that begin with two underscores are taken.
+    """
+    parts, total = hot_parts(rows.sparkSession), rows.count()
+    times = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__times")).where(F.col("__times") * parts > total)
+    hot = F.broadcast(times.select(*key, F.ceil(F.col("__times") * parts / F.lit(max(1, total))).cast("int").alias("__parts")))
+    dealt = rows.join(hot, key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    copied = table.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copied, [*key, "__part"]).drop("__part")
+
+
 def ascii_lower(text: Column) -> Column:
     """text with A-Z lower-cased and nothing else.
 

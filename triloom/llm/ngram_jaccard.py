@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import golomb
-from .common import join_groups, materialise, partitions, released
+from .common import join_groups, materialise, partitions, released, spread_join
 from .components import components
 
 N_GRAM = 5
@@ -24,8 +24,8 @@ THRESHOLD = 75
 BLOCK_BYTES, BLOCK_ROWS, VERIFY_TEXTS = 8_000_000, 20_000, 2_000
 #: Tokens in up to 2**5 - 1 documents are indexed singly, in up to 2**9 - 1 as pairs, beyond as triples; sets below 16 tokens only singly.
 PAIR_LEVEL, TRIPLE_LEVEL, SMALL = 6, 10, 16
-#: Nodes and tokens of a tile of a family.
-TILE_NODES, TILE_TOKENS = 500, 500_000
+#: Nodes and tokens of a tile, and of a group of visitors to it.
+TILE_NODES, TILE_TOKENS = 250, 500_000
 _GOLD, _ODD, _MASK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
 
 
@@ -129,12 +129,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, groups: int, n_gram: int, thresh
     """The pairs (``a``, ``b``) whose sets reach the threshold.
 
     Texts of a are dealt into groups; a text b goes once to each group that holds a partner of it, with the list of them, so the
-    text of a node with very many partners is sent at most once per group. A task keeps the sets of one group.
+    text of a node with very many partners is sent at most once per group, from several tasks (spread_join()). A task keeps the sets of one group.
     """
     group = F.pmod(F.xxhash64("a"), F.lit(groups)).alias("group")
     pairs = pairs.withColumn("group", group)
     left = pairs.select("group", "a").distinct().join(texts.select(F.col("node").alias("a"), "text").hint("merge"), "a").select("group", F.lit(0).alias("tag"), F.col("a").alias("node"), "text", F.lit(None).cast("array<binary>").alias("partners"))
-    right = pairs.groupBy("group", "b").agg(F.collect_list("a").alias("partners")).join(texts.select(F.col("node").alias("b"), "text").hint("merge"), "b").select("group", F.lit(1).alias("tag"), F.col("b").alias("node"), "text", "partners")
+    asked = materialise(pairs.groupBy("group", "b").agg(F.collect_list("a").alias("partners")), "partners")  # at most a group's nodes
+    right = spread_join(asked, texts.select(F.col("node").alias("b"), "text"), ["b"]).select("group", F.lit(1).alias("tag"), F.col("b").alias("node"), "text", "partners")
 
     @released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,46 +161,68 @@ def _verify(pairs: DataFrame, texts: DataFrame, groups: int, n_gram: int, thresh
     return left.unionByName(right).repartition(groups, "group").sortWithinPartitions("group", "tag").mapInArrow(compare, "a binary, b binary")
 
 
-def _verify_families(families: DataFrame, comps: DataFrame, texts: DataFrame, n_gram: int, threshold: int) -> DataFrame:
-    """Links (``a``, ``b``) that join different components (``comp`` of each node) within a family, as many as it takes.
+def _meetings(ties: DataFrame, threshold: int) -> DataFrame:
+    """Which nodes of open buckets are compared where: (``tile``, ``slot``, ``role``, ``node``, ``comp``), role 0 at home in a tile, 1 visiting it.
 
-    A family is dealt into tiles of bounded nodes and tokens, and every two tiles meet in one task, which counts overlaps
-    through postings of tokens and gives out only links that join what is not joined yet. No pairs travel.
+    ties: (``sig``, ``size``, ``node``, ``n``, ``comp``, ``rank``, ``hi``): the members of each open bucket, ``size`` of them, with their components, ordered
+    by ``rank``, and the last component of the bucket in that order. Every node is at home in one tile, of bounded nodes and tokens, cut
+    from the nodes whose largest bucket is the same. Of two members of a bucket that are in different components, the one in
+    the earlier component visits the other's tile, whatever else they share; the last component's members, such as a large group
+    that is joined already, go nowhere. Visitors to a tile are dealt into groups (slots) of bounded nodes and tokens, and the tile's own nodes go to each.
     """
-    held = families.join(comps, "node").join(texts.hint("merge"), "node")
-    sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("tokens"))
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("nodes") / TILE_NODES), F.ceil(F.col("tokens") / TILE_TOKENS)).cast("int")
-    sizes = materialise(sizes.select("family", "nodes", tiles.alias("tiles")), "families")
-    held = join_groups(materialise(held, "family-texts"), sizes, ["family"], "nodes", "inner").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    meet = held.select("family", "node", "comp", "text", "tile", other).select("family", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "comp", "text", "tile")
-    total = sizes.agg(F.sum(F.col("nodes") * F.col("tiles"))).first()[0] or 0
+    order = F.struct("rank", "comp")
+    homes = ties.groupBy("node").agg(F.max(F.struct("size", "sig")).alias("largest"), F.first("comp").alias("comp"), F.first("n").alias("n"))
+    homes = materialise(homes.select("node", "comp", "n", F.col("largest.sig").alias("anchor")), "anchors")
+    chunks = lambda n: F.greatest(F.ceil(n / TILE_NODES), F.ceil(F.sum("n") / TILE_TOKENS)).cast("int")
+    sizes = homes.groupBy("anchor").agg(F.count(F.lit(1)).alias("nodes"), chunks(F.count(F.lit(1))).alias("chunks"))
+    homes = join_groups(homes, sizes, ["anchor"], "nodes", "inner")
+    tile = F.xxhash64("anchor", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("tile")
+    homes = materialise(homes.select("node", "comp", "n", tile), "homes")
+
+    placed = materialise(ties.join(homes.select("node", "tile"), "node").select("sig", "node", "n", "rank", "comp", "hi", "tile"), "placed")
+    held = placed.groupBy("sig", "tile").agg(F.max(order).alias("top"), F.min("n").alias("lo"), F.max("n").alias("most"))
+    going = placed.where(order < F.col("hi")).select("sig", "node", "n", "rank", "comp")
+    fits = (order < F.col("top")) & F.expr(f"100 * n >= {threshold} * lo and 100 * most >= {threshold} * n")
+    visits = spread_join(going, held, ["sig"]).where(fits).select("tile", "node", "comp", "n").distinct()
+    visits = materialise(visits, "visits")
+    asked = visits.groupBy("tile").agg(F.count(F.lit(1)).alias("visitors"), chunks(F.count(F.lit(1))).alias("slots"))
+    guests = join_groups(visits, asked, ["tile"], "visitors", "inner").select("tile", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int").alias("slot"), F.lit(1).alias("role"), "node", "comp")
+    slot = F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")
+    return guests.unionByName(homes.join(asked, "tile").select("tile", slot, F.lit(0).alias("role"), "node", "comp"))
+
+
+def _verify_open(ties: DataFrame, texts: DataFrame, n_gram: int, threshold: int) -> DataFrame:
+    """Links (``a``, ``b``) that join different components of open buckets, as many as it takes: see _meetings(). No pairs travel."""
+    meet = materialise(_meetings(ties, threshold), "meetings")
+    total = meet.count()
+    meet = spread_join(meet, texts.select("node", "text"), ["node"])
 
     @released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, at = _Words(), [], None
 
         def links() -> pa.RecordBatch:
-            found = _linked([(node, comp, shingles(text, words, n_gram), tile) for node, comp, text, tile in held], at[1] != at[2], threshold) if held else []
+            rows = [(role, node, comp, shingles(text, words, n_gram)) for role, node, comp, text in held]
+            found = _linked([x[1:] for x in rows if not x[0]], [x[1:] for x in rows if x[0]], threshold)
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
             for row in batch.to_pylist():
-                key = row["family"], row["i"], row["j"]
+                key = row["tile"], row["slot"]
                 if key != at:
                     if held:
                         yield links()
                     held, at = [], key
-                held.append((row["node"], row["comp"], row["text"], row["tile"]))
+                held.append((row["role"], row["node"], row["comp"], row["text"]))
         if held:
             yield links()
 
-    count = max(partitions(families.sparkSession), total // VERIFY_TEXTS)
-    return meet.repartition(count, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(compare, "a binary, b binary")
+    count = max(partitions(ties.sparkSession), total // VERIFY_TEXTS)
+    return meet.repartition(count, "tile", "slot").sortWithinPartitions("tile", "slot").mapInArrow(compare, "a binary, b binary")
 
 
-def _linked(rows: list[tuple[bytes, bytes, np.ndarray, int]], across: bool, threshold: int) -> list[tuple[bytes, bytes]]:
-    """Links between rows (node, component, tokens, tile) that join components; across: only those between different tiles."""
+def _linked(home: list[tuple[bytes, bytes, np.ndarray]], visitors: list[tuple[bytes, bytes, np.ndarray]], threshold: int) -> list[tuple[bytes, bytes]]:
+    """Links between visitors and nodes at home (node, component, tokens) that join components. Overlaps are counted through postings of tokens."""
     root: dict[bytes, bytes] = {}
 
     def find(x: bytes) -> bytes:
@@ -207,27 +230,24 @@ def _linked(rows: list[tuple[bytes, bytes, np.ndarray, int]], across: bool, thre
             root[x] = x = root[root[x]]
         return x
 
-    sizes = np.array([len(x[2]) for x in rows])
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    tokens, number, df = np.unique(np.concatenate([x[2] for x in rows]), return_inverse=True, return_counts=True)
-    number = number.ravel()
-    postings, ends = owner[np.argsort(number, kind="stable")], np.concatenate([[0], np.cumsum(df)])
-    starts = np.cumsum(sizes) - sizes
-    tile = np.array([x[3] for x in rows])
+    if not home or not visitors:
+        return []
+    sizes = np.array([len(x[2]) for x in home])
+    owner = np.repeat(np.arange(len(home)), sizes)
+    tokens, number, df = np.unique(np.concatenate([x[2] for x in home]), return_inverse=True, return_counts=True)
+    postings, ends = owner[np.argsort(number.ravel(), kind="stable")], np.concatenate([[0], np.cumsum(df)])
     found = []
-    for i, (node, comp, own, _) in enumerate(rows):
-        mine = number[starts[i] : starts[i] + len(own)]
-        mine = mine[df[mine] > 1]
-        if not len(mine):
+    for node, comp, own in visitors:
+        at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+        at = at[tokens[at] == own]
+        if not len(at):
             continue
-        common = np.bincount(np.concatenate([postings[ends[t] : ends[t + 1]] for t in mine.tolist()]), minlength=len(rows))[:i]
-        for k in np.flatnonzero(100 * common >= threshold * (sizes[i] + sizes[:i] - common)).tolist():
-            if across and tile[k] == tile[i]:
-                continue
-            x, y = find(comp), find(rows[k][1])
+        common = np.bincount(np.concatenate([postings[ends[t] : ends[t + 1]] for t in at.tolist()]), minlength=len(home))
+        for k in np.flatnonzero(100 * common >= threshold * (len(own) + sizes - common)).tolist():
+            x, y = find(comp), find(home[k][1])
             if x != y:
                 root[x] = y
-                found.append((node, rows[k][0]))
+                found.append((node, home[k][0]))
     return found
 
 
@@ -243,56 +263,58 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with equal sets are one node, whatever their ids (null ids or repeated ones too: a row without any non-null id in its
     component gets null). Other columns are not read; an empty table gives an empty one. Ids are integers.
 
-    Token frequencies, over all documents, come from the Golomb-coded exchange. The input is read twice and must be the same
-    both times, as a table is; a difference fails the job. Sets are indexed under signatures(). First each bucket of equal
-    signatures compares its members with one pivot, the set with most signatures, which in a group of near copies is the least
-    altered one; verified links make components. Buckets whose members are all in one component are done. Nodes that the other
-    buckets tie together, directly or through others, are a family, within which all links between different components are then found
-    (_verify_families()), so no link that joins two components is lost. Copies near to a pivot, however many, cost one comparison
-    each; only what is left after that is compared with its whole family. Hot signatures, nodes, components and families are
-    met by join_groups().
+    Token frequencies, over all documents, come from the Golomb-coded exchange between blocks of texts, which are written once. Sets are
+    indexed under signatures(). First each bucket of equal signatures compares its members with one pivot, the set with most
+    signatures, which in a group of near copies is the least altered one; verified links make components. Buckets whose
+    members are all in one component are done. In the others, every two members of different components are compared, each
+    node with the tiles that hold such partners of it (_meetings()), so no link that joins two components is lost. Copies near to
+    a pivot, however many, cost one comparison each, and what is left meets them tile by tile. Hot signatures, pivots, nodes, components
+    and tiles are met by join_groups() and spread_join().
     """
     ship(docs.sparkSession)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    total = docs.count()
+
+    @released
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, texts in _blocks(batches):
+            data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())), pa.array([data])], ["block", "ids", "lengths", "texts"])
+
+    def opened(batch: pa.RecordBatch) -> Iterator[tuple[dict, list[bytes]]]:
+        """(row, texts) of each block of a batch."""
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            data, ends = zstandard.ZstdDecompressor().decompress(row["texts"]), np.cumsum(row["lengths"]).tolist()
+            yield row, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    blocks = materialise(pairs.mapInArrow(packed, "block string, ids array<long>, lengths array<long>, texts binary"), "text-blocks")
+    total = blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
     bits, owners = golomb.key_bits(total * 512), golomb.owner_bits(total * 512)
     shift = np.uint64(64 - bits)
 
     @released
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for block, _, texts in _blocks(batches):
-            sets = {own.tobytes(): own for own in (shingles(text, words, n_gram) for text in texts) if len(own)}
-            if sets:
-                keys, counts = np.unique(np.concatenate(list(sets.values())) >> shift, return_counts=True)
-                yield golomb.messages(block, keys, counts, owners, bits)
+        for batch in batches:
+            for row, texts in opened(batch):
+                sets = {own.tobytes(): own for own in (shingles(text, words, n_gram) for text in texts) if len(own)}
+                if sets:
+                    keys, counts = np.unique(np.concatenate(list(sets.values())) >> shift, return_counts=True)
+                    yield golomb.messages(row["block"], keys, counts, owners, bits)
 
-    parts = golomb.replies(pairs.mapInArrow(send, golomb.MESSAGE)).groupBy("block").agg(F.collect_list(F.struct("owner", "levels")).alias("parts"))
+    parts = golomb.replies(blocks.select("block", "lengths", "texts").mapInArrow(send, golomb.MESSAGE)).groupBy("block").agg(F.collect_list(F.struct("owner", "levels")).alias("parts"))
     parts = materialise(parts, "levels")
 
-    @released
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in _blocks(batches):
-            data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())), pa.array([data])], ["block", "ids", "lengths", "texts"])
-
     @released
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                data, at, texts = zstandard.ZstdDecompressor().decompress(row["texts"]), 0, []
-                for length in row["lengths"]:
-                    texts.append(data[at : at + length])
-                    at += length
+            for row, texts in opened(batch):
                 tokens = [shingles(text, words, n_gram) for text in texts]
                 nodes = [_digest(own) for own in tokens]
                 keys, number = np.unique(np.concatenate(tokens) >> shift, return_inverse=True)
                 levels = golomb.joined_levels([(x["owner"], x["levels"]) for x in row["parts"] or ()])
                 ends = np.cumsum([len(own) for own in tokens])
-                if len(keys) != len(levels):
-                    raise ValueError("the input changed between two readings of it")
                 out, seen = [], set()
                 number = np.split(levels[number.ravel()], ends[:-1])
                 for i, node, text, own, level in zip(row["ids"], nodes, texts, tokens, number, strict=True):
@@ -305,7 +327,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], ["id", "node", "n", "k", "text", "sigs"])
 
-    blocks = pairs.mapInArrow(packed, "block string, ids array<long>, lengths array<long>, texts binary")
     every = blocks.hint("merge").join(parts, "block", "left").mapInArrow(index, "id long, node binary, n long, k long, text binary, sigs array<long>")
     every = materialise(every, "signatures")
     rows, indexed = every.select("id", "n", "node", *(["k"] if keyed else [])), every.where("sigs is not null")
@@ -320,22 +341,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = materialise(_verify(chosen, texts, groups, n_gram, threshold), "links")
     names = components(edges)
 
-    named = members.select("sig", "node", "size").join(names, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = materialise(named, "named")
-    open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("least"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("sig", "least", "size")
-    open_ = materialise(open_, "open")
-    ties = join_groups(named.drop("size"), open_, ["sig"], "size", "inner").select(F.col("node").alias("a"), F.col("least").alias("b"), "comp").distinct()
-    ties = materialise(ties, "ties")
-    families = components(ties)
-    if not families.isEmpty():
-        comps = ties.select(F.col("a").alias("node"), "comp").distinct()
-        edges = edges.unionByName(materialise(_verify_families(families.withColumnRenamed("comp", "family"), comps, texts, n_gram, threshold), "family-links"))
-        names = components(edges)
+    ranks = names.groupBy("comp").agg(F.count(F.lit(1)).alias("rank"))
+    ranked = join_groups(names, ranks, ["comp"], "rank", "inner")
+    named = members.select("sig", "node", "n", "size").join(ranked, "node", "left")
+    named = materialise(named.select("sig", "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("rank", F.lit(1)).alias("rank")), "named")
+    order = F.struct("rank", "comp")
+    open_ = named.groupBy("sig").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("sig", "hi", "size")
+    ties = materialise(join_groups(named, materialise(open_, "open"), ["sig"], "size", "inner"), "ties")
+    if not ties.isEmpty():
+        late = materialise(_verify_open(ties, texts, n_gram, threshold), "late-links")
+        if not late.isEmpty():
+            names = components(edges.unionByName(late))
 
     classes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes.join(names, "node", "left"), "classes")
     merged = classes.where("comp is not null").groupBy("comp").agg(F.min("least_id").alias("comp_id"), F.count(F.lit(1)).alias("nodes"))
-    joined = join_groups(classes.where("comp is not null"), materialise(merged, "merged"), ["comp"], "nodes", "inner")
+    joined = join_groups(classes.where("comp is not null"), merged, ["comp"], "nodes", "inner")
     alone = classes.where("comp is null").select("node", "least_id", "copies", *([F.col("node").alias("comp")] if keyed else []))
     classes = materialise(joined.select("node", F.col("comp_id").alias("least_id"), "copies", *(["comp"] if keyed else [])).unionByName(alone), "component-ids")
     more = [F.col("k").alias("text_key"), F.col("comp").alias("component")] if keyed else []
