@@ -35,7 +35,7 @@ def test_language_id(frame):
     assert model.languages == sorted(SYLLABLES)
     found = {r["row"]["doc_id"]: r for r in language_id.detect(docs, model, docs.columns).collect()}
     own = {i for i, *_ in rows if i is not None and zlib.crc32(str(i).encode()) % 4 == 2}
-    assert {i for i, r in zip(found, docs.select("doc_id", language_id.held_out("doc_id").alias("h")).distinct().where("h").collect(), strict=False)} and len(own) > 50
+    assert {r["doc_id"] for r in docs.where(language_id.held_out("doc_id")).collect()} == own and len(own) > 50
     right = [found[i]["lang_pred"] == lang for i, _, lang, *_ in rows[:400] if i in own]
     assert np.mean(right) > 0.95
     assert [found[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3
@@ -177,17 +177,17 @@ def test_audio_alignment(spark):
             for offset in range(-len(own) + audio.MIN_OVERLAP, len(items[q]) - audio.MIN_OVERLAP + 1):
                 a, b = own[max(0, -offset) :], items[q][max(0, offset) :]
                 n = min(len(a), len(b))
-                if np.bitwise_count((a[:n] ^ b[:n]).view(np.uint32)).sum() <= audio.MAX_BIT_ERROR * 32 * n and n >= 60:
+                if np.bitwise_count((a[:n] ^ b[:n]).view(np.uint32)).sum() <= audio.MAX_BIT_ERROR * 32 * n and n >= audio.MIN_OVERLAP:
                     truth.add((q, c))
     got = {(m["query_id"], i) for i, r in found.items() for m in r["matches"] or ()}
     assert truth and len(truth & got) >= 0.9 * len(truth)
     assert audio.align(prints.limit(0)).count() == 0
 
 
-def best_offsets(items, every):
+def best_offsets(items, every, asked=None):
     """(query, recording): (offset, bit error), by trying every pair at every offset; no two recordings are equal."""
     out = {}
-    for q in (i for i in items if i % every == 0):
+    for q in (i for i in items if (i % every == 0 if asked is None else i in asked)):
         for c in items.keys() - {q}:
             found = []
             for offset in range(audio.MIN_OVERLAP - len(items[c]), len(items[q]) - audio.MIN_OVERLAP + 1):
@@ -297,7 +297,7 @@ def test_permutation_and_draws():
 
 
 def test_draws_of_many_slots_follow_the_law():
-    rare = np.array([1, 2, 2 * mixing._DRAW_LIMIT])  # a few slots among very many: most draws of a hundredth get none
+    rare = np.array([1, 2, 2 * 900_000_000])  # a few slots among very many: most draws of a hundredth get none
     found = np.array([mixing._draw(np.random.default_rng([1, i]), rare, int(rare.sum()) // 100) for i in range(5000)])
     assert (found.sum(axis=1) == rare.sum() // 100).all() and 25 <= found[:, 0].sum() <= 80 and 65 <= found[:, 1].sum() <= 140
     rng = np.random.default_rng(2)
@@ -305,7 +305,7 @@ def test_draws_of_many_slots_follow_the_law():
         own = np.bincount([mixing._hypergeometric(rng, good, bad, n) for _ in range(20_000)], minlength=n + 1)
         of_numpy = np.bincount(rng.hypergeometric(good, bad, n, 20_000), minlength=n + 1)
         assert np.abs(np.cumsum(own - of_numpy)).max() < 500  # Kolmogorov and Smirnov's distance: 0.025
-    big = 3 * mixing._DRAW_LIMIT
+    big = 3 * 900_000_000
     found = np.array([mixing._hypergeometric(rng, big, big, big) for _ in range(400)], np.float64)
     assert abs(found.mean() - big / 2) < 5 * (big / 8 / 400) ** 0.5 and 0.8 < found.var() / (big / 8) < 1.25
 

@@ -20,11 +20,10 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import materialise, partitions, released, small
 
-#: Characters of text in a block, distinct words whose merges one index replays together, documents per owner of words.
+#: Characters of text in a block, distinct words whose merges one index replays together.
 BLOCK_CHARS = 32_000_000
 REPLAY_WORDS = 200_000
-DOCS_PER_OWNER = 8_000
-#: A space before a non-space starts a word of its own whatever surrounds it: texts are cut there first.
+#: Where a pattern allows it, texts are cut into chunks at every space before a non-space, and each distinct chunk is looked at once.
 _CUT, _HARD = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
 
 
@@ -55,13 +54,29 @@ class Merges:
         """A single word, the lowest-ranked and then leftmost pair first."""
         if word in self.ranks:
             return [self.ranks[word]]
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], self.separator), i) for i in range(len(parts) - 1))
-            if rank == self.separator:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[x] for x in parts]
+        symbol = [int(self.first[b]) for b in word]
+        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def enter(at: int) -> None:
+            if at >= 0 and after[at] < len(word):
+                a, b = symbol[at], symbol[after[at]]
+                if (rank := self.ranks.get(self.tokens[a] + self.tokens[b])) is not None:
+                    heapq.heappush(heap, (rank, at, a, b))
+
+        for i in range(len(word) - 1):
+            enter(i)
+        while heap:
+            rank, at, a, b = heapq.heappop(heap)
+            right = after[at]
+            if symbol[at] != a or right >= len(word) or symbol[right] != b:
+                continue  # one of the two is part of another merge by now
+            symbol[at], symbol[right], after[at] = rank, -1, after[right]
+            if after[at] < len(word):
+                before[after[at]] = at
+            enter(before[at])
+            enter(at)
+        return [x for x in symbol if x >= 0]
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, all ids in order).
@@ -193,7 +208,8 @@ _FIELDS = pa.schema(
 class _Block:
     """Documents as numbers of chunks; texts are not kept."""
 
-    def __init__(self):
+    def __init__(self, at_spaces: bool):
+        self.at_spaces = at_spaces
         self.number: dict[str, int] = {}
         self.ids: list[int | None] = []
         self.sizes: list[int] = []
@@ -207,7 +223,7 @@ class _Block:
         if not text:
             self.sizes.append(0)
             return
-        pieces = _CUT.split(text) if _HARD.search(text) else text.split(" ")
+        pieces = [text] if not self.at_spaces else _CUT.split(text) if _HARD.search(text) else text.split(" ")
         pieces[0] = "\n" + pieces[0]  # marks a chunk that starts a text: no space comes before it
         number = self.number
         for p in pieces:
@@ -250,33 +266,34 @@ def _messages(held: _Block, pattern: str, owners: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_FIELDS)], schema=_FIELDS)
 
 
-def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", at_spaces: bool = False) -> DataFrame:
     """A row per input row: ``id``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit integers), ``decoded`` (bytes of those ids).
 
     Each match of pattern in a text is a word, encoded by the ranks as byte-pair merges; a word that is a token is that token.
     Special tokens do not exist. Null and empty texts have no tokens; rows may repeat; ids are integers or null; other columns are
-    not read; an empty table gives an empty one.
+    not read; an empty table gives an empty one. at_spaces says that under this pattern a space before a non-space always starts a word,
+    whatever surrounds it, so that texts may be cut there first, which saves much; without it any pattern is right.
 
     Tasks turn their documents into numbers of words and send each distinct word once, to its hash's owner. An owner replays
     the merges over the distinct words of the corpus that it holds (Merges.replay) and answers with ids, so no word of the
-    corpus is merged twice, and what moves are distinct words, not tokens. Blocks, messages and replay groups have fixed sizes;
-    a very frequent word is one entry per block. A text longer than a block is a block of its own.
+    corpus is merged twice, and what moves are distinct words, not tokens. Owners are the shuffle partitions; blocks and replay
+    groups have fixed sizes; a very frequent word is one entry per block. A text longer than a block is a block of its own.
     """
     spark = docs.sparkSession
     ship(spark)
     ranks = spark.sparkContext.broadcast(ranks_file)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    owners = min(1 << 16, max(16, docs.count() // DOCS_PER_OWNER))
+    owners = partitions(spark)
 
     @released
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Block()
+        held = _Block(at_spaces)
         for batch in small(batches):
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 held.add(i, text)
                 if held.chars >= BLOCK_CHARS:
                     yield _messages(held, pattern, owners)
-                    held = _Block()
+                    held = _Block(at_spaces)
         if held.ids:
             yield _messages(held, pattern, owners)
 
@@ -315,7 +332,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
         if held:
             yield from flush()
 
-    asked = made.where("owner >= 0").select("block", "owner", "words", "word_sizes").repartition(max(partitions(spark), owners // 8), "owner")
+    asked = made.where("owner >= 0").select("block", "owner", "words", "word_sizes").repartitionById(owners, "owner")
     answers = asked.sortWithinPartitions("owner").mapInArrow(answer, "block long, owner int, sizes binary, ids binary")
     parts = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "sizes", F.col("ids").alias("word_ids"))).alias("parts"))
 

@@ -9,15 +9,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import golomb
-from .common import join_groups, materialise, released
+from .common import join_groups, materialise, new_path, partitions, released, small
 
-#: Rows whose fingerprints one block holds: 16 bytes each.
+#: Rows whose fingerprints one block holds: 8 bytes each.
 BLOCK_ROWS = 100_000
+#: The most buckets that a table may have unless the session is set otherwise.
+MOST_BUCKETS = 100_000
+
+_ROWS = "block long, place int, id long, sha string, norm binary, fps binary"
+_FIELDS = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("id", pa.int64()), ("sha", pa.string()), ("norm", pa.binary()), ("fps", pa.binary())])
 
 
 def _normalised(text: str | None) -> bytes:
@@ -26,48 +32,35 @@ def _normalised(text: str | None) -> bytes:
 
 @released
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [_normalised(x) for x in batch.column("body").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"),
-                pa.array([xxhash.xxh3_64_intdigest(x) >> (64 - golomb.KEY_BITS) for x in texts], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
-            ],
-            ["id", "fp", "sha"],
-        )
+    """The rows of a task in blocks, numbered within them; after a block's rows a row with its fingerprints by place."""
+    first, number, held = TaskContext.get().partitionId() << 24, 0, []
 
+    def end() -> pa.RecordBatch:
+        row = [first + number], [None], [None], [None], [None], [np.array(held, np.uint64).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _FIELDS, strict=True)], schema=_FIELDS)
 
-@released
-def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         texts = [_normalised(x) for x in batch.column("body").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array([xxhash.xxh3_64_intdigest(x) >> (64 - golomb.KEY_BITS) for x in texts], pa.int64()), pa.array(texts, pa.binary())],
-            ["id", "fp", "norm"],
-        )
+        places = range(len(held), len(held) + len(texts))
+        held += [xxhash.xxh3_64_intdigest(x) >> (64 - golomb.KEY_BITS) for x in texts]
+        own = [first + number] * len(texts), places, batch.column("id"), [hashlib.sha256(x).hexdigest() for x in texts], texts, [None] * len(texts)
+        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(own, _FIELDS, strict=True)], schema=_FIELDS)
+        if len(held) >= BLOCK_ROWS:
+            yield end()
+            number, held = number + 1, []
+    if held:
+        yield end()
 
 
 @released
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in golomb.tables(batches, BLOCK_ROWS):
-        fps = table.column("fp").to_numpy()
-        order = np.argsort(fps, kind="stable")
-        ids = table.column("id").take(pa.array(order)).to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([fps[order].tolist()], pa.list_(pa.int64()))],
-            ["block", "ids", "fps"],
-        )
-
-
-@released
-def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bit per place of each block that has suspects."""
     for batch in batches:
         for row in batch.to_pylist():
-            fps = np.array(row["fps"], np.int64)
-            twice = golomb.joined_levels([(x["owner"], x["levels"]) for x in row["parts"]]) > 1
-            where = np.flatnonzero(twice[np.unique(fps, return_inverse=True)[1]])
-            yield pa.RecordBatch.from_arrays([pa.array([row["ids"][i] for i in where.tolist()], pa.int64()), pa.array(fps[where])], ["id", "fp"])
+            again = golomb.joined_bits([(x["owner"], x["bits"]) for x in row["parts"]])
+            if again.any():
+                bits = np.packbits(again[np.unique(np.frombuffer(row["fps"], np.uint64), return_inverse=True)[1]]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([bits], pa.binary())], ["block", "bits"])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,38 +70,39 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays (a null id is smaller than any other; rows that repeat id and text share their verdict). Input columns other than
     the two named ones are not read, so their names do not matter; an empty table gives an empty one. Ids are integers.
 
-    Partitions write 48-bit fingerprints in blocks; blocks send them, sorted and Golomb-coded, to the owners of fingerprint
-    ranges and get back which occur more than once in the corpus; only the rows so marked have their texts shuffled, where
-    grouping by the bytes verifies equality. That grouping and the counts combine before the shuffle, so a text that a third
-    of all rows share arrives once per task; the verdicts go back to the rows by join_groups().
+    Tasks write normalised texts in blocks, in a table that is bucketed by block, and per block its 48-bit fingerprints. Blocks send those,
+    sorted and Golomb-coded, to the owners of fingerprint ranges and get bitmaps back of what occurs more than once in the
+    corpus. The bitmaps move to the buckets and the texts stay where they are: only the texts so marked are shuffled, where
+    grouping by the bytes verifies equality. That grouping combines within tasks, then within some of them, then over all, so a text
+    that a third of all rows share gathers nowhere; the verdicts go back to the rows by join_groups().
     """
     spark = docs.sparkSession
     ship(spark)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    rows = materialise(pairs.mapInArrow(_fingerprints, "id long, fp long, sha string"), "fingerprints")
-    blocks = materialise(rows.select("id", "fp").mapInArrow(_blocks, "block string, ids array<long>, fps array<long>"), "blocks")
-    bits = golomb.owner_bits(blocks.agg(F.sum(F.size("ids"))).first()[0] or 0)
+    path, name, buckets = new_path(spark, "texts"), f"triloom_{uuid.uuid4().hex}", min(partitions(spark), MOST_BUCKETS)
+    pairs.mapInArrow(_fingerprints, _ROWS).write.format("parquet").bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    written = spark.read.schema(_ROWS).parquet(path)
+    rows, blocks = written.where("fps is null").select("id", "sha"), written.where("fps is not null").select("block", "fps")
+    bits = golomb.owner_bits(rows.count())
 
     @released
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, fps in zip(batch.column("block").to_pylist(), batch.column("fps").to_pylist(), strict=True):
-                keys, counts = np.unique(np.array(fps, np.uint64), return_counts=True)
+                keys, counts = np.unique(np.frombuffer(fps, np.uint64), return_counts=True)
                 yield golomb.messages(block, keys, counts, bits)
 
-    sent = blocks.select("block", "fps").mapInArrow(send, golomb.MESSAGE)
-    parts = golomb.replies(sent).groupBy("block").agg(F.collect_list(F.struct("owner", "levels")).alias("parts"))
-    suspects = blocks.join(parts, "block").mapInArrow(_suspects, "id long, fp long").distinct()
-    suspects = materialise(suspects, "suspects")
-    texts = pairs.mapInArrow(_with_text, "id long, fp long, norm binary").alias("t")
-    marked = texts.join(suspects.hint("merge").alias("s"), F.col("t.id").eqNullSafe(F.col("s.id")) & (F.col("t.fp") == F.col("s.fp")), "left_semi")
-    groups = (
-        marked.groupBy("fp", "norm")
-        .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where(F.col("group_size") > 1)
-        .select(F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
-    )
-    groups = materialise(groups, "groups")
+    sent = blocks.mapInArrow(send, golomb.MESSAGE.replace("string", "long"))
+    parts = golomb.bitmaps(sent).groupBy("block").agg(F.collect_list(F.struct("owner", "bits")).alias("parts"))
+    marks = materialise(blocks.join(parts, "block").mapInArrow(_marks, "block long, bits binary"), "bitmaps")
+    marked = F.expr("getbit(cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as long), 7 - place % 8) = 1")
+    texts = spark.table(name).where("fps is null").select("block", "place", "id", "norm")
+    suspects = texts.join(marks.hint("shuffle_hash"), "block").where(marked)
+    part = F.pmod(F.xxhash64("block"), F.lit(int(np.ceil(np.sqrt(buckets))))).alias("part")
+    groups = suspects.groupBy("norm", part).agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = groups.groupBy("norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).where("group_size > 1")
+    groups = materialise(groups.select(F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"), "groups")
+    spark.sql(f"DROP TABLE {name}")  # its files stay, as scratch
     return join_groups(rows, groups, ["sha"], "group_size").select(
         "id",
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -50,14 +50,14 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
 
 
-def messages(block: str, keys: np.ndarray, counts: np.ndarray, owner_bits: int, key_bits: int = KEY_BITS) -> pa.RecordBatch:
+def messages(block: str | int, keys: np.ndarray, counts: np.ndarray, owner_bits: int, key_bits: int = KEY_BITS) -> pa.RecordBatch:
     """One message per owner that the block has keys for. keys: ascending, distinct."""
     owners = (keys >> np.uint64(key_bits - owner_bits)).astype(np.int64)
     starts = np.flatnonzero(np.diff(owners, prepend=-1))
     ends = [*starts[1:].tolist(), len(keys)]
     out = [(int(owners[a]), block, encode(keys[a:b]), zlib.compress(counts[a:b].astype("<u4").tobytes(), 1)) for a, b in zip(starts.tolist(), ends, strict=True)]
     return pa.RecordBatch.from_arrays(
-        [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.binary(), pa.binary()))],
+        [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string() if isinstance(block, str) else pa.int64(), pa.binary(), pa.binary()))],
         ["owner", "block", "keys", "counts"],
     )
 
@@ -83,6 +83,21 @@ def replies(sent: DataFrame) -> DataFrame:
     return sent.groupBy("owner").applyInPandas(_reply, "block string, owner long, levels binary")
 
 
+def _bitmap(pdf: pd.DataFrame) -> pd.DataFrame:
+    again = [np.frombuffer(zlib.decompress(x), np.uint8) > 1 for x in _reply(pdf)["levels"]]
+    return pd.DataFrame({"block": pdf["block"], "owner": pdf["owner"], "bits": [len(x).to_bytes(4, "little") + np.packbits(x).tobytes() for x in again]})
+
+
+def bitmaps(sent: DataFrame) -> DataFrame:
+    """As replies(), but a bit per key: whether it occurs more than once. ``block`` keeps its type."""
+    return sent.groupBy("owner").applyInPandas(_bitmap, f"block {sent.schema['block'].dataType.simpleString()}, owner long, bits binary")
+
+
+def joined_bits(parts: list[tuple[int, bytes]]) -> np.ndarray:
+    """A block's bitmaps, in key order, as booleans."""
+    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=4), count=int.from_bytes(x[:4], "little")) for _, x in sorted(parts)] or [np.zeros(0, np.uint8)]).astype(bool)
+
+
 def joined_levels(parts: list[tuple[int, bytes]]) -> np.ndarray:
     """A block's replies, in key order; equal blocks have equal names and equal replies, of which one counts."""
     return np.frombuffer(b"".join(zlib.decompress(x) for _, x in sorted(dict(parts).items())), np.uint8)
@@ -93,7 +108,7 @@ def key_bits(n_keys: int, spare: int = 12) -> int:
     return min(60, max(32, n_keys.bit_length() + spare))
 
 
-def owner_bits(n_keys: int, per_owner: int = 1 << 19) -> int:
+def owner_bits(n_keys: int, per_owner: int = 1 << 21) -> int:
     return min(24, max(3, int(np.ceil(np.log2(max(1, n_keys) / per_owner))))) if n_keys else 3
 
 

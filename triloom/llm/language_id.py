@@ -28,9 +28,15 @@ SCRIPT_SHARE = 0.005
 KNOWN_WORDS, STEP_WORDS = 250_000, 500_000
 
 #: First code points of script ranges and the script (a number per script, 0 for others) from there on.
-SCRIPT_STARTS = (0x0, 0x41, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x2C60, 0x2C80, 0x2E80, 0x3040, 0x3100, 0x3130, 0x3190, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00)
-SCRIPTS = (0, 1, 0, 2, 3, 4, 5, 6, 0, 7, 0, 8, 0, 9, 10, 0, 1, 2, 0, 1, 0, 11, 12, 0, 10, 0, 11, 0, 10, 0, 11, 0)
-N_SCRIPTS = 13
+SCRIPT_STARTS = (
+    0x0, 0x41, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0xA80, 0xB00, 0xB80, 0xC00, 0xC80, 0xD00, 0xD80, 0xE00, 0xE80, 0xF00, 0x1000, 0x10A0, 0x1100,
+    0x1200, 0x13A0, 0x1780, 0x1800, 0x18B0, 0x1E00, 0x1F00, 0x2000, 0x2C60, 0x2C80, 0x2E80, 0x3040, 0x3100, 0x3130, 0x3190, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00,
+)
+SCRIPTS = (
+    0, 1, 0, 2, 3, 4, 5, 6, 0, 7, 13, 14, 15, 16, 17, 18, 19, 20, 21, 8, 22, 23, 24, 9, 10,
+    25, 0, 26, 27, 0, 1, 2, 0, 1, 0, 11, 12, 0, 10, 0, 11, 0, 10, 0, 11, 0,
+)
+N_SCRIPTS = 28
 
 _WORDS = re.compile(r"[^\W\d_]+")
 

@@ -29,8 +29,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key has at least min_chars code points and occurs in at least min_docs documents stay only in the document with the
     largest id that holds them (every occurrence there); all other lines stay, in order, joined by \\n.
 
-    A null or empty text is one empty line. Rows equal in id and text count as one document and get the same result; rows
-    that share the largest id all keep the line. A null id is smaller than any other. Input columns are carried inside
+    A null or empty text is one empty line. Documents are counted by id: rows that share an id count once, whatever their texts, and
+    null ids are one document together; rows equal in id and text get the same result; rows that share the largest id all keep the line. A null id is smaller than any other. Input columns are carried inside
     ``row``, so their names cannot clash; an empty table gives an empty one.
 
     Plan: one pass writes (document key, position, 128-bit line hash) for the long lines; documents are counted per hash with
@@ -48,7 +48,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = materialise(lines, "lines")
     groups = (
         lines.groupBy("h1", "h2")
-        .agg(F.count_distinct("k1", "k2").alias("n_docs"), F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n_rows"))
+        .agg((F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("n_docs"), F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n_rows"))
         .where(F.col("n_docs") >= min_docs)
     )
     groups = materialise(groups, "line-groups")

@@ -22,7 +22,6 @@ SHARD_BLOCKS = 4096
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_DRAW_LIMIT = 900_000_000  # the generator's own limit is 10**9
 
 
 def targets(sizes: list[int], weights: list[int], total: int, cap: int = MAX_EPOCHS) -> list[float]:
@@ -77,9 +76,7 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
 
 
 def _draw(rng: np.random.Generator, quotas: np.ndarray, n: int) -> np.ndarray:
-    """How many of n slots each source gets: multinomial draws given that the quotas are used up in the end. One law at every size."""
-    if quotas.sum() < _DRAW_LIMIT:
-        return rng.multivariate_hypergeometric(quotas, n, method="marginals").astype(np.int64)
+    """How many of n slots each source gets: multinomial draws given that the quotas are used up in the end."""
     out, left, all_left = np.zeros(len(quotas), np.int64), int(n), int(quotas.sum())
     for i, quota in enumerate(quotas.tolist()):
         out[i] = _hypergeometric(rng, quota, all_left - quota, left)
@@ -87,16 +84,25 @@ def _draw(rng: np.random.Generator, quotas: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def shard_counts(quotas: np.ndarray, shard: int, shards: int, shard_blocks: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first slot, slots) of every source in one shard, found without the other shards: seeded draws halve the shards down to it."""
+def shard_counts(quotas: np.ndarray, shard: int, shards: int, shard_blocks: int, seed: int, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first slot, slots) of every source in one shard, found without the other shards: seeded draws halve the shards down to it.
+
+    known: draws on the way to the shard before, kept for a task whose shards follow one another; no more than one path of them.
+    """
+    known, path = {} if known is None else known, {}
     lo, hi, start, held = 0, shards, np.zeros(len(quotas), np.int64), quotas.astype(np.int64)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        drawn = _draw(np.random.default_rng([seed, lo, hi]), held, (mid - lo) * shard_blocks)
+        drawn = known.get((lo, hi))
+        if drawn is None:
+            drawn = _draw(np.random.default_rng([seed, lo, hi]), held, (mid - lo) * shard_blocks)
+        path[lo, hi] = drawn
         if shard < mid:
             hi, held = mid, drawn
         else:
             lo, start, held = mid, start + drawn, held - drawn
+    known.clear()
+    known.update(path)
     return start, held
 
 
@@ -201,9 +207,10 @@ def mix(
 
     @released
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
         for batch in batches:
             for shard in batch["id"].tolist():
-                start, held = shard_counts(quotas, shard, shards, shard_blocks, seed)
+                start, held = shard_counts(quotas, shard, shards, shard_blocks, seed, known)
                 s = np.repeat(np.arange(len(held)), held)
                 i = np.arange(len(s)) - np.repeat(np.cumsum(held) - held, held) + start[s]
                 epoch, at = i // blocks[s], i % blocks[s]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, language_id
+from . import audio, bpe, language_id, warc
 from .common import materialise, read
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -28,19 +28,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive(read(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """With the digest of every record's bytes, so that each is rebuilt in full."""
+    found = archive(read(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha2("record", 256).alias("record_sha256"))
 
 
 _SHA1_BITS = "CAST('0x' || substr(h, {}, 5) AS BIGINT)"
 _LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({} // {}) % 32 AS BIGINT) + 1, 1)"
 BASE32_SQL = " || ".join(_LETTER.format(_SHA1_BITS.format(5 * i + 1), 32**j) for i in range(8) for j in (3, 2, 1, 0))
 OP2_SQL = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS h FROM pages),
-g AS (SELECT b, max(page_id) AS first_id FROM p GROUP BY b)
-SELECT page_id, CAST(strlen(p.b) AS BIGINT) AS payload_bytes, {BASE32_SQL} AS payload_digest,
-       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
-FROM p JOIN g ON p.b = g.b
+WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS h, regexp_replace(url, '[\\r\\n]+', ' ', 'g') AS u FROM pages),
+g AS (SELECT b, max(page_id) AS first_id, max_by(u, page_id) AS first_u FROM p GROUP BY b),
+r AS (SELECT page_id, p.b, u, first_id, first_u, page_id <> first_id AS again, {BASE32_SQL} AS d, chr(13) || chr(10) AS e FROM p JOIN g ON p.b = g.b)
+SELECT page_id, CAST(strlen(b) AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first_id END AS refers_to,
+       sha256('WARC/1.1' || e || 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e
+              || 'WARC-Date: {warc.DATE}' || e || coalesce('WARC-Target-URI: ' || u || e, '') || 'WARC-Payload-Digest: sha1:' || d || e
+              || CASE WHEN again THEN 'WARC-Profile: {warc.PROFILE}' || e || 'WARC-Refers-To: <urn:page:' || first_id || '>' || e
+                                      || coalesce('WARC-Refers-To-Target-URI: ' || first_u || e, '') ELSE '' END
+              || 'Content-Type: application/http; msgtype=response' || e || 'Content-Length: ' || ({len(warc.HTTP_HEAD)} + CASE WHEN again THEN 0 ELSE strlen(b) END) || e || e
+              || 'HTTP/1.1 200 OK' || e || 'Content-Type: text/html; charset=utf-8' || e || e || CASE WHEN again THEN '' ELSE b END || e || e) AS record_sha256
+FROM r
 """
 
 
@@ -115,7 +123,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.ranks_from(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    found = bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    found = bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, at_spaces=True)
     return found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -130,19 +138,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_sentences", "n_removed", F.coalesce("body", F.lit("")).alias("text"))
 
 
-_SPACE_RE = "[ \\t\\n\\x0b\\f\\r]"
+_SPACE_RE, _WORD_RE = "[ \\t\\n\\x0b\\f\\r]", "[^ \\t\\n\\x0b\\f\\r\\x1e]"
+_ENDS_SQL = f"regexp_replace(coalesce(text, ''), '([.!?]{_SPACE_RE}+|\\n+|[\u3002\uff01\uff1f]{_SPACE_RE}*)', '\\1' || chr(30), 'g')"
 OP10_SQL = f"""
-WITH d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?]{_SPACE_RE}+|\\n+)', '\\1' || chr(30), 'g'), chr(30)) AS ps FROM documents),
+WITH d AS (SELECT doc_id, string_split(regexp_replace({_ENDS_SQL}, '((?:{_WORD_RE}+{_SPACE_RE}+){{12}})', '\\1' || chr(30), 'g'), chr(30)) AS ps FROM documents),
 p AS (SELECT doc_id, i, ps[i] AS piece, trim(regexp_replace({LOWER_SQL.format("ps[i]")}, '{_SPACE_RE}+', ' ', 'g')) AS s
       FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM d)),
-s AS (SELECT doc_id, i, s, row_number() OVER w - 1 AS pos, len(string_split(s, ' ')) AS w1,
-             lead(s) OVER w AS s2, lead(s, 2) OVER w AS s3 FROM p WHERE s <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-k AS (SELECT *, s || chr(30) || s2 AS k2, s || chr(30) || s2 || chr(30) || s3 AS k3, w1 + len(string_split(s2, ' ')) AS w2,
-             w1 + len(string_split(s2, ' ')) + len(string_split(s3, ' ')) AS w3 FROM s),
-r AS (SELECT doc_id, pos, 1 AS n, s AS k FROM k WHERE w1 >= 40 UNION ALL SELECT doc_id, pos, 2, k2 FROM k WHERE w2 >= 24
-      UNION ALL SELECT doc_id, pos, 3, k3 FROM k WHERE w3 >= 12),
-o AS (SELECT doc_id, pos, n, row_number() OVER (PARTITION BY n, k ORDER BY doc_id, pos) AS occ FROM r),
-x AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM o WHERE occ > 1),
+s AS (SELECT doc_id, i, s, row_number() OVER w - 1 AS pos, CAST(sum(strlen(s)) OVER w AS BIGINT) AS upto, CAST(sum(strlen(s)) OVER w AS BIGINT) - strlen(s) AS since
+      FROM p WHERE s <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+l AS (SELECT doc_id, list(s ORDER BY pos) AS ss FROM s GROUP BY doc_id),
+r AS (SELECT a.doc_id, a.pos AS lo, greatest(b.pos, a.pos + 1) AS hi FROM s a ASOF JOIN s b ON a.doc_id = b.doc_id AND a.since + 160 <= b.upto
+      UNION SELECT a.doc_id, least(b.pos, a.pos - 1), a.pos FROM s a ASOF JOIN s b ON a.doc_id = b.doc_id AND a.upto - 160 >= b.since),
+k AS (SELECT r.doc_id, lo, hi, array_to_string(list_slice(ss, lo + 1, hi + 1), chr(30)) AS k FROM r JOIN l ON r.doc_id = l.doc_id WHERE lo >= 0 AND hi < len(ss)),
+o AS (SELECT doc_id, lo, hi, row_number() OVER (PARTITION BY k ORDER BY doc_id, lo) AS occ FROM k),
+x AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS pos FROM o WHERE occ > 1),
 m AS (SELECT p.doc_id, p.i, p.piece, s.pos IS NOT NULL AS is_s, x.pos IS NOT NULL AS gone
       FROM p LEFT JOIN s ON p.doc_id = s.doc_id AND p.i = s.i LEFT JOIN x ON s.doc_id = x.doc_id AND s.pos = x.pos)
 SELECT doc_id, CAST(sum(CAST(is_s AS INT)) AS BIGINT) AS n_sentences, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed,

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -14,6 +14,8 @@ from .common import materialise, new_path, released
 
 #: Bytes of text that one bucket holds about: a bucket is shuffled in the memory of one task.
 BUCKET_BYTES = 16 << 20
+#: Buckets whose counts are summed together first: one task sums these groups, and only them.
+SUMMED_BUCKETS = 4096
 
 
 def _positions(start: int, n: int, rows: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,8 +37,8 @@ def shuffle_into_shards(
 
     First pass: rows scatter into buckets by a seeded hash of id and text, so no source and no group of copies under different
     ids gathers in one; rows equal in both share a bucket. Second pass: each bucket, sorted by that hash, is Fisher-Yates
-    shuffled with its own seed and takes the positions after those of the buckets before it. The driver holds one count per
-    bucket; it reaches the bucket's task as a row of the same shuffle. Null ids and texts hash like any value; an empty table
+    shuffled with its own seed and takes the positions after those of the buckets before it. Those are prefix sums over the table of
+    counts; a bucket is a partition, and its first position reaches it as a row of the same shuffle. Null ids and texts hash like any value; an empty table
     gives no rows.
     """
     spark = docs.sparkSession
@@ -46,16 +48,17 @@ def shuffle_into_shards(
     rows, size = hashes.agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
     buckets = max(shards, -(-size // bucket_bytes))
     bucket = lambda h: F.pmod(h, F.lit(buckets))
-    counts = {x["bucket"]: x["count"] for x in hashes.groupBy(bucket(F.col("h")).alias("bucket")).count().collect()}
-    starts, at = [], 0
-    for b in sorted(counts):
-        starts.append((b, at))
-        at += counts[b]
+    counts = materialise(hashes.groupBy(bucket(F.col("h")).alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "bucket-counts")
+    counts = counts.withColumn("group", F.expr(f"bucket div {SUMMED_BUCKETS}"))
+    before = F.sum("n").over(Window.orderBy("group")) - F.col("n")
+    groups = counts.groupBy("group").agg(F.sum("n").alias("n")).select("group", before.alias("before"))
+    within = F.sum("n").over(Window.partitionBy("group").orderBy("bucket")) - F.col("n")
+    starts = counts.withColumn("within", within).join(groups, "group").select("bucket", (F.col("before") + F.col("within")).alias("start"))
 
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), spread.alias("h"))
     kind = whole.schema["row"].dataType.simpleString()
     tagged = whole.select(bucket(F.col("h")).alias("bucket"), F.lit(1).alias("tag"), "h", "row")
-    marks = spark.createDataFrame(starts, "bucket long, h long").select("bucket", F.lit(0).alias("tag"), "h", F.lit(None).cast(kind).alias("row"))
+    marks = starts.select("bucket", F.lit(0).alias("tag"), F.col("start").alias("h"), F.lit(None).cast(kind).alias("row"))
 
     def shuffled(parts: list[pa.RecordBatch], b: int, start: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -86,7 +89,7 @@ def shuffle_into_shards(
         if held:
             yield shuffled(held, b, start)
 
-    dealt = tagged.unionByName(marks).repartition(buckets, "bucket").sortWithinPartitions("bucket", "tag", "h")
+    dealt = tagged.unionByName(marks).repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "tag", "h")
     out = dealt.mapInArrow(second_pass, f"row {kind}, slot long, shard int")
     path = path or new_path(spark, "shards")
     out.write.partitionBy("shard").parquet(path)

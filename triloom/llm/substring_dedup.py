@@ -13,38 +13,49 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import golomb
-from .common import join_groups, materialise, released
-
-#: Runs that are compared: so many consecutive sentences with so many words together at least.
-RUNS = ((1, 40), (2, 24), (3, 12))
-#: Rows whose runs one block holds.
-BLOCK_ROWS = 10_000
-_END = re.compile(rb"[.!?][\x20\x09-\x0D]+|\n+")
+from .common import join_groups, materialise, released, small
+
+#: Sentences of a run at least, and bytes of its sentences together: short formulas that recur by chance are no passages.
+MIN_SENTENCES, MIN_BYTES = 2, 160
+#: A stretch without a sentence end is cut after every so many words, so that it is several sentences too.
+STRETCH_WORDS = 12
+#: Bytes of text that one block holds about.
+BLOCK_BYTES = 8_000_000
+_END = re.compile(rb"[.!?][\x20\x09-\x0D]+|\n+|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)[\x20\x09-\x0D]*")
+_STRETCH = re.compile(rb"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}" % STRETCH_WORDS)
 _MASK = (1 << 64) - 1
+#: Odd multipliers of the two rolling hashes.
+_ROLL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def pieces(text: str | None) -> list[bytes]:
-    """A text cut after each sentence end with the white space that follows it, and after line breaks."""
+    """A text cut after each sentence end (. ! ? before white space, line breaks, the full-width ends) with the white space that follows it, and long stretches after every STRETCH_WORDS words."""
     data, at, out = (text or "").encode("utf-8", "surrogatepass"), 0, []
-    for m in _END.finditer(data):
-        out.append(data[at : m.end()])
-        at = m.end()
-    if at < len(data):
-        out.append(data[at:])
+    for end in [*(m.end() for m in _END.finditer(data)), len(data)]:
+        piece = data[at:end]
+        if len(piece.split()) > STRETCH_WORDS:
+            cut = 0
+            for m in _STRETCH.finditer(piece):
+                out.append(piece[cut : m.end()])
+                cut = m.end()
+            piece = piece[cut:]
+        if piece:
+            out.append(piece)
+        at = end
     return out
 
 
 def _sentences(text: str | None) -> tuple[list[int], list[int], list[int]]:
-    """Two hashes and the number of words of every sentence: words in lower case (A-Z), joined by one space; pieces without words are none."""
-    first, second, words = [], [], []
+    """Two hashes and the bytes of every sentence: words in lower case (A-Z), joined by one space; pieces without words are none."""
+    first, second, sizes = [], [], []
     for piece in pieces(text):
-        own = piece.lower().split()
+        own = b" ".join(piece.lower().split())
         if own:
-            h = xxhash.xxh3_128_intdigest(b" ".join(own))
+            h = xxhash.xxh3_128_intdigest(own)
             first.append(h & _MASK)
             second.append(h >> 64)
-            words.append(len(own))
-    return first, second, words
+            sizes.append(len(own))
+    return first, second, sizes
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,22 +64,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _runs(first: np.ndarray, second: np.ndarray, words: np.ndarray, doc: np.ndarray, runs: tuple) -> tuple[np.ndarray, ...]:
-    """(h1, h2, start, length) of every run that lies within one document."""
+def _runs(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, counts: np.ndarray, min_sentences: int, min_bytes: int) -> tuple[np.ndarray, ...]:
+    """(h1, h2, start, length): for every sentence the shortest sufficient run that starts with it and the shortest that ends with it.
+
+    counts: sentences of each text, one text after another; runs lie within a text. Hashes are rolling ones over prefix sums, so a run of
+    any length costs the same.
+    """
+    n = len(first)
+    ends = np.cumsum(counts)
+    last, start = np.repeat(ends, counts) - 1, np.repeat(ends - counts, counts)
+    total, at = np.concatenate([[0], np.cumsum(sizes)]), np.arange(n)
+    to = np.maximum(np.searchsorted(total, total[:-1] + min_bytes) - 1, at + min_sentences - 1)
+    since = np.minimum(np.searchsorted(total, total[1:] - min_bytes, side="right") - 1, at - min_sentences + 1)
+    lo, hi = np.concatenate([at[to <= last], since[since >= start]]), np.concatenate([to[to <= last], at[since >= start]])
+    lo, hi = np.divmod(np.unique(lo * (n + 1) + hi), n + 1)
     out = []
-    for n, least in runs:
-        last = len(first) - n + 1
-        if last <= 0:
-            continue
-        total, h = sum(words[i : last + i] for i in range(n)), []
-        for s in (first, second):
-            x = np.full(last, n, np.uint64)
-            for i in range(n):
-                x = _mixed(x * np.uint64(0x9E3779B97F4A7C15) + s[i : last + i])
-            h.append(x)
-        at = np.flatnonzero((total >= least) & (doc[:last] == doc[n - 1 :]))
-        out.append((h[0][at], h[1][at], at, np.full(len(at), n)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for values, r in zip((first, second), _ROLL, strict=True):
+        powers = np.cumprod(np.full(n + 1, r, np.uint64))
+        back = np.cumprod(np.full(n + 1, pow(r, -1, 1 << 64), np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(values) * powers[:-1], dtype=np.uint64)])
+        out.append(_mixed((sums[hi + 1] - sums[lo]) * back[lo] + (hi - lo).astype(np.uint64)))
+    return *out, lo, hi - lo + 1
 
 
 _BLOCK = "owner long, block string, keys binary, counts binary, ids array<long>, texts array<long>, h1 binary, h2 binary, row binary, pos binary, n binary"
@@ -78,13 +94,34 @@ _FIELDS = pa.schema(
 )
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: tuple = RUNS) -> DataFrame:
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
+    """(ids, text keys, texts) of blocks of about BLOCK_BYTES."""
+    ids, keys, texts, n = [], [], [], 0
+    for batch in batches:
+        for i, k, text in zip(*(batch.column(c).to_pylist() for c in ("id", "k", "text")), strict=True):
+            ids.append(i)
+            keys.append(k)
+            texts.append(text)
+            n += len(text or "") + 64
+            if n >= BLOCK_BYTES:
+                yield ids, keys, texts
+                ids, keys, texts, n = [], [], [], 0
+    if ids:
+        yield ids, keys, texts
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``row`` (struct of the input columns), ``body`` (text left), ``n_sentences``, ``n_removed``.
 
-    Sentences end at . ! or ? before ASCII white space, and at line breaks. All runs of 1, 2 or 3 consecutive sentences with at
-    least 40, 24 or 12 words are compared over the whole corpus, A-Z lower-cased and white space collapsed, by 128-bit hashes. Of the
-    occurrences of a run the first, by id (null first), then text hash, then position, stays; sentences that any other
-    occurrence covers go, with the white space after them.
+    Sentences end at . ! or ? before ASCII white space, at the full-width ends and at line breaks; a stretch without an end is cut
+    after every STRETCH_WORDS words. Runs of at least min_sentences consecutive sentences with at least min_bytes bytes together are
+    compared over the whole corpus, A-Z lower-cased and white space collapsed, by 128-bit hashes. Of the occurrences of a run the
+    first, by id (null first), then text hash, then position, stays; sentences that any other occurrence covers go, with the
+    white space after them.
+
+    What goes is what all runs of every length would remove: a longer run that occurs again consists of the shortest sufficient runs that start
+    or end with one of its sentences, those occur again with it, and only they are hashed, two a sentence. min_bytes=1 compares
+    every run of min_sentences. A passage stays where it holds no sufficient run of whole sentences.
 
     A null text is empty and stays so; texts without sentences stay as they are. Rows equal in id and text count once and get the
     same result. Input columns travel inside ``row``; ids are integers; an empty table gives an empty one.
@@ -104,30 +141,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @released
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in golomb.tables(batches, BLOCK_ROWS):
-            seen, first, second, words, doc, sizes = set(), [], [], [], [], []
-            ids, texts = table.column("id").to_pylist(), table.column("k").to_pylist()
-            for i, text in enumerate(table.column("text").to_pylist()):
-                a, b, c = _sentences(text) if (ids[i], texts[i]) not in seen else ([], [], [])
+        for ids, texts, bodies in _held(small(batches)):
+            seen, found = set(), []
+            for i, text in enumerate(bodies):
+                found.append(tuple(np.array(x, kind) for x, kind in zip(_sentences(text) if (ids[i], texts[i]) not in seen else ([], [], []), (np.uint64, np.uint64, np.int64), strict=True)))
                 seen.add((ids[i], texts[i]))
-                first += a
-                second += b
-                words += c
-                sizes.append(len(a))
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            starts = np.cumsum(sizes) - sizes
-            h1, h2, at, n = _runs(np.array(first, np.uint64), np.array(second, np.uint64), np.array(words, np.int64), doc, runs)
+            counts = np.array([len(x[0]) for x in found], np.int64)
+            doc, starts = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+            h1, h2, at, n = _runs(*(np.concatenate(x) for x in zip(*found, strict=True)), counts, min_sentences, min_bytes)
             block = xxhash.xxh3_128_hexdigest(np.array([i or 0 for i in ids] + texts, np.int64).tobytes() + h1.tobytes())
-            keys, counts = np.unique(h1 >> np.uint64(64 - golomb.KEY_BITS), return_counts=True)
+            keys, times = np.unique(h1 >> np.uint64(64 - golomb.KEY_BITS), return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([None], pa.int64()), pa.array([block]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.int64())),
-                    pa.array([h1.tobytes()]), pa.array([h2.tobytes()]), pa.array([doc[at].astype("<i4").tobytes()]), pa.array([(at - starts[doc[at]]).astype("<i4").tobytes()]), pa.array([n.astype("<i1").tobytes()]),
+                    pa.array([h1.tobytes()]), pa.array([h2.tobytes()]), pa.array([doc[at].astype("<i4").tobytes()]), pa.array([(at - starts[doc[at]]).astype("<i4").tobytes()]), pa.array([n.astype("<i4").tobytes()]),
                 ],
                 schema=_FIELDS,
             )
             if len(keys):
-                sent = golomb.messages(block, keys, counts, bits)
+                sent = golomb.messages(block, keys, times, bits)
                 yield pa.RecordBatch.from_arrays([*sent.columns, *[pa.nulls(sent.num_rows, f.type) for f in list(_FIELDS)[4:]]], schema=_FIELDS)
 
     @released
@@ -141,7 +173,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h1[at].view(np.int64)), pa.array(h2[at].view(np.int64)), pa.array([row["ids"][i] for i in doc], pa.int64()), pa.array([row["texts"][i] for i in doc], pa.int64()),
-                        pa.array(np.frombuffer(row["pos"], "<i4")[at]), pa.array(np.frombuffer(row["n"], "<i1")[at].astype(np.int32)),
+                        pa.array(np.frombuffer(row["pos"], "<i4")[at]), pa.array(np.frombuffer(row["n"], "<i4")[at]),
                     ],
                     ["h1", "h2", "id", "k", "pos", "n"],
                 )

@@ -91,32 +91,31 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Every record rebuilt: id, record_type, refers_to, header, head, digest, payload, record (its exact bytes), and of the full payload, a
     revisit's included, payload_bytes and payload_digest.
 
-    Each stored payload is verified against the digest it is filed under; a mismatch fails the job. Only responses carry payload
-    bytes (one row each per digest unless rows repeat); revisits get length and digest of the payload they refer to.
+    Each stored payload is verified against the digest it is filed under, each record against the digest and the Content-Length in its own
+    header; a mismatch fails the job. Only responses carry payload bytes (one row each per digest unless rows repeat); revisits get
+    length and digest of the payload they refer to.
+
+    Payloads are hashed and measured where they are read; those small facts meet all headers by join_groups(), and only then the
+    headers of responses meet the payloads themselves, in the one shuffle of them.
     """
     headers = spark.read.parquet(f"{path}/headers")
     payloads = spark.read.parquet(f"{path}/payloads")
     sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("digest"))))
+    facts = payloads.select("digest", F.octet_length(sound).cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
+    facts = materialise(facts, "warc-facts").join(headers.groupBy("digest").agg(F.count(F.lit(1)).alias("uses")), "digest")
     page = lambda field: F.expr(f"try_cast(regexp_extract(cast(header as string), '\\r\\n{field}: <urn:page:(-?[0-9]+)>\\r\\n', 1) as long)")
-    parsed = headers.select(
-        page("WARC-Record-ID").alias("id"), _type().alias("record_type"), page("WARC-Refers-To").alias("refers_to"), "header", "head", "digest", "copies",
-        F.regexp_extract(_text(), r"\r\nWARC-Payload-Digest: sha1:(\w+)\r\n", 1).alias("stated"),
+    parsed = join_groups(headers.select("header", "head", "digest"), materialise(facts, "warc-uses"), ["digest"], "uses", "inner").select(
+        page("WARC-Record-ID").alias("id"), _type().alias("record_type"), page("WARC-Refers-To").alias("refers_to"), "header", "head", "digest", "payload_bytes", "payload_digest",
+        F.regexp_extract(_text(), r"\r\nWARC-Payload-Digest: sha1:(\w+)\r\n", 1).alias("stated"), F.regexp_extract(_text(), r"\r\nContent-Length: (\d+)\r\n", 1).cast("long").alias("length"),
     )
-    end = F.lit(b"\r\n\r\n")
-    responses = parsed.where("record_type = 'response'").join(payloads.select("digest", sound.alias("payload")), "digest")
-    responses = responses.withColumns(
-        {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32(F.sha1("payload")), "record": F.concat("header", "head", "payload", end)}
-    )
-    revisits = parsed.where("record_type = 'revisit'")
-    facts = payloads.join(revisits.groupBy("digest").agg(F.count(F.lit(1)).alias("uses")), "digest").select(
-        "digest", "uses", F.octet_length(sound).cast("long").alias("payload_bytes"), base32(F.sha1(sound)).alias("payload_digest")
-    )
-    facts = materialise(facts, "warc-facts")
-    revisits = join_groups(revisits, facts, ["digest"], "uses", "inner").withColumns({"payload": F.lit(None).cast("binary"), "record": F.concat("header", "head", end)})
-    columns = ["id", "record_type", "refers_to", "header", "head", "digest", "payload", "record", "payload_bytes", "payload_digest", "stated"]
-    both = responses.select(columns).unionByName(revisits.select(columns))
     agreed = F.when(F.col("payload_digest") == F.col("stated"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("payload does not match its record's digest")))
-    return both.withColumn("payload_digest", agreed).drop("stated")
+    parsed = parsed.withColumn("payload_digest", agreed).drop("stated")
+    responses = parsed.where("record_type = 'response'").join(payloads, "digest")
+    revisits = parsed.where("record_type = 'revisit'").withColumn("payload", F.lit(None).cast("binary"))
+    block = F.concat("head", F.coalesce("payload", F.lit(b"")))
+    whole = F.when(F.octet_length(block) == F.col("length"), F.concat("header", block, F.lit(b"\r\n\r\n"))).otherwise(F.raise_error(F.lit("record does not match its Content-Length")))
+    columns = ["id", "record_type", "refers_to", "header", "head", "digest", "payload"]
+    return responses.unionByName(revisits).select(*columns, whole.alias("record"), "payload_bytes", "payload_digest")
 
 
 def archive(pages: DataFrame, **options) -> DataFrame:
