@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import string
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +18,8 @@ from ..sources.scratch import new_path
 
 #: A key is hot when it holds more than one part in hot_parts() of all rows: at least one in so many, and a quarter of a partition's share.
 HOT_KEYS = 4096
+#: The most buckets that a table may have unless the session is set otherwise.
+MOST_BUCKETS = 100_000
 #: The six ASCII white-space characters [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -28,6 +31,26 @@ def materialise(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Bucketed:
+    """A table whose rows lie in buckets by a column: joins on it move the other side only. Readers through frame() need the catalog's entry, which close() drops."""
+
+    def __init__(self, df: DataFrame, column: str, tag: str):
+        self.spark, self.schema, self.path = df.sparkSession, df.schema, new_path(df.sparkSession, tag)
+        self.name = f"triloom_{uuid.uuid4().hex}"
+        buckets = min(partitions(self.spark), MOST_BUCKETS)
+        df.write.format("parquet").bucketBy(buckets, column).option("path", self.path).saveAsTable(self.name)
+
+    def frame(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def files(self) -> DataFrame:
+        """The same rows, for readers that don't join by the column."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")  # its files stay, as scratch
+
+
 def released(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function over a task's batches that gives memory back at the end: Python workers live on, and the next stage runs beside them."""
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +14,10 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import golomb
-from .common import join_groups, materialise, new_path, partitions, released, small
+from .common import Bucketed, join_groups, materialise, partitions, released, small
 
 #: Rows whose fingerprints one block holds: 8 bytes each.
 BLOCK_ROWS = 100_000
-#: The most buckets that a table may have unless the session is set otherwise.
-MOST_BUCKETS = 100_000
 
 _ROWS = "block long, place int, id long, sha string, norm binary, fps binary"
 _FIELDS = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("id", pa.int64()), ("sha", pa.string()), ("norm", pa.binary()), ("fps", pa.binary())])
@@ -79,9 +76,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     ship(spark)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    path, name, buckets = new_path(spark, "texts"), f"triloom_{uuid.uuid4().hex}", min(partitions(spark), MOST_BUCKETS)
-    pairs.mapInArrow(_fingerprints, _ROWS).write.format("parquet").bucketBy(buckets, "block").option("path", path).saveAsTable(name)
-    written = spark.read.schema(_ROWS).parquet(path)
+    table = Bucketed(pairs.mapInArrow(_fingerprints, _ROWS), "block", "texts")
+    written = table.files()
     rows, blocks = written.where("fps is null").select("id", "sha"), written.where("fps is not null").select("block", "fps")
     bits = golomb.owner_bits(rows.count())
 
@@ -96,13 +92,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     parts = golomb.bitmaps(sent).groupBy("block").agg(F.collect_list(F.struct("owner", "bits")).alias("parts"))
     marks = materialise(blocks.join(parts, "block").mapInArrow(_marks, "block long, bits binary"), "bitmaps")
     marked = F.expr("getbit(cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as long), 7 - place % 8) = 1")
-    texts = spark.table(name).where("fps is null").select("block", "place", "id", "norm")
+    texts = table.frame().where("fps is null").select("block", "place", "id", "norm")
     suspects = texts.join(marks.hint("shuffle_hash"), "block").where(marked)
-    part = F.pmod(F.xxhash64("block"), F.lit(int(np.ceil(np.sqrt(buckets))))).alias("part")
+    part = F.pmod(F.xxhash64("block"), F.lit(int(np.ceil(np.sqrt(partitions(spark)))))).alias("part")
     groups = suspects.groupBy("norm", part).agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.groupBy("norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).where("group_size > 1")
     groups = materialise(groups.select(F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"), "groups")
-    spark.sql(f"DROP TABLE {name}")  # its files stay, as scratch
+    table.close()
     return join_groups(rows, groups, ["sha"], "group_size").select(
         "id",
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),

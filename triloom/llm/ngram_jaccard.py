@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import golomb
-from .common import join_groups, materialise, partitions, released, spread_join
+from .common import Bucketed, join_groups, materialise, partitions, released, spread_join
 from .components import components
 
 N_GRAM = 5
@@ -25,7 +25,7 @@ BLOCK_BYTES, BLOCK_ROWS, VERIFY_TEXTS = 8_000_000, 20_000, 2_000
 #: Tokens in up to 2**5 - 1 documents are indexed singly, in up to 2**9 - 1 as pairs, beyond as triples; sets below 16 tokens only singly.
 PAIR_LEVEL, TRIPLE_LEVEL, SMALL = 6, 10, 16
 #: Nodes and tokens of a tile, and of a group of visitors to it.
-TILE_NODES, TILE_TOKENS = 250, 500_000
+TILE_NODES, TILE_TOKENS = 150, 500_000
 _GOLD, _ODD, _MASK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
 
 
@@ -125,17 +125,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[int |
         yield xxhash.xxh3_128_hexdigest(repr(ids).encode() + b"".join(texts)), ids, texts
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, groups: int, n_gram: int, threshold: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: Bucketed, groups: int, n_gram: int, threshold: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets reach the threshold.
 
     Texts of a are dealt into groups; a text b goes once to each group that holds a partner of it, with the list of them, so the
     text of a node with very many partners is sent at most once per group, from several tasks (spread_join()). A task keeps the sets of one group.
     """
-    group = F.pmod(F.xxhash64("a"), F.lit(groups)).alias("group")
-    pairs = pairs.withColumn("group", group)
-    left = pairs.select("group", "a").distinct().join(texts.select(F.col("node").alias("a"), "text").hint("merge"), "a").select("group", F.lit(0).alias("tag"), F.col("a").alias("node"), "text", F.lit(None).cast("array<binary>").alias("partners"))
+    group_of = lambda node: F.pmod(F.xxhash64(node), F.lit(groups)).alias("group")
+    pairs = pairs.withColumn("group", group_of("a"))
+    wanted = pairs.select("a").distinct().withColumnRenamed("a", "node")
+    left = texts.frame().select("node", "text").join(wanted.hint("merge"), "node", "left_semi").select(group_of("node"), F.lit(0).alias("tag"), "node", "text", F.lit(None).cast("array<binary>").alias("partners"))
     asked = materialise(pairs.groupBy("group", "b").agg(F.collect_list("a").alias("partners")), "partners")  # at most a group's nodes
-    right = spread_join(asked, texts.select(F.col("node").alias("b"), "text"), ["b"]).select("group", F.lit(1).alias("tag"), F.col("b").alias("node"), "text", "partners")
+    pivots = texts.frame().select("node", "text").join(asked.select(F.col("b").alias("node")).distinct().hint("merge"), "node", "left_semi")
+    right = spread_join(asked, pivots.withColumnRenamed("node", "b"), ["b"]).select("group", F.lit(1).alias("tag"), F.col("b").alias("node"), "text", "partners")
 
     @released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +181,18 @@ def _meetings(ties: DataFrame, threshold: int) -> DataFrame:
     tile = F.xxhash64("anchor", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("tile")
     homes = materialise(homes.select("node", "comp", "n", tile), "homes")
 
-    placed = materialise(ties.join(homes.select("node", "tile"), "node").select("sig", "node", "n", "rank", "comp", "hi", "tile"), "placed")
-    held = placed.groupBy("sig", "tile").agg(F.max(order).alias("top"), F.min("n").alias("lo"), F.max("n").alias("most"))
-    going = placed.where(order < F.col("hi")).select("sig", "node", "n", "rank", "comp")
+    placed = materialise(ties.join(homes.select("node", "tile"), "node").select("sig", "size", "node", "n", "rank", "comp", "hi", "tile"), "placed")
+    held = placed.groupBy("sig", "tile").agg(F.max(order).alias("top"))
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "tile", "top")).alias(f"s{i}") for i in (0, 1)]
+    kinds = materialise(held.groupBy("sig").agg(*same), "kinds")
+    held = held.join(kinds, "sig").select("s0", "s1", "tile", "top").distinct()
+    range_ = homes.groupBy("tile").agg(F.min("n").alias("lo"), F.max("n").alias("most"))
+    held = materialise(held.join(range_, "tile"), "held")
+    going = placed.where(order < F.col("hi")).select("sig", "size", "node", "n", "rank", "comp")
+    sizes = placed.select("sig", "size").distinct().join(kinds, "sig")
+    going = materialise(join_groups(going.drop("size"), sizes, ["sig"], "size", "inner").select("s0", "s1", "node", "n", "rank", "comp").distinct(), "going")
     fits = (order < F.col("top")) & F.expr(f"100 * n >= {threshold} * lo and 100 * most >= {threshold} * n")
-    visits = spread_join(going, held, ["sig"]).where(fits).select("tile", "node", "comp", "n").distinct()
+    visits = spread_join(going, held, ["s0", "s1"]).where(fits).select("tile", "node", "comp", "n").distinct()
     visits = materialise(visits, "visits")
     asked = visits.groupBy("tile").agg(F.count(F.lit(1)).alias("visitors"), chunks(F.count(F.lit(1))).alias("slots"))
     guests = join_groups(visits, asked, ["tile"], "visitors", "inner").select("tile", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int").alias("slot"), F.lit(1).alias("role"), "node", "comp")
@@ -191,11 +200,12 @@ def _meetings(ties: DataFrame, threshold: int) -> DataFrame:
     return guests.unionByName(homes.join(asked, "tile").select("tile", slot, F.lit(0).alias("role"), "node", "comp"))
 
 
-def _verify_open(ties: DataFrame, texts: DataFrame, n_gram: int, threshold: int) -> DataFrame:
+def _verify_open(ties: DataFrame, texts: Bucketed, n_gram: int, threshold: int) -> DataFrame:
     """Links (``a``, ``b``) that join different components of open buckets, as many as it takes: see _meetings(). No pairs travel."""
     meet = materialise(_meetings(ties, threshold), "meetings")
     total = meet.count()
-    meet = spread_join(meet, texts.select("node", "text"), ["node"])
+    own = texts.frame().select("node", "text").join(meet.select("node").distinct().hint("merge"), "node", "left_semi")
+    meet = spread_join(meet, own, ["node"])
 
     @released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +297,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             data, ends = zstandard.ZstdDecompressor().decompress(row["texts"]), np.cumsum(row["lengths"]).tolist()
             yield row, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    blocks = materialise(pairs.mapInArrow(packed, "block string, ids array<long>, lengths array<long>, texts binary"), "text-blocks")
+    held = Bucketed(pairs.mapInArrow(packed, "block string, ids array<long>, lengths array<long>, texts binary"), "block", "text-blocks")
+    blocks = held.files()
     total = blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
     bits, owners = golomb.key_bits(total * 512), golomb.owner_bits(total * 512)
     shift = np.uint64(64 - bits)
@@ -327,15 +338,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], ["id", "node", "n", "k", "text", "sigs"])
 
-    every = blocks.hint("merge").join(parts, "block", "left").mapInArrow(index, "id long, node binary, n long, k long, text binary, sigs array<long>")
+    every = held.frame().join(parts.hint("merge"), "block", "left").mapInArrow(index, "id long, node binary, n long, k long, text binary, sigs array<long>")
     every = materialise(every, "signatures")
+    held.close()
     rows, indexed = every.select("id", "n", "node", *(["k"] if keyed else [])), every.where("sigs is not null")
-    texts = materialise(indexed.select("node", "n", "text").dropDuplicates(["node"]), "texts")
-    groups = max(partitions(docs.sparkSession), texts.count() // VERIFY_TEXTS)
+    texts = Bucketed(indexed.select("node", "text").dropDuplicates(["node"]), "node", "texts")
+    groups = max(partitions(docs.sparkSession), texts.files().count() // VERIFY_TEXTS)
     members = indexed.select("node", F.size("sigs").alias("weight"), "n", F.explode("sigs").alias("sig")).distinct()
-    heads = members.groupBy("sig").agg(F.max(F.struct("weight", "node", "n")).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = materialise(members, "members")
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"s{i}") for i in (0, 1)]
+    heads = members.groupBy("sig").agg(F.max(F.struct("weight", "node", "n")).alias("pivot"), F.count(F.lit(1)).alias("size"), *same).where("size > 1")
+    heads = heads.groupBy("size", "s0", "s1").agg(F.min("sig").alias("sig"), F.first("pivot").alias("pivot")).select("sig", "pivot", "size")  # buckets with the same members are one
     heads = materialise(heads, "pivots")
-    members = materialise(join_groups(materialise(members, "members"), heads, ["sig"], "size", "inner"), "buckets")
+    members = materialise(join_groups(members, heads, ["sig"], "size", "inner"), "buckets")
     near = members.where(f"node <> pivot.node and 100 * n >= {threshold} * pivot.n and 100 * pivot.n >= {threshold} * n")
     chosen = materialise(near.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "candidates")
     edges = materialise(_verify(chosen, texts, groups, n_gram, threshold), "links")
@@ -352,6 +367,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         late = materialise(_verify_open(ties, texts, n_gram, threshold), "late-links")
         if not late.isEmpty():
             names = components(edges.unionByName(late))
+    texts.close()
 
     classes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes.join(names, "node", "left"), "classes")
