@@ -65,7 +65,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.ranks_from(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    found = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    found = bpe.encode(docs, ranks, public_tokenizers.PATTERN, at_spaces=True)
     return found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -12,6 +12,7 @@ from triloom.functions.terms import BOOLEAN, DOUBLE, INTEGER, py_abbreviate, py_
 from triloom.plans.algebra import Op, Pattern
 from triloom.plans.parser import parse
 from triloom.plans.planner import components, plan
+from triloom.plans.relation import TERM, Relation, join, left_join
 from triloom.sources.federated import FederatedSource
 from triloom.sources.triples import TripleSource, from_rows, read_triples, write_triples
 
@@ -242,13 +243,81 @@ def test_no_literal_star_join_reads_a_table_once(spark):
     from triloom.sources.relational import Mapping, RelationalSource
 
     df = spark.createDataFrame([(1, "a", 5, None), (2, "b", None, 1)], "id long, n string, v long, up long")
-    engine = Engine(spark, RelationalSource(spark, [Mapping("t", df, ["id"], {"up": "t"})]), {"t": "urn:t:t#"})
+    engine = Engine(spark, RelationalSource(spark, [Mapping("t", df, ["id"], {"up": "t"}, unique=True)]), {"t": "urn:t:t#"})
     assert list(engine.sparql("SELECT * { ?x t:n ?n ; t:v ?v }").rows()) == [{"?x": "urn:t:t/1", "?n": '"a"', "?v": f'"5"^^{INTEGER}'}]
     assert "Join" not in engine.sparql("SELECT * { ?x t:n ?n ; t:v ?v }").relation.df._jdf.queryExecution().optimizedPlan().toString()
     assert [r["?m"] for r in engine.sparql("SELECT ?m { ?x t:up ?y . ?y t:n ?m }").rows()] == ['"a"']
     assert engine.sparql("SELECT * { ?s ?p ?o }").terms().where(F.col("`?o`").startswith('"')).count() == 5
 
 
+def test_rows_that_share_a_key_are_one_subject(spark):
+    from triloom.sources.relational import Mapping, RelationalSource
+
+    df = spark.createDataFrame([(1, "a", 5), (1, "b", 6)], "id long, n string, v long")
+    engine = Engine(spark, RelationalSource(spark, [Mapping("t", df, ["id"])]), {"t": "urn:t:t#"})
+    assert len(list(engine.sparql("SELECT * { ?x t:n ?n ; t:v ?v }").rows())) == 4
+    assert len(list(engine.sparql("SELECT * { { ?x t:n ?n } { ?x t:v ?v } }").rows())) == 4
+
+
+def _relation(spark, names, maybe, found, tmp_path, name):
+    spark.createDataFrame(found, ", ".join(f"`{v}` string" for v in names)).write.parquet(str(tmp_path / name))
+    return Relation(spark.read.parquet(str(tmp_path / name)), dict.fromkeys(names, TERM), frozenset(maybe))
+
+
+def _compatible(a, b):
+    return all(a.get(v) is None or b.get(v) is None or a[v] == b[v] for v in a.keys() & b.keys())
+
+
+@pytest.mark.parametrize("with_key", [True, False])
+def test_joins_on_variables_that_may_be_unbound(spark, tmp_path, with_key):
+    """Three shared variables, each of which either side can leave unbound; with one more that is always bound, or without."""
+    rng = random.Random(4)
+    value = lambda: rng.choice([None, "1", "2"])
+    key = ["?k"] if with_key else []
+    left_names, right_names = [*key, "?x", "?y", "?z", "?a"], [*key, "?x", "?y", "?z", "?b"]
+    make = lambda n: [(*[rng.choice("pqr") for _ in key], value(), value(), value(), str(i)) for i in range(n)]
+    lefts, rights = make(40), make(25)
+    left = _relation(spark, left_names, ["?x", "?y", "?z"], lefts, tmp_path, "left")
+    right = _relation(spark, right_names, ["?x", "?y", "?z"], rights, tmp_path, "right")
+    names = list(dict.fromkeys([*left_names, *right_names]))
+    merged = lambda a, b: tuple(b.get(v) if a.get(v) is None else a[v] for v in names)
+    pairs, kept = [], []
+    for a in (dict(zip(left_names, r, strict=True)) for r in lefts):
+        own = [merged(a, b) for b in (dict(zip(right_names, r, strict=True)) for r in rights) if _compatible(a, b)]
+        pairs += own
+        kept += own or [merged(a, {})]
+    found = join(left, right)
+    assert Counter(tuple(r[v] for v in names) for r in found.df.collect()) == Counter(pairs)
+    outer = left_join(left, right)
+    assert Counter(tuple(r[v] for v in names) for r in outer.df.collect()) == Counter(kept)
+    if with_key:
+        for made in (found, outer):
+            text = made.df.select("*")._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in text and "Cartesian" not in text and text.count("FileScan") == 2
+
+
+def test_optional_whose_right_side_leaves_the_variable_unbound_has_no_nested_loop(spark, engine):
+    found = engine.sparql(P + "SELECT * { ?p e:born ?c OPTIONAL { ?p e:name ?n OPTIONAL { ?p e:lives ?c } } }")
+    text = found.relation.df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_construct_keeps_blank_nodes_together(engine):
+    made = engine.sparql(P + "CONSTRUCT { _:x e:of ?p . _:x a e:Thing . e:all a e:Set } { ?p e:born ?c }").terms().collect()
+    things = {r["s"] for r in made if r["o"] == e("Thing")}
+    assert len(things) == 4 and things == {r["s"] for r in made if r["p"] == e("of")}
+    assert sum(r["s"] == e("all") for r in made) == 1
+
+
+def test_counts_are_stored_with_the_triples(spark, source, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    write_triples(source.df, path, buckets=4)
+    stored = read_triples(spark, path, buckets=4)
+    stored.df = None  # not looked at
+    assert stored.count(Pattern("?s", e("born"), "?o")) == 4 and stored.count(Pattern("?s", e("nothing"), "?o")) == 0
+    assert read_triples(spark, path, buckets=4).df.count() == source.df.count()
+
+
 def test_explain(engine):
     text = engine.explain(P + 'SELECT ?p { ?p e:born ?c . ?c e:name "York"@en }')
     assert "born" in text and "Physical Plan" in text

@@ -188,7 +188,7 @@ class QueryCompiler:
 
     def construct(self, q: Query, rows: Relation) -> DataFrame:
         rows = self.solutions(q, rows)
-        constant = [p for p in q.template if not any(T.py_is_variable(t) for t in p)]
+        constant = [p for p in q.template if not any(T.py_is_variable(t) or (t.startswith("_:") and not self.quirks) for t in p)]  # blank nodes are new ones in every solution
         per_row = [p for p in q.template if p not in constant]
         fresh = F.concat(F.lit("_:b"), F.monotonically_increasing_id().cast("string"), F.lit("_"))
         blanks = {t: i for i, t in enumerate(dict.fromkeys(t for p in per_row for t in p if t.startswith("_:")))}

@@ -20,7 +20,8 @@ _DATATYPES = {S.ByteType: T.INTEGER, S.ShortType: T.INTEGER, S.IntegerType: T.IN
 @dataclass
 class Mapping:
     """How a table becomes triples. frame: the table, or a function that opens it when it is first needed. key: its columns, none for a hash
-    of the whole row. links: column to the table whose row it names; languages: text column to the column of its language."""
+    of the whole row. unique: no two rows have the same key, which is taken on trust; only then are several patterns on a subject one scan.
+    links: column to the table whose row it names; languages: text column to the column of its language."""
 
     name: str
     frame: DataFrame | Callable[[], DataFrame]
@@ -28,6 +29,7 @@ class Mapping:
     links: dict[str, str] = field(default_factory=dict)
     languages: dict[str, str] = field(default_factory=dict)
     rows: int | None = None
+    unique: bool = False
 
     @property
     def df(self) -> DataFrame:
@@ -130,12 +132,14 @@ class RelationalSource(Source):
         return n if T.py_is_open(p.s) else min(n, 50.0)
 
     def star(self, patterns: list[Pattern]) -> Relation | None:
-        """One scan for several patterns on one subject of one table: its key is unique, so joining the patterns is reading the row."""
+        """One scan for several patterns on one subject of one table whose key is unique, where joining the patterns is reading the row."""
         found = [self._column(p.p) for p in patterns if p.p != T.RDF_TYPE]
         tables = {x[0].name if x else None for x in found} | {self.classes[p.o].name if p.o in self.classes else None for p in patterns if p.p == T.RDF_TYPE}
         if len(tables) != 1 or None in tables:
             return None
         m = self.tables[tables.pop()]
+        if not m.unique:
+            return None
         return self._read(m, patterns[0].s, [(p.o, self._column(p.p)[1]) for p in patterns if p.p != T.RDF_TYPE])
 
     def _read(self, m: Mapping, s: str, wanted: list[tuple[str, str]]) -> Relation:
@@ -247,19 +251,19 @@ def star_schema(spark: SparkSession, folder: str) -> RelationalSource:
     return RelationalSource(
         spark,
         [
-            Mapping("region", read("region"), ["r_regionkey"]),
-            Mapping("nation", read("nation"), ["n_nationkey"], {"n_regionkey": "region"}),
-            Mapping("customer", read("customer"), ["c_custkey"], {"c_nationkey": "nation"}),
-            Mapping("supplier", read("supplier"), ["s_suppkey"], {"s_nationkey": "nation"}),
-            Mapping("part", read("part"), ["p_partkey"]),
-            Mapping("orders", read("orders"), ["o_orderkey"], {"o_custkey": "customer"}),
-            Mapping("lineitem", read("lineitem"), [], {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}),
-            Mapping("events", read("events"), ["event_id"]),
-            Mapping("documents", read("documents"), ["doc_id"], languages={"text": "lang"}),
-            Mapping("labels", read("labels"), ["doc_id"], {"doc_id": "documents"}),
-            Mapping("pages", read("pages"), ["page_id"]),
-            Mapping("benchmark", read("benchmark"), ["item_id"]),
-            Mapping("conversations", read("conversations"), ["conv_id", "turn"]),
+            Mapping("region", read("region"), ["r_regionkey"], unique=True),
+            Mapping("nation", read("nation"), ["n_nationkey"], {"n_regionkey": "region"}, unique=True),
+            Mapping("customer", read("customer"), ["c_custkey"], {"c_nationkey": "nation"}, unique=True),
+            Mapping("supplier", read("supplier"), ["s_suppkey"], {"s_nationkey": "nation"}, unique=True),
+            Mapping("part", read("part"), ["p_partkey"], unique=True),
+            Mapping("orders", read("orders"), ["o_orderkey"], {"o_custkey": "customer"}, unique=True),
+            Mapping("lineitem", read("lineitem"), [], {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}, unique=True),
+            Mapping("events", read("events"), ["event_id"], unique=True),
+            Mapping("documents", read("documents"), ["doc_id"], languages={"text": "lang"}, unique=True),
+            Mapping("labels", read("labels"), ["doc_id"], {"doc_id": "documents"}, unique=True),
+            Mapping("pages", read("pages"), ["page_id"], unique=True),
+            Mapping("benchmark", read("benchmark"), ["item_id"], unique=True),
+            Mapping("conversations", read("conversations"), ["conv_id", "turn"], unique=True),
         ],
     )
 

@@ -9,11 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), a temporary one that is set for the session."""
+    """The folder that spark.checkpoint.dir names; where it is unset and all runs on this machine (tests), a temporary one that is set for the session."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="triloom-"))
     return context.getCheckpointDir().get().rstrip("/")
 

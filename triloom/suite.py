@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine, Result
+from .functions.terms import RDF_TYPE
 from .plans.algebra import Pattern
 from .results.writers import WRITERS, save_ntriples, write_turtle
 from .sources.federated import FederatedSource
@@ -47,7 +48,7 @@ SPARQL: dict[str, tuple[str, str]] = {
     ),
     "bgp_cartesian": ("SELECT ?a ?b WHERE { ?x region:r_name ?a . ?y nation:n_name ?b }", "SELECT r_name AS a, n_name AS b FROM region, nation"),
     "pattern_repeated_var": ("SELECT ?x WHERE { ?x labels:quality ?v . ?x labels:toxic ?v }", "SELECT 'urn:t:labels/' || doc_id AS x FROM labels WHERE quality = toxic"),
-    "repeated_in_pattern": ("SELECT ?x WHERE { ?x labels:doc_id ?x }", "SELECT CAST(doc_id AS VARCHAR) AS x FROM labels WHERE false"),
+    "repeated_impossible": ("SELECT ?x WHERE { ?x labels:doc_id ?x }", "SELECT CAST(doc_id AS VARCHAR) AS x FROM labels WHERE false"),
     "literal_subject_empty": ('SELECT ?p ?o WHERE { "x" ?p ?o }', "SELECT r_name AS p, r_name AS o FROM region WHERE false"),
     "contradiction": ("SELECT ?a WHERE { ?x region:r_name ?a . ?x <urn:none> ?b }", "SELECT r_name AS a FROM region WHERE false"),
     "other_template_empty": ("SELECT ?a WHERE { ?x region:r_name ?a . ?x nation:n_name ?b }", "SELECT r_name AS a FROM region WHERE false"),
@@ -76,6 +77,22 @@ SPARQL: dict[str, tuple[str, str]] = {
         """WITH l AS (SELECT n_nationkey, c_custkey FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9500)
            SELECT 'urn:t:nation/' || n_nationkey AS n, 'urn:t:customer/' || r.c_custkey AS c FROM l JOIN customer r ON (l.c_custkey IS NULL OR l.c_custkey = r.c_custkey) WHERE r.c_mktsegment = 'BUILDING'""",
     ),
+    "join_both_maybe_unbound": (
+        """SELECT ?n ?r ?c WHERE { { ?n nation:n_name ?name OPTIONAL { ?n nation:n_regionkey ?r FILTER(?name != "NATION_3") } }
+           { ?n nation:n_nationkey ?k OPTIONAL { ?n nation:n_regionkey ?r FILTER(?k > 5) } OPTIONAL { ?c customer:c_nationkey ?n ; customer:c_acctbal ?b FILTER(?b > 9500) } } }""",
+        """WITH a AS (SELECT n_nationkey AS k, CASE WHEN n_name <> 'NATION_3' THEN n_regionkey END AS r FROM nation), b AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey > 5 THEN n_regionkey END AS r FROM nation)
+           SELECT 'urn:t:nation/' || a.k AS n, 'urn:t:region/' || coalesce(a.r, b.r) AS r, 'urn:t:customer/' || c_custkey AS c FROM a JOIN b ON a.k = b.k AND (a.r IS NULL OR b.r IS NULL OR a.r = b.r)
+           LEFT JOIN customer ON c_nationkey = a.k AND c_acctbal > 9500""",
+    ),
+    "optional_maybe_unbound": (
+        """SELECT ?n ?r ?x WHERE { ?n nation:n_nationkey ?k OPTIONAL { ?n nation:n_regionkey ?r FILTER(?k > 5) }
+           OPTIONAL { ?n nation:n_name ?x OPTIONAL { ?n nation:n_regionkey ?r FILTER(?x != "NATION_9" && ?x != "NATION_4") } } }""",
+        """SELECT 'urn:t:nation/' || n_nationkey AS n, CASE WHEN n_nationkey > 5 OR n_name NOT IN ('NATION_9', 'NATION_4') THEN 'urn:t:region/' || n_regionkey END AS r, n_name AS x FROM nation""",
+    ),
+    "optional_right_unbound": (
+        "SELECT ?n ?x ?z WHERE { ?n nation:n_regionkey ?x OPTIONAL { { ?x region:r_name ?z FILTER(?z = \"ASIA\") } UNION { ?w supplier:s_name ?z FILTER(?z = \"none\") } } }",
+        "SELECT 'urn:t:nation/' || n_nationkey AS n, 'urn:t:region/' || n_regionkey AS x, r_name AS z FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_name = 'ASIA'",
+    ),
     "union_two": (
         "SELECT ?x ?n WHERE { { ?x supplier:s_name ?n } UNION { ?x customer:c_name ?n } }",
         "SELECT 'urn:t:supplier/' || s_suppkey AS x, s_name AS n FROM supplier UNION ALL SELECT 'urn:t:customer/' || c_custkey, c_name FROM customer",
@@ -101,7 +118,7 @@ SPARQL: dict[str, tuple[str, str]] = {
         "SELECT ?cn WHERE { ?c customer:c_name ?cn ; customer:c_nationkey [ nation:n_name ?nn ; nation:n_regionkey _:r ] . _:r region:r_name \"ASIA\" }",
         "SELECT c_name AS cn FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'",
     ),
-    "filter_add": ("SELECT ?k WHERE { ?p part:p_partkey ?k ; part:p_size ?s ; part:p_retailprice ?v FILTER(?s + ?v > 1500) }", "SELECT p_partkey AS k FROM part WHERE p_size + p_retailprice > 1500"),
+    "filter_add": ("SELECT ?k WHERE { ?p part:p_partkey ?k ; part:p_size ?s ; part:p_retailprice ?v FILTER(?s + ?v > 1020) }", "SELECT p_partkey AS k FROM part WHERE p_size + p_retailprice > 1020"),
     "filter_sub": ("SELECT ?k WHERE { ?p part:p_partkey ?k ; part:p_size ?s FILTER(?s - 10 > 20) }", "SELECT p_partkey AS k FROM part WHERE p_size - 10 > 20"),
     "filter_mul": ("SELECT ?q ?e WHERE { ?l lineitem:l_quantity ?q ; lineitem:l_extendedprice ?e ; lineitem:l_discount ?d FILTER(?e * ?d > 3000) }", "SELECT l_quantity AS q, l_extendedprice AS e FROM lineitem WHERE l_extendedprice * l_discount > 3000"),
     "filter_div": ("SELECT ?q ?e WHERE { ?l lineitem:l_quantity ?q ; lineitem:l_extendedprice ?e FILTER(?e / ?q < 950.0) }", "SELECT l_quantity AS q, l_extendedprice AS e FROM lineitem WHERE l_extendedprice / l_quantity < 950.0"),
@@ -111,7 +128,7 @@ SPARQL: dict[str, tuple[str, str]] = {
     "filter_iri": ("SELECT ?nn WHERE { ?n nation:n_regionkey ?r ; nation:n_name ?nn FILTER(?r = <urn:t:region/2>) }", "SELECT n_name AS nn FROM nation WHERE n_regionkey = 2"),
     "filter_lt": ("SELECT ?c ?b WHERE { ?c customer:c_acctbal ?b FILTER(?b < 0) }", "SELECT 'urn:t:customer/' || c_custkey AS c, c_acctbal AS b FROM customer WHERE c_acctbal < 0"),
     "filter_le": ("SELECT ?k WHERE { ?p part:p_partkey ?k ; part:p_size ?s FILTER(?s <= 3) }", "SELECT p_partkey AS k FROM part WHERE p_size <= 3"),
-    "filter_gt": ("SELECT ?k ?v WHERE { ?p part:p_partkey ?k ; part:p_retailprice ?v FILTER(?v > 1800) }", "SELECT p_partkey AS k, p_retailprice AS v FROM part WHERE p_retailprice > 1800"),
+    "filter_gt": ("SELECT ?k ?v WHERE { ?p part:p_partkey ?k ; part:p_retailprice ?v FILTER(?v > 980) }", "SELECT p_partkey AS k, p_retailprice AS v FROM part WHERE p_retailprice > 980"),
     "filter_ge": ("SELECT ?e ?v WHERE { ?e events:value ?v FILTER(?v >= 90) }", "SELECT 'urn:t:events/' || event_id AS e, value AS v FROM events WHERE value >= 90"),
     "filter_not": ("SELECT ?k WHERE { ?p part:p_partkey ?k ; part:p_size ?s FILTER(!(?s > 5)) }", "SELECT p_partkey AS k FROM part WHERE NOT p_size > 5"),
     "filter_and": ("SELECT ?k WHERE { ?p part:p_partkey ?k ; part:p_size ?s ; part:p_retailprice ?v FILTER(?s > 5 && ?v < 1200) }", "SELECT p_partkey AS k FROM part WHERE p_size > 5 AND p_retailprice < 1200"),
@@ -123,10 +140,10 @@ SPARQL: dict[str, tuple[str, str]] = {
     "filter_lang": ('SELECT ?d WHERE { ?d documents:text ?t FILTER(lang(?t) = "de") }', "SELECT 'urn:t:documents/' || doc_id AS d FROM documents WHERE lower(lang) = 'de'"),
     "filter_langmatches": ('SELECT ?d WHERE { ?d documents:text ?t FILTER langMatches(lang(?t), "FR") }', "SELECT 'urn:t:documents/' || doc_id AS d FROM documents WHERE lower(lang) = 'fr' OR lower(lang) LIKE 'fr-%'"),
     "filter_contains": ('SELECT ?d WHERE { ?d documents:text ?t FILTER contains(?t, "ing the") }', "SELECT 'urn:t:documents/' || doc_id AS d FROM documents WHERE contains(text, 'ing the')"),
-    "filter_regex": ('SELECT ?p ?n WHERE { ?p part:p_name ?n FILTER regex(?n, "[aeiou].*1[0-9]?$") }', "SELECT 'urn:t:part/' || p_partkey AS p, p_name AS n FROM part WHERE regexp_matches(p_name, '[aeiou].*1[0-9]?$')"),
+    "filter_regex": ('SELECT ?p ?n WHERE { ?p part:p_name ?n FILTER regex(?n, "[aeiou].* [bw][a-z]*t$") }', "SELECT 'urn:t:part/' || p_partkey AS p, p_name AS n FROM part WHERE regexp_matches(p_name, '[aeiou].* [bw][a-z]*t$')"),
     "filter_regex_iri": ('SELECT ?c WHERE { ?c customer:c_name ?n FILTER regex(?c, "customer/1[0-9]$") }', "SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE c_custkey BETWEEN 10 AND 19"),
     "filter_str": ('SELECT ?nn WHERE { ?n nation:n_regionkey ?r ; nation:n_name ?nn FILTER(str(?r) = "urn:t:region/1") }', "SELECT n_name AS nn FROM nation WHERE n_regionkey = 1"),
-    "cast_integer": ("SELECT ?k WHERE { ?p part:p_partkey ?k ; part:p_retailprice ?v FILTER(xsd:integer(?v) = 1000) }", "SELECT p_partkey AS k FROM part WHERE trunc(p_retailprice) = 1000"),
+    "cast_integer": ("SELECT ?k WHERE { ?p part:p_partkey ?k ; part:p_retailprice ?v FILTER(xsd:integer(?v) = 905) }", "SELECT p_partkey AS k FROM part WHERE trunc(p_retailprice) = 905"),
     "cast_double": ("SELECT ?k WHERE { ?p part:p_partkey ?k ; part:p_size ?s FILTER(xsd:double(?s) > 45) }", "SELECT p_partkey AS k FROM part WHERE p_size > 45"),
     "filter_bound": (
         "SELECT ?d WHERE { ?d documents:source ?s OPTIONAL { ?l labels:doc_id ?d ; labels:quality ?q } FILTER(!bound(?q)) }",
@@ -178,9 +195,10 @@ SPARQL: dict[str, tuple[str, str]] = {
            UNION ALL SELECT 'urn:t:region/1', 'urn:t:region#r_name', '"' || r_name || '"' FROM region WHERE r_regionkey = 1""",
     ),
     "scan_spo": (
-        "SELECT ?p ?o WHERE { <urn:t:supplier/3> ?p ?o FILTER(?p != supplier:s_acctbal) }",
+        "SELECT ?p ?o WHERE { <urn:t:supplier/3> ?p ?o }",
         """SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'urn:t:Supplier' AS o UNION ALL SELECT 'urn:t:supplier#s_suppkey', '"3"^^http://www.w3.org/2001/XMLSchema#integer'
-           UNION ALL SELECT 'urn:t:supplier#s_name', '"' || s_name || '"' FROM supplier WHERE s_suppkey = 3 UNION ALL SELECT 'urn:t:supplier#s_nationkey', 'urn:t:nation/' || s_nationkey FROM supplier WHERE s_suppkey = 3""",
+           UNION ALL SELECT 'urn:t:supplier#s_name', '"' || s_name || '"' FROM supplier WHERE s_suppkey = 3 UNION ALL SELECT 'urn:t:supplier#s_nationkey', 'urn:t:nation/' || s_nationkey FROM supplier WHERE s_suppkey = 3
+           UNION ALL SELECT 'urn:t:supplier#s_acctbal', '"' || s_acctbal || '"^^http://www.w3.org/2001/XMLSchema#double' FROM supplier WHERE s_suppkey = 3""",
     ),
 }
 
@@ -243,6 +261,47 @@ def _construct_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("p") == "urn:x:of", F.col("o"))).alias("o")).select("n", "o")
 
 
+def _construct_blank_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template triple without variables but with a blank node belongs to each solution's own node."""
+    made = engine(spark, sf_dir).sparql("CONSTRUCT { _:x <urn:x:of> ?n . _:x a <urn:x:Thing> . <urn:x:all> a <urn:x:Set> } WHERE { ?n nation:n_name ?name }").terms()
+    of = lambda p: F.max(F.when(F.col("p") == p, F.col("o")))
+    made = made.groupBy("s").agg(F.count(F.lit(1)).alias("n"), of("urn:x:of").alias("o"), of(RDF_TYPE).alias("type"))
+    return made.select("n", "o", "type")
+
+
+def _repeated_in_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations point to nations, some to themselves."""
+    to = F.expr("concat('urn:t:nation/', n_nationkey)").alias("s"), F.lit("urn:x:to").alias("p"), F.expr("concat('urn:t:nation/', n_nationkey * 11 % 25)").alias("o")
+    source = TripleSource(spark.read.parquet(f"{sf_dir}/nation.parquet").select(*to))
+    return Engine(spark, source).sparql("SELECT ?x WHERE { ?x <urn:x:to> ?x }").typed()
+
+
+def _filter_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text can't be added to: an error, which only a true alternative outweighs."""
+    return engine(spark, sf_dir).sparql("SELECT ?k WHERE { ?n nation:n_nationkey ?k ; nation:n_name ?name FILTER(?name + 1 > 0 || ?k < 3) }").typed()
+
+
+def _federated_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts summed over sources; one that has nothing of a pattern isn't asked for its instances."""
+    source, rows = _halves(spark, sf_dir), []
+    for name, p in (("suppliers", Pattern("?s", PREFIXES["supplier"] + "s_name", "?n")), ("customers", Pattern("?c", PREFIXES["customer"] + "c_name", "?n")), ("orders", Pattern("?o", PREFIXES["orders"] + "o_custkey", "?c"))):
+        rows.append((name, int(source.count(p)), sum(p in x for x in source.empty.values())))
+    return spark.createDataFrame(rows, "pattern string, n long, without int")
+
+
+def _federated_failing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of two sources fails: the other still answers."""
+
+    class Broken(RelationalSource):
+        def count(self, p):
+            raise OSError("no answer")
+
+        scan = estimate = count
+
+    source = FederatedSource(spark, [Broken(spark, []), star_schema(spark, sf_dir)])
+    return Engine(spark, source, PREFIXES).sparql("SELECT ?n ?name WHERE { ?n nation:n_name ?name }").typed()
+
+
 def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_sort(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name"), "n_name", 4, "n_nationkey")
 
@@ -255,6 +314,49 @@ def _written(media_type: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _debug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the results; their delays differ from run to run."""
+    return _written("debug")(spark, sf_dir).select("line", F.substring_index("text", ",", 1).alias("text"))
+
+
+def _lines(parts: str) -> str:
+    """SQL for the lines of a text from (place, line) rows over r: regions i of n by name."""
+    return f"WITH r AS (SELECT r_name, row_number() OVER (ORDER BY r_name) AS i, count(*) OVER () AS n FROM region), x AS ({parts}) SELECT CAST(row_number() OVER (ORDER BY place, part) - 1 AS INT) AS line, line AS text FROM x"
+
+
+def _fixed(at: int, lines: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT {at} AS place, {k} AS part, '{x}' AS line" for k, x in enumerate(lines))
+
+
+_END = 1_000_000  # after all regions
+WRITTEN_SQL = {
+    "json": _lines(_fixed(0, ["["]) + " UNION ALL SELECT i, 0, '{\"?n\":\"\\\"' || r_name || '\\\"\",\"?x\":null}' || CASE WHEN i < n THEN ',' ELSE '' END FROM r UNION ALL " + _fixed(_END, ["]"])),
+    "sparql_json": _lines(
+        _fixed(0, ['{"head": {"vars":["n","x"]},', '"results": { "bindings": ['])
+        + " UNION ALL SELECT i, 0, '{\"n\":{\"value\":\"' || r_name || '\",\"type\":\"literal\"}}' || CASE WHEN i < n THEN ',' ELSE '' END FROM r UNION ALL "
+        + _fixed(_END, ["]}}"])
+    ),
+    "sparql_xml": _lines(
+        _fixed(0, ['<?xml version="1.0" encoding="UTF-8"?>', '<sparql xmlns="http://www.w3.org/2005/sparql-results#">', "  <head>", '    <variable name="n"/>', '    <variable name="x"/>', "  </head>", "  <results>"])
+        + """ UNION ALL SELECT i, unnest([0, 1, 2, 3, 4]), unnest(['    <result>', '      <binding name="n">', '        <literal>' || r_name || '</literal>', '      </binding>', '    </result>']) FROM r UNION ALL """
+        + _fixed(_END, ["  </results>", "</sparql>"])
+    ),
+    "simple": _lines("SELECT i AS place, unnest([0, 1, 2]) AS part, unnest(['n: \"' || r_name || '\"', 'x: null', CASE WHEN i < n THEN '' END]) AS line FROM r").replace("FROM x", "FROM x WHERE line IS NOT NULL"),
+    "table": _lines(_fixed(0, ["n" + " " * 50 + "x" + " " * 49, "-" * 101]) + " UNION ALL SELECT i, 0, rpad('\"' || r_name || '\"', 50, ' ') || ' ' || rpad('null', 50, ' ') FROM r"),
+    "debug": _lines(_fixed(0, ["Result"]) + " UNION ALL SELECT i, 0, CAST(i AS VARCHAR) FROM r UNION ALL " + _fixed(_END, ["TOTAL"])),
+}
+#: The window of four as a state: what is held, and what went out at each step.
+WINDOWED_SQL = """
+WITH RECURSIVE t AS (SELECT n_nationkey AS k, n_name AS s, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation),
+w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(s VARCHAR, i BIGINT, k INTEGER)[]) AS held, CAST(NULL AS STRUCT(s VARCHAR, i BIGINT, k INTEGER)) AS gone
+      UNION ALL
+      SELECT i + 1, CASE WHEN len(h) >= 4 OR came IS NULL THEN h[2:] ELSE h END, CASE WHEN len(h) >= 4 OR came IS NULL THEN h[1] END
+      FROM (SELECT w.i, t.i AS came, list_sort(CASE WHEN t.i IS NULL THEN held ELSE list_append(held, {'s': t.s, 'i': t.i, 'k': t.k}) END) AS h FROM w LEFT JOIN t ON t.i = w.i + 1) AS x
+      WHERE len(h) > 0)
+SELECT gone.k AS n_nationkey, gone.s AS n_name, row_number() OVER (ORDER BY i) - 1 AS place FROM w WHERE gone IS NOT NULL
+"""
+
+
 def _quirks_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, compat="quirks").sparql("SELECT ?d ?q WHERE { ?d documents:source ?s OPTIONAL { ?l labels:doc_id ?d ; labels:quality ?q } FILTER(?q > 0) }").typed()
 
@@ -347,12 +449,24 @@ CODE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "snapshot": (_snapshot, "SELECT 'urn:t:orders/' || o_orderkey AS o, o_orderstatus AS st FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01 00:00:00'"),
     "fragments": (_fragments, "SELECT n_name AS nn, r_name AS rn FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "stream_bgp": (_streamed, "SELECT s_name AS sn, r_name AS rn FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
-    "windowed_sort": (_windowed, None),
-    "json": (_written("application/json"), None),
-    "sparql_json": (_written("application/sparql-results+json"), None),
-    "sparql_xml": (_written("application/sparql-results+xml"), None),
-    "simple": (_written("simple"), None),
-    "table": (_written("table"), None),
+    "construct_blank_mixed": (
+        _construct_blank_mixed,
+        "SELECT CAST(2 AS BIGINT) AS n, 'urn:t:nation/' || n_nationkey AS o, 'urn:x:Thing' AS type FROM nation UNION ALL SELECT 1, NULL, 'urn:x:Set'",
+    ),
+    "repeated_in_pattern": (_repeated_in_pattern, "SELECT 'urn:t:nation/' || n_nationkey AS x FROM nation WHERE n_nationkey * 11 % 25 = n_nationkey"),
+    "filter_error": (_filter_error, "SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 3"),
+    "federated_count": (
+        _federated_count,
+        "SELECT 'suppliers' AS pattern, 2 * count(*) AS n, 0 AS without FROM supplier UNION ALL SELECT 'customers', count(*), 1 FROM customer UNION ALL SELECT 'orders', 0, 2",
+    ),
+    "federated_failing": (_federated_failing, "SELECT 'urn:t:nation/' || n_nationkey AS n, n_name AS name FROM nation"),
+    "windowed_sort": (_windowed, WINDOWED_SQL),
+    "json": (_written("application/json"), WRITTEN_SQL["json"]),
+    "sparql_json": (_written("application/sparql-results+json"), WRITTEN_SQL["sparql_json"]),
+    "sparql_xml": (_written("application/sparql-results+xml"), WRITTEN_SQL["sparql_xml"]),
+    "simple": (_written("simple"), WRITTEN_SQL["simple"]),
+    "table": (_written("table"), WRITTEN_SQL["table"]),
+    "debug": (_debug, WRITTEN_SQL["debug"]),
 }
 
 
