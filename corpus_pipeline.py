@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triloom.llm import bpe, language_id
@@ -25,7 +25,7 @@ def _with_text(found: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters and those of no main language; a missing lang is filled in. Without any labelled document nothing but letters counts."""
+    """Drop documents without letters and those of no main language; a missing lang is filled in. Without any labelled document nothing but letters counts. Null texts go; ids, repeated or null, don't matter but for training."""
     model = language_id.fit(docs)
     found = language_id.detect(docs, model, docs.columns)
     own = F.col("row.text").rlike(r"\p{L}")
@@ -36,32 +36,35 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop repeated lines, and documents of which nothing but white space is left by that."""
+    """Drop repeated lines, and documents of which nothing but white space is left by that. A null text is an empty line and stays, as an empty text."""
     found = line_dedup(docs)
     return _with_text(found.where((F.col("n_dropped") == 0) | F.col("body").rlike(r"\S")), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component one row stays: the one with the smallest id (null last), then of the smallest hash of its text. Rows that share an id are rows of their own."""
+    """Of each component one row stays: the one with the smallest id (null last), then of the smallest hash of its text. Rows that share an id are rows of their own.
+
+    Rows equal in id and text are one row from the start, which combines within tasks, so that however many they are they gather nowhere.
+    """
     found = jaccard_components(docs, keyed=True)
     alone = F.col("component").isNull()  # no words: linked with nothing
     first = found.groupBy("component", F.when(alone, F.col("id")), F.when(alone, F.col("text_key"))).agg(F.min(F.struct(F.col("id").isNull(), "id", "text_key")).alias("first"))
-    first = materialise(first.select(F.col("first.id").alias("doc_id"), F.col("first.text_key").alias("__k")), "first-rows")
-    keyed = docs.withColumn("__k", F.xxhash64(ascii_lower(F.coalesce("text", F.lit("")))))
-    same = Window.partitionBy("doc_id", "__k").orderBy(F.xxhash64("text"))
-    kept = keyed.join(first.hint("merge"), ["doc_id", "__k"], "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1")
-    nameless = keyed.where("doc_id is null").groupBy("__k").agg(F.min(F.struct(F.xxhash64("text"), F.struct(*docs.columns).alias("row"))).alias("least"))
-    nameless = nameless.join(first.where("doc_id is null"), "__k", "left_semi").select("least.row.*")
-    return kept.select(docs.columns).unionByName(nameless)
+    key = lambda i, k: (F.coalesce(i, F.lit(0)).alias("i"), i.isNull().alias("nameless"), k.alias("k"))
+    first = materialise(first.select(*key(F.col("first.id"), F.col("first.text_key"))), "first-rows")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(*key(F.col("doc_id").cast("long"), F.xxhash64(ascii_lower(text))), F.xxhash64(text).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    single = keyed.groupBy("i", "nameless", "k").agg(F.min_by("row", "h").alias("row"))
+    kept = single.join(first.hint("merge"), ["i", "nameless", "k"], "left_semi")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as documents: one for each epoch that takes words of a document, with the text taken."""
+    """The mix as documents: one for each epoch that takes words of a document, with the text taken. Documents without words (null texts too) are in no mix; a null source is one."""
     return _with_text(mixed_documents(docs, mix(docs)), docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests, a row per document of the mix."""
+    """Token counts and digests, a row per document of the mix. A null text has no tokens; ids may be null or repeat; no other column is read."""
     import public_tokenizers
 
     ranks = bpe.ranks_from(public_tokenizers.path("byte_bpe_50k.tiktoken"))
