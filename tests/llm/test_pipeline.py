@@ -72,6 +72,25 @@ def test_near_copies_row_by_row(frame):
     assert len(nameless) == 2 and texts[3] in nameless and any(t.startswith(texts[2]) for t in nameless)
 
 
+def test_every_stage_takes_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null columns, equal rows, a very long text, columns whose names the stages use themselves."""
+    rng = random.Random(13)
+    text = [prose(rng, "en", 40) for _ in range(8)]
+    rows = [(1, text[0], "en", "a"), (1, text[0], "en", "a"), (1, text[1], None, None), (None, text[2], "en", "b"), (None, None, None, None), (2, "", None, "b"), (3, text[3] + "\n" + text[4], "en", "a")]
+    rows += [(4, prose(rng, "en", 30_000), "en", "b"), (5, "word", "en", "a"), (6, " \n ", "en", "a"), (7, None, "en", "c")] + [(10 + i, text[5], "en", "a") for i in range(6)]
+    extra = "`__n` long, id string, row string, body string, k long, h long, component string, `first` int"
+    df = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 1, "x", None, "y", 2, 3, "z", 4) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    kept = {}
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        found = stage(spark, df, "")
+        assert n == 4 or found.columns == df.columns
+        kept[name] = found.collect()
+    size = lambda name: len(kept[name])
+    assert size("language_id") == len(rows) - 4 and size("line_dedup") == len(rows) - 5 and size("bpe") == len(rows)
+    assert sorted(str(r["doc_id"]) for r in kept["ngram_jaccard"]) == sorted(["1", "1", "10", "2", "3", "4", "5", "6", "7", "None", "None"])
+    assert all(r["id"] == "x" and r["__n"] == 1 for r in kept["ngram_jaccard"] + kept["mixing"])
+
+
 def test_run_gives_the_same(spark, corpus):
     a, b = (sorted(map(str, corpus_pipeline.run(spark, corpus).collect())) for _ in range(2))
     assert a == b and a
