@@ -1,9 +1,12 @@
+import http.client
 import io
 import json
 import threading
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
+from http.server import BaseHTTPRequestHandler, HTTPServer
 from xml.etree import ElementTree
 
 import pytest
@@ -15,9 +18,10 @@ from triloom.functions.terms import INTEGER
 from triloom.plans.algebra import Pattern
 from triloom.results.writers import WRITERS, register, save_ntriples, write
 from triloom.server import make_server, negotiate
+from triloom.sources.federated import FederatedSource
 from triloom.sources.files import UnknownFormatError, read, read_ntriples, read_turtle, snapshot
-from triloom.sources.fragments import HYDRA, FragmentSource, MissingControl, extract_controls, extract_count, merged, parse_page
-from triloom.sources.triples import from_rows
+from triloom.sources.fragments import HYDRA, Controls, FragmentSource, MissingControl, extract_controls, extract_count, merged, parse_page
+from triloom.sources.triples import TripleSource, from_rows
 from triloom.streaming.monotone import look_ahead, stream_query, windowed_sort
 
 P = "PREFIX e: <http://e/> "
@@ -155,6 +159,52 @@ def test_fragment_failures(spark):
     assert list(Engine(spark, quiet).sparql(P + "SELECT * { ?s e:born ?o }").rows()) == []
 
 
+def test_late_failures(spark):
+    """A page that fails while the query runs: an error, or for a federation that may lose sources the end of that source's pages."""
+    later = "http://d/?p=" + urllib.parse.quote(e("born"), safe="") + "&page=2"
+    query = P + "SELECT * { ?s e:born ?o }"
+    with pytest.raises(OSError):
+        list(Engine(spark, FragmentSource(spark, "http://d/", Web(TRIPLES, broken={later}))).sparql(query).rows())
+    quiet = FragmentSource(spark, "http://d/", Web(TRIPLES, broken={later}), on_error="warn_empty")
+    assert len(list(Engine(spark, quiet).sparql(query).rows())) == SIZE
+    both = FederatedSource(spark, [FragmentSource(spark, "http://d/", Web(TRIPLES, broken={later})), from_rows(spark, [(e("eve"), e("born"), e("york"))])])
+    assert len(list(Engine(spark, both).sparql(query).rows())) == SIZE + 1
+
+
+def test_late_failures_in_tasks(spark):
+    """The same where tasks fetch the pages."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            base = f"http://127.0.0.1:{self.server.server_address[1]}"
+            second = "page=2" in self.path
+            body = PAGE.format(h=HYDRA, url=base + self.path, n=9, next=f"; h:next <{base}/?page=2>", data="<http://a> <http://b> <http://c> .").replace("http://d/{", base + "/{").encode()
+            self.send_response(500 if second else 200)
+            self.send_header("Content-Type", "text/turtle")
+            self.end_headers()
+            self.wfile.write(b"" if second else body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    start = f"http://127.0.0.1:{server.server_address[1]}/"
+    with pytest.raises(Exception, match="500"):
+        FragmentSource(spark, start).scan(Pattern("?s", "?p", "?o")).df.collect()
+    both = FederatedSource(spark, [FragmentSource(spark, start), from_rows(spark, [("http://x", "http://y", "http://z")])])
+    assert both.scan(Pattern("?s", "?p", "?o")).df.count() == 2
+    server.shutdown()
+
+
+def test_templates():
+    names = {"s": "s", "p": "p", "o": "o"}
+    found = lambda template: Controls(template=template, names=names).url(Pattern("http://a b", "?p", '"o"'))
+    assert found("http://d/{s}{#o}") == "http://d/http%3A%2F%2Fa%20b#%22o%22" and found("http://d/{+s,p}") == "http://d/http://a%20b"
+    assert found("http://d{/s,o}{;p,o}{.o}") == "http://d/http%3A%2F%2Fa%20b/%22o%22;o=%22o%22.%22o%22"
+    assert found("http://d/?x=1{&s,p,o}") == "http://d/?x=1&s=http%3A%2F%2Fa%20b&o=%22o%22" and found("http://d/{?p}") == "http://d/"
+
+
 def test_page_metadata():
     page = parse_page("http://d/x", PAGE.format(h=HYDRA, url="http://d/x", n=44, next="; h:nextPage <http://d/x2>", data="<http://a> <http://b> <http://c> ."))
     assert page.total == 44 and len(page.controls.names) == 3 and page.controls.link("next") == "http://d/x2"
@@ -230,6 +280,41 @@ def test_server(engine):
     assert negotiate("text/html, */*;q=0.1", ["a/b", "c/d"]) == "a/b" and negotiate("c/*", ["a/b", "c/d"]) == "c/d" and negotiate(None, ["a/b"]) == "a/b"
 
 
+def test_server_stops_slow_queries(spark):
+    def slow(batches):
+        for b in batches:
+            time.sleep(60)
+            yield b
+
+    df = spark.range(1).selectExpr("'http://a' AS s", "'http://b' AS p", "'http://c' AS o").mapInPandas(slow, "s string, p string, o string")
+    server = make_server(Engine(spark, TripleSource(df, estimates={})), 0, timeout=1.0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    began = time.monotonic()
+    with pytest.raises(http.client.IncompleteRead):
+        urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}/sparql?" + urllib.parse.urlencode({"query": "SELECT ?s { ?s <http://b> ?o }"})).read()
+    assert time.monotonic() - began < 40
+    server.shutdown()
+
+
+def test_server_marks_results_that_are_cut_off(spark):
+    class Cut(Engine):
+        def sparql(self, text, seed=None):
+            result = super().sparql(text, seed)
+
+            def rows():
+                yield {"?s": "http://a"}
+                raise RuntimeError("stopped")
+
+            result.rows = rows
+            return result
+
+    server = make_server(Cut(spark, from_rows(spark, [("http://a", "http://b", "http://c")])), 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with pytest.raises(http.client.IncompleteRead):
+        urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}/sparql?" + urllib.parse.urlencode({"query": "SELECT ?s { ?s <http://b> ?o }"})).read()
+    server.shutdown()
+
+
 def test_look_ahead(spark):
     assert list(look_ahead(iter([8, 6, 4, 3, 1, 2, 7, 5]), 4)) == [3, 1, 2, 4, 5, 6, 7, 8]
     assert list(look_ahead(iter([8, 6, 4, 3, 1, 2, 7, 5]), 100, key=lambda x: -x)) == [8, 7, 6, 5, 4, 3, 2, 1]

@@ -31,9 +31,14 @@ def negotiate(accept: str | None, available: list[str]) -> str:
 
 
 def make_server(engine: Engine, port: int = 3000, timeout: float = 60.0) -> ThreadingHTTPServer:
-    """A query that isn't done after timeout seconds, or whose client is gone, has its jobs cancelled."""
+    """A query that isn't done after timeout seconds, or whose client is gone, has its jobs cancelled.
+
+    Results go out in chunks; one that is cut off lacks the last chunk, so that clients don't take it for whole.
+    """
 
     class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
         def reply(self, status: int, content: str, body: str) -> None:
             data = body.encode()
             self.send_response(status)
@@ -73,7 +78,8 @@ def make_server(engine: Engine, port: int = 3000, timeout: float = 60.0) -> Thre
             context.setJobGroup(group, query[:200], interruptOnCancel=True)
             stop = threading.Timer(timeout, engine.cancel, [group])
             stop.start()
-            started = False
+            started, chunked = False, self.request_version != "HTTP/1.0"
+            self.close_connection = True
             try:
                 result = engine.sparql(query)
                 content = "text/turtle" if result.form in ("CONSTRUCT", "DESCRIBE") else negotiate(self.headers.get("Accept"), [t for t in WRITERS if "/" in t])
@@ -81,11 +87,18 @@ def make_server(engine: Engine, port: int = 3000, timeout: float = 60.0) -> Thre
                     if not started:
                         self.send_response(200)
                         self.send_header("Content-Type", content)
+                        if chunked:
+                            self.send_header("Transfer-Encoding", "chunked")
+                        self.send_header("Connection", "close")
                         self.end_headers()
                         started = True
-                    self.wfile.write(chunk.encode())
+                    data = chunk.encode()
+                    if data:
+                        self.wfile.write(b"%x\r\n%s\r\n" % (len(data), data) if chunked else data)
                 if not started:
                     self.reply(200, content, "")
+                elif chunked:
+                    self.wfile.write(b"0\r\n\r\n")
             except OSError:
                 engine.cancel(group)
             except Exception as e:  # noqa: BLE001  whatever goes wrong is the client's answer

@@ -18,12 +18,17 @@ class FederatedSource(Source):
     """Every pattern is answered by the bag union of all sources, so joins cross sources; counts add up.
 
     A source whose count for a more general pattern was 0 isn't asked again for its instances. Up to error_threshold sources (all
-    but one by default) may fail, which leaves them out; beyond, the error is raised.
+    but one by default) may fail, which leaves them out; beyond, the error is raised. A page of a web source that fails while the query
+    runs ends that source's pages, if any source may fail.
     """
 
     def __init__(self, spark: SparkSession, sources: list[Source], error_threshold: int | None = None):
         self.spark, self.sources = spark, sources
         self.threshold = max(0, len(sources) - 1) if error_threshold is None else error_threshold
+        if self.threshold:
+            for source in sources:
+                if hasattr(source, "late_errors"):
+                    source.late_errors = "stop"
         self.failed: set[int] = set()
         self.empty: dict[int, list[Pattern]] = {i: [] for i in range(len(sources))}
 

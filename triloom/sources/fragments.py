@@ -58,6 +58,20 @@ def extract_count(page: str, triples: list[Triple], predicates: tuple[str, ...]
     return {}
 
 
+#: What URI templates put before and between the values of each kind of expression, whether names go with them, and whether reserved characters stay.
+EXPANSIONS = {
+    "": ("", ",", False, False),
+    "+": ("", ",", False, True),
+    "#": ("#", ",", False, True),
+    ".": (".", ".", False, False),
+    "/": ("/", "/", False, False),
+    ";": (";", ";", True, False),
+    "?": ("?", "&", True, False),
+    "&": ("&", "&", True, False),
+}
+RESERVED = ":/?#[]@!$&'()*+,;="
+
+
 class MissingControl(KeyError):
     """A link or form that the page doesn't have."""
 
@@ -80,13 +94,12 @@ class Controls:
         values = {self.names[x]: t for x, t in zip("spo", p, strict=True) if not T.py_is_open(t)}
 
         def expand(m: re.Match) -> str:
-            sign, names = m[1], [n.strip("*") for n in m[2].split(",")]
-            pairs = [f"{n}={quote(values[n], safe='')}" for n in names if n in values]
-            if sign in ("?", "&"):
-                return (sign if pairs else "") + "&".join(pairs)
-            return ",".join(quote(values[n], safe="" if sign != "+" else ":/?#[]@!$&'()*+,;=") for n in names if n in values)
+            first, between, named, plain = EXPANSIONS[m[1]]
+            own = [(n, quote(values[n], safe=RESERVED if plain else "")) for n in (x.strip("*") for x in m[2].split(",")) if n in values]
+            parts = [(n if m[1] == ";" and not v else f"{n}={v}") if named else v for n, v in own]
+            return (first if parts else "") + between.join(parts)
 
-        return re.sub(r"\{([?&+]?)([^}]*)\}", expand, self.template)
+        return re.sub(r"\{([+#./;?&]?)([^}]*)\}", expand, self.template)
 
 
 def extract_controls(page: str, triples: list[Triple]) -> Controls:
@@ -163,22 +176,29 @@ def fetch_page(url: str, fetch: Fetch = fetch_http, at: str | None = None) -> Pa
     return parse_page(url, body.decode(), found.get("content-type", "text/turtle"))
 
 
-def pages(url: str, fetch: Fetch = fetch_http, at: str | None = None) -> Iterator[Page]:
+def pages(url: str, fetch: Fetch = fetch_http, at: str | None = None, late_errors: str = "raise") -> Iterator[Page]:
+    """A page and those after it. late_errors: "raise", or "stop" for a warning and an end where a page can't be read."""
     while url:
-        page = fetch_page(url, fetch, at)
+        try:
+            page = fetch_page(url, fetch, at)
+        except Exception as e:
+            if late_errors != "stop":
+                raise
+            log.warning("no pages from %s on: %s", url, e)
+            return
         yield page
         url = page.controls.links.get("next")
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, url: str, at: str | None):
-        self.url, self.at = url, at
+    def __init__(self, url: str, at: str | None, late_errors: str):
+        self.url, self.at, self.late_errors = url, at, late_errors
 
     def partitions(self):
         return [InputPartition(self.url)]
 
     def read(self, partition):
-        for page in pages(partition.value, at=self.at):
+        for page in pages(partition.value, at=self.at, late_errors=self.late_errors):
             yield from page.data
 
 
@@ -193,19 +213,21 @@ class FragmentDataSource(DataSource):
         return "s string, p string, o string"
 
     def reader(self, schema):
-        return _Reader(self.options["path"], self.options.get("at"))
+        return _Reader(self.options["path"], self.options.get("at"), self.options.get("late_errors", "raise"))
 
 
 class FragmentSource(Source):
     """A web source whose start page has a search form. Patterns are fetched when first asked for; counts come from their first page.
 
-    on_error: "raise", or "warn_empty" for a warning and no rows. A start page that fails keeps failing. The last cache pages of patterns are
+    on_error: "raise", or "warn_empty" for a warning and no rows. late_errors says the same of pages that are read while the query runs, where
+    "stop" keeps what came before; a federation that may lose sources sets it. A start page that fails keeps failing. The last cache pages of patterns are
     kept. With a fetch function of its own (tests, local files) pages are read by the driver, else by tasks.
     """
 
     def __init__(self, spark: SparkSession, start: str, fetch: Fetch | None = None, on_error: str = "raise", at: str | None = None, cache: int = 100):
         self.spark, self.start, self.fetch, self.on_error, self.at = spark, start, fetch, on_error, at
         self.cache, self._pages, self._controls, self._failure = cache, {}, None, None
+        self.late_errors = "stop" if on_error == "warn_empty" else "raise"
         ship(spark)
         spark.dataSource.register(FragmentDataSource)
 
@@ -247,8 +269,8 @@ class FragmentSource(Source):
             return nothing(self.spark, p.variables())
         url = self.controls().url(p)
         if self.fetch is None:
-            df = self.spark.read.format("fragments").options(**({"at": self.at} if self.at else {})).load(url)
+            df = self.spark.read.format("fragments").options(late_errors=self.late_errors, **({"at": self.at} if self.at else {})).load(url)
         else:
-            rows = [t for page in pages(url, self.fetch, self.at) for t in page.data]
+            rows = [t for page in pages(url, self.fetch, self.at, self.late_errors) for t in page.data]
             df = self.spark.createDataFrame(rows, "s string, p string, o string")
         return bind(df.select(*[T.skolemise(F.col(x)).alias(x) for x in "spo"]), p)
