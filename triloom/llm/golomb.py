@@ -103,7 +103,7 @@ def joined_levels(parts: list[tuple[int, bytes]]) -> np.ndarray:
     return np.frombuffer(b"".join(zlib.decompress(x) for _, x in sorted(dict(parts).items())), np.uint8)
 
 
-def key_bits(n_keys: int, spare: int = 12) -> int:
+def key_bits(n_keys: int, spare: int = 8) -> int:
     """Bits of a key for so many keys, when one in 2**spare may seem to occur once more than it does."""
     return min(60, max(32, n_keys.bit_length() + spare))
 

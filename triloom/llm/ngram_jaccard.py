@@ -25,7 +25,7 @@ BLOCK_BYTES, BLOCK_ROWS, VERIFY_TEXTS = 8_000_000, 20_000, 2_000
 #: Tokens in up to 2**5 - 1 documents are indexed singly, in up to 2**9 - 1 as pairs, beyond as triples; sets below 16 tokens only singly.
 PAIR_LEVEL, TRIPLE_LEVEL, SMALL = 6, 10, 16
 #: Nodes and tokens of a tile, and of a group of visitors to it.
-TILE_NODES, TILE_TOKENS = 150, 500_000
+TILE_NODES, TILE_TOKENS = 100, 500_000
 _GOLD, _ODD, _MASK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
 
 
@@ -126,16 +126,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[int |
 
 
 def _verify(pairs: DataFrame, texts: Bucketed, groups: int, n_gram: int, threshold: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose sets reach the threshold.
+    """Of pairs (``a``, ``b``), which may repeat, those whose sets reach the threshold.
 
     Texts of a are dealt into groups; a text b goes once to each group that holds a partner of it, with the list of them, so the
     text of a node with very many partners is sent at most once per group, from several tasks (spread_join()). A task keeps the sets of one group.
     """
     group_of = lambda node: F.pmod(F.xxhash64(node), F.lit(groups)).alias("group")
-    pairs = pairs.withColumn("group", group_of("a"))
-    wanted = pairs.select("a").distinct().withColumnRenamed("a", "node")
+    asked = pairs.groupBy(group_of("a"), "b").agg(F.collect_set("a").alias("partners"))
+    asked = materialise(asked, "partners")  # at most a group's nodes in a list
+    wanted = asked.select(F.explode("partners").alias("node")).distinct()
     left = texts.frame().select("node", "text").join(wanted.hint("merge"), "node", "left_semi").select(group_of("node"), F.lit(0).alias("tag"), "node", "text", F.lit(None).cast("array<binary>").alias("partners"))
-    asked = materialise(pairs.groupBy("group", "b").agg(F.collect_list("a").alias("partners")), "partners")  # at most a group's nodes
     pivots = texts.frame().select("node", "text").join(asked.select(F.col("b").alias("node")).distinct().hint("merge"), "node", "left_semi")
     right = spread_join(asked, pivots.withColumnRenamed("node", "b"), ["b"]).select("group", F.lit(1).alias("tag"), F.col("b").alias("node"), "text", "partners")
 
@@ -173,26 +173,27 @@ def _meetings(ties: DataFrame, threshold: int) -> DataFrame:
     that is joined already, go nowhere. Visitors to a tile are dealt into groups (slots) of bounded nodes and tokens, and the tile's own nodes go to each.
     """
     order = F.struct("rank", "comp")
-    homes = ties.groupBy("node").agg(F.max(F.struct("size", "sig")).alias("largest"), F.first("comp").alias("comp"), F.first("n").alias("n"))
-    homes = materialise(homes.select("node", "comp", "n", F.col("largest.sig").alias("anchor")), "anchors")
+    homes = ties.groupBy("node").agg(F.max(F.struct("size", "sig")).alias("largest"), F.first("comp").alias("comp"), F.first("rank").alias("rank"), F.first("n").alias("n"))
+    homes = materialise(homes.select("node", "comp", "rank", "n", F.col("largest.sig").alias("anchor")), "anchors")
     chunks = lambda n: F.greatest(F.ceil(n / TILE_NODES), F.ceil(F.sum("n") / TILE_TOKENS)).cast("int")
     sizes = homes.groupBy("anchor").agg(F.count(F.lit(1)).alias("nodes"), chunks(F.count(F.lit(1))).alias("chunks"))
     homes = join_groups(homes, sizes, ["anchor"], "nodes", "inner")
     tile = F.xxhash64("anchor", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("tile")
-    homes = materialise(homes.select("node", "comp", "n", tile), "homes")
+    homes = materialise(homes.select("anchor", "node", "comp", "rank", "n", tile), "homes")
+    tiles = homes.groupBy("anchor", "tile").agg(F.max(order).alias("top"), F.min("n").alias("lo"), F.max("n").alias("most"))
 
-    placed = materialise(ties.join(homes.select("node", "tile"), "node").select("sig", "size", "node", "n", "rank", "comp", "hi", "tile"), "placed")
-    held = placed.groupBy("sig", "tile").agg(F.max(order).alias("top"))
-    same = [F.bit_xor(F.xxhash64(F.lit(i), "tile", "top")).alias(f"s{i}") for i in (0, 1)]
+    placed = ties.join(homes.select("node", "anchor"), "node").select("sig", "size", "node", "n", "rank", "comp", "hi", "anchor")
+    placed = materialise(placed, "placed")
+    held = placed.groupBy("sig", "anchor").agg(F.max(order).alias("top"))
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "anchor", "top")).alias(f"s{i}") for i in (0, 1)]
     kinds = materialise(held.groupBy("sig").agg(*same), "kinds")
-    held = held.join(kinds, "sig").select("s0", "s1", "tile", "top").distinct()
-    range_ = homes.groupBy("tile").agg(F.min("n").alias("lo"), F.max("n").alias("most"))
-    held = materialise(held.join(range_, "tile"), "held")
-    going = placed.where(order < F.col("hi")).select("sig", "size", "node", "n", "rank", "comp")
+    held = held.join(kinds, "sig").select("s0", "s1", "anchor", "top").distinct()
+    going = placed.where(order < F.col("hi")).select("sig", "node", "n", "rank", "comp")
     sizes = placed.select("sig", "size").distinct().join(kinds, "sig")
-    going = materialise(join_groups(going.drop("size"), sizes, ["sig"], "size", "inner").select("s0", "s1", "node", "n", "rank", "comp").distinct(), "going")
+    going = materialise(join_groups(going, sizes, ["sig"], "size", "inner").select("s0", "s1", "node", "n", "rank", "comp").distinct(), "going")
+    going = spread_join(going, held, ["s0", "s1"]).where(order < F.col("top")).select("anchor", "node", "n", "rank", "comp").distinct()
     fits = (order < F.col("top")) & F.expr(f"100 * n >= {threshold} * lo and 100 * most >= {threshold} * n")
-    visits = spread_join(going, held, ["s0", "s1"]).where(fits).select("tile", "node", "comp", "n").distinct()
+    visits = spread_join(materialise(going, "going-to"), tiles, ["anchor"]).where(fits).select("tile", "node", "comp", "n")
     visits = materialise(visits, "visits")
     asked = visits.groupBy("tile").agg(F.count(F.lit(1)).alias("visitors"), chunks(F.count(F.lit(1))).alias("slots"))
     guests = join_groups(visits, asked, ["tile"], "visitors", "inner").select("tile", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int").alias("slot"), F.lit(1).alias("role"), "node", "comp")
@@ -342,17 +343,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every = materialise(every, "signatures")
     held.close()
     rows, indexed = every.select("id", "n", "node", *(["k"] if keyed else [])), every.where("sigs is not null")
-    texts = Bucketed(indexed.select("node", "text").dropDuplicates(["node"]), "node", "texts")
+    texts = Bucketed(indexed.select("node", "n", "text", "sigs").dropDuplicates(["node"]), "node", "texts")
     groups = max(partitions(docs.sparkSession), texts.files().count() // VERIFY_TEXTS)
-    members = indexed.select("node", F.size("sigs").alias("weight"), "n", F.explode("sigs").alias("sig")).distinct()
-    members = materialise(members, "members")
+    members = texts.files().select("node", F.size("sigs").alias("weight"), F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
     same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"s{i}") for i in (0, 1)]
-    heads = members.groupBy("sig").agg(F.max(F.struct("weight", "node", "n")).alias("pivot"), F.count(F.lit(1)).alias("size"), *same).where("size > 1")
-    heads = heads.groupBy("size", "s0", "s1").agg(F.min("sig").alias("sig"), F.first("pivot").alias("pivot")).select("sig", "pivot", "size")  # buckets with the same members are one
-    heads = materialise(heads, "pivots")
-    members = materialise(join_groups(members, heads, ["sig"], "size", "inner"), "buckets")
+    heads = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), *same).where("size > 1")
+    heads = heads.groupBy("size", "s0", "s1").agg(F.min("sig").alias("sig")).select("sig", "size")  # buckets with the same members are one
+    members = materialise(join_groups(members, materialise(heads, "shared"), ["sig"], "size", "inner"), "members")
+    pivots = members.groupBy("sig").agg(F.max(F.struct("weight", "node", "n")).alias("pivot"), F.first("size").alias("size"))
+    members = materialise(join_groups(members.drop("size"), pivots, ["sig"], "size", "inner"), "buckets")
     near = members.where(f"node <> pivot.node and 100 * n >= {threshold} * pivot.n and 100 * pivot.n >= {threshold} * n")
-    chosen = materialise(near.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "candidates")
+    chosen = near.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
     edges = materialise(_verify(chosen, texts, groups, n_gram, threshold), "links")
     names = components(edges)
 

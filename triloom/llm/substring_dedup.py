@@ -28,29 +28,33 @@ _MASK = (1 << 64) - 1
 _ROLL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def pieces(text: str | None) -> list[bytes]:
-    """A text cut after each sentence end (. ! ? before white space, line breaks, the full-width ends) with the white space that follows it, and long stretches after every STRETCH_WORDS words."""
-    data, at, out = (text or "").encode("utf-8", "surrogatepass"), 0, []
+def _cut(data: bytes) -> Iterator[tuple[bytes, list[bytes]]]:
+    """(piece, its words) of a text: cut after each sentence end (. ! ? before white space, line breaks, the full-width ends) with the white
+    space that follows it, and long stretches after every STRETCH_WORDS words."""
+    at = 0
     for end in [*(m.end() for m in _END.finditer(data)), len(data)]:
-        piece = data[at:end]
-        if len(piece.split()) > STRETCH_WORDS:
-            cut = 0
+        piece, at = data[at:end], end
+        words = piece.split()
+        if len(words) > STRETCH_WORDS:
+            done = 0
             for m in _STRETCH.finditer(piece):
-                out.append(piece[cut : m.end()])
-                cut = m.end()
-            piece = piece[cut:]
+                yield piece[done : m.end()], words[:STRETCH_WORDS]
+                words, done = words[STRETCH_WORDS:], m.end()
+            piece = piece[done:]
         if piece:
-            out.append(piece)
-        at = end
-    return out
+            yield piece, words
+
+
+def pieces(text: str | None) -> list[bytes]:
+    return [piece for piece, _ in _cut((text or "").encode("utf-8", "surrogatepass"))]
 
 
 def _sentences(text: str | None) -> tuple[list[int], list[int], list[int]]:
     """Two hashes and the bytes of every sentence: words in lower case (A-Z), joined by one space; pieces without words are none."""
     first, second, sizes = [], [], []
-    for piece in pieces(text):
-        own = b" ".join(piece.lower().split())
-        if own:
+    for _, words in _cut((text or "").encode("utf-8", "surrogatepass").lower()):
+        if words:
+            own = b" ".join(words)
             h = xxhash.xxh3_128_intdigest(own)
             first.append(h & _MASK)
             second.append(h >> 64)
@@ -196,11 +200,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for text, drop in zip(batch.column("row").field(text_col).to_pylist(), batch.column("drops").to_pylist(), strict=True):
                 gone = {p for x in drop or () for p in range(x["pos"], x["pos"] + x["n"])}
                 kept, number = [], 0
-                for piece in pieces(text):
-                    is_sentence = bool(piece.strip())
-                    if not (is_sentence and number in gone):
+                for piece, words in _cut((text or "").encode("utf-8", "surrogatepass")):
+                    if gone and not (words and number in gone):
                         kept.append(piece)
-                    number += is_sentence
+                    number += bool(words)
                 bodies.append(b"".join(kept).decode("utf-8", "surrogatepass") if gone else text)
                 totals.append(number)
                 removed.append(len(gone))
