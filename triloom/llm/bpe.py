@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import materialise, partitions, released, small
+from .common import Bucketed, partitions, released, small
 
 #: Characters of text in a block, distinct words whose merges one index replays together.
 BLOCK_CHARS = 32_000_000
@@ -276,7 +276,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
 
     Tasks turn their documents into numbers of words and send each distinct word once, to its hash's owner. An owner replays
     the merges over the distinct words of the corpus that it holds (Merges.replay) and answers with ids, so no word of the
-    corpus is merged twice, and what moves are distinct words, not tokens. Owners are the shuffle partitions; blocks and replay
+    corpus is merged twice, and what moves are distinct words and their ids; blocks stay in their buckets. Owners are the shuffle partitions; blocks and replay
     groups have fixed sizes; a very frequent word is one entry per block. A text longer than a block is a block of its own.
     """
     spark = docs.sparkSession
@@ -297,7 +297,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
         if held.ids:
             yield _messages(held, pattern, owners)
 
-    made = materialise(pairs.mapInArrow(blocks, _BLOCKS), "bpe-blocks")
+    made = Bucketed(pairs.mapInArrow(blocks, _BLOCKS), "block", "bpe-blocks")
 
     @released
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +332,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
         if held:
             yield from flush()
 
-    asked = made.where("owner >= 0").select("block", "owner", "words", "word_sizes").repartitionById(owners, "owner")
+    asked = made.files.where("owner >= 0").select("block", "owner", "words", "word_sizes").repartitionById(owners, "owner")
     answers = asked.sortWithinPartitions("owner").mapInArrow(answer, "block long, owner int, sizes binary, ids binary")
     parts = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "sizes", F.col("ids").alias("word_ids"))).alias("parts"))
 
@@ -373,8 +373,8 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
                     )
                     done = upto
 
-    bodies = made.where("owner < 0").select("block", "ids", "docs", "chunks", "chunk_words", "chunk_sizes", "word_owners")
-    return bodies.hint("merge").join(parts, "block", "left").mapInArrow(tokens, "id long, n_tokens long, ids binary, decoded binary")
+    bodies = made.frame.where("owner < 0").select("block", "ids", "docs", "chunks", "chunk_words", "chunk_sizes", "word_owners")
+    return bodies.join(parts.hint("merge"), "block", "left").mapInArrow(tokens, "id long, n_tokens long, ids binary, decoded binary")
 
 
 def decode(ids: bytes, ranks_file: bytes) -> bytes:

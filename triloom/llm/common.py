@@ -32,23 +32,16 @@ def materialise(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
 
 
 class Bucketed:
-    """A table whose rows lie in buckets by a column: joins on it move the other side only. Readers through frame() need the catalog's entry, which close() drops."""
+    """A table whose rows lie in buckets by a column: joins of ``frame`` on it move the other side only. ``files`` are the same rows for other readers.
 
-    def __init__(self, df: DataFrame, column: str, tag: str):
-        self.spark, self.schema, self.path = df.sparkSession, df.schema, new_path(df.sparkSession, tag)
-        self.name = f"triloom_{uuid.uuid4().hex}"
-        buckets = min(partitions(self.spark), MOST_BUCKETS)
-        df.write.format("parquet").bucketBy(buckets, column).option("path", self.path).saveAsTable(self.name)
-
-    def frame(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def files(self) -> DataFrame:
-        """The same rows, for readers that don't join by the column."""
-        return self.spark.read.schema(self.schema).parquet(self.path)
+    Buckets need an entry in the catalog while the frame is made; then it is dropped, and the files stay as scratch.
+    """
 
-    def close(self) -> None:
-        self.spark.sql(f"DROP TABLE {self.name}")  # its files stay, as scratch
+    def __init__(self, df: DataFrame, column: str, tag: str):
+        spark, path, name = df.sparkSession, new_path(df.sparkSession, tag), f"triloom_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(min(partitions(spark), MOST_BUCKETS), column).option("path", path).saveAsTable(name)
+        self.frame, self.files = spark.table(name), spark.read.schema(df.schema).parquet(path)
+        spark.sql(f"DROP TABLE {name}")
 
 
 def released(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

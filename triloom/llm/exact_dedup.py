@@ -77,7 +77,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ship(spark)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     table = Bucketed(pairs.mapInArrow(_fingerprints, _ROWS), "block", "texts")
-    written = table.files()
+    written = table.files
     rows, blocks = written.where("fps is null").select("id", "sha"), written.where("fps is not null").select("block", "fps")
     bits = golomb.owner_bits(rows.count())
 
@@ -92,13 +92,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     parts = golomb.bitmaps(sent).groupBy("block").agg(F.collect_list(F.struct("owner", "bits")).alias("parts"))
     marks = materialise(blocks.join(parts, "block").mapInArrow(_marks, "block long, bits binary"), "bitmaps")
     marked = F.expr("getbit(cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as long), 7 - place % 8) = 1")
-    texts = table.frame().where("fps is null").select("block", "place", "id", "norm")
+    texts = table.frame.where("fps is null").select("block", "place", "id", "norm")
     suspects = texts.join(marks.hint("shuffle_hash"), "block").where(marked)
     part = F.pmod(F.xxhash64("block"), F.lit(int(np.ceil(np.sqrt(partitions(spark)))))).alias("part")
     groups = suspects.groupBy("norm", part).agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.groupBy("norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).where("group_size > 1")
     groups = materialise(groups.select(F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"), "groups")
-    table.close()
     return join_groups(rows, groups, ["sha"], "group_size").select(
         "id",
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),

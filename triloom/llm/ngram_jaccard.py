@@ -135,8 +135,8 @@ def _verify(pairs: DataFrame, texts: Bucketed, groups: int, n_gram: int, thresho
     asked = pairs.groupBy(group_of("a"), "b").agg(F.collect_set("a").alias("partners"))
     asked = materialise(asked, "partners")  # at most a group's nodes in a list
     wanted = asked.select(F.explode("partners").alias("node")).distinct()
-    left = texts.frame().select("node", "text").join(wanted.hint("merge"), "node", "left_semi").select(group_of("node"), F.lit(0).alias("tag"), "node", "text", F.lit(None).cast("array<binary>").alias("partners"))
-    pivots = texts.frame().select("node", "text").join(asked.select(F.col("b").alias("node")).distinct().hint("merge"), "node", "left_semi")
+    left = texts.frame.select("node", "text").join(wanted.hint("merge"), "node", "left_semi").select(group_of("node"), F.lit(0).alias("tag"), "node", "text", F.lit(None).cast("array<binary>").alias("partners"))
+    pivots = texts.frame.select("node", "text").join(asked.select(F.col("b").alias("node")).distinct().hint("merge"), "node", "left_semi")
     right = spread_join(asked, pivots.withColumnRenamed("node", "b"), ["b"]).select("group", F.lit(1).alias("tag"), F.col("b").alias("node"), "text", "partners")
 
     @released
@@ -205,7 +205,7 @@ def _verify_open(ties: DataFrame, texts: Bucketed, n_gram: int, threshold: int)
     """Links (``a``, ``b``) that join different components of open buckets, as many as it takes: see _meetings(). No pairs travel."""
     meet = materialise(_meetings(ties, threshold), "meetings")
     total = meet.count()
-    own = texts.frame().select("node", "text").join(meet.select("node").distinct().hint("merge"), "node", "left_semi")
+    own = texts.frame.select("node", "text").join(meet.select("node").distinct().hint("merge"), "node", "left_semi")
     meet = spread_join(meet, own, ["node"])
 
     @released
@@ -299,7 +299,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield row, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     held = Bucketed(pairs.mapInArrow(packed, "block string, ids array<long>, lengths array<long>, texts binary"), "block", "text-blocks")
-    blocks = held.files()
+    blocks = held.files
     total = blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
     bits, owners = golomb.key_bits(total * 512), golomb.owner_bits(total * 512)
     shift = np.uint64(64 - bits)
@@ -339,13 +339,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], ["id", "node", "n", "k", "text", "sigs"])
 
-    every = held.frame().join(parts.hint("merge"), "block", "left").mapInArrow(index, "id long, node binary, n long, k long, text binary, sigs array<long>")
+    every = held.frame.join(parts.hint("merge"), "block", "left").mapInArrow(index, "id long, node binary, n long, k long, text binary, sigs array<long>")
     every = materialise(every, "signatures")
-    held.close()
     rows, indexed = every.select("id", "n", "node", *(["k"] if keyed else [])), every.where("sigs is not null")
     texts = Bucketed(indexed.select("node", "n", "text", "sigs").dropDuplicates(["node"]), "node", "texts")
-    groups = max(partitions(docs.sparkSession), texts.files().count() // VERIFY_TEXTS)
-    members = texts.files().select("node", F.size("sigs").alias("weight"), F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
+    groups = max(partitions(docs.sparkSession), texts.files.count() // VERIFY_TEXTS)
+    members = texts.files.select("node", F.size("sigs").alias("weight"), F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
     same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"s{i}") for i in (0, 1)]
     heads = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), *same).where("size > 1")
     heads = heads.groupBy("size", "s0", "s1").agg(F.min("sig").alias("sig")).select("sig", "size")  # buckets with the same members are one
@@ -368,7 +367,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         late = materialise(_verify_open(ties, texts, n_gram, threshold), "late-links")
         if not late.isEmpty():
             names = components(edges.unionByName(late))
-    texts.close()
 
     classes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes.join(names, "node", "left"), "classes")
