@@ -18,6 +18,7 @@ from triloom.functions.terms import INTEGER
 from triloom.plans.algebra import Pattern
 from triloom.results.writers import WRITERS, register, save_ntriples, write
 from triloom.server import make_server, negotiate
+from triloom.sources import files
 from triloom.sources.federated import FederatedSource
 from triloom.sources.files import UnknownFormatError, read, read_ntriples, read_turtle, snapshot
 from triloom.sources.fragments import HYDRA, Controls, FragmentSource, MissingControl, extract_controls, extract_count, merged, parse_page
@@ -101,6 +102,28 @@ def test_ntriples_and_nquads(spark, tmp_path):
         read(spark, "x.xyz")
 
 
+def test_large_turtle_files_are_refused(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.ttl").write_text("<http://a> <http://b> <http://c> .\n" * 5)
+    assert read_turtle(spark, str(tmp_path / "a.ttl")).count() == 5
+    monkeypatch.setattr(files, "WHOLE_FILE_BYTES", 50)
+    with pytest.raises(ValueError, match="too large"):
+        read_turtle(spark, str(tmp_path / "a.ttl"))
+
+
+def test_cancel_all(spark):
+    def slow(batches):
+        for b in batches:
+            time.sleep(60)
+            yield b
+
+    engine = Engine(spark, TripleSource(spark.range(1).selectExpr("'http://a' AS s", "'http://b' AS p", "'http://c' AS o").mapInPandas(slow, "s string, p string, o string")))
+    threading.Timer(2, engine.cancel_all).start()
+    began = time.monotonic()
+    with pytest.raises(Exception, match="cancel"):
+        engine.sparql("SELECT ?s { ?s <http://b> ?o }").terms().collect()
+    assert time.monotonic() - began < 40
+
+
 def test_snapshot(spark):
     df = spark.createDataFrame([("a", "2020-01-01", "2021-01-01"), ("b", "2020-06-01", None)], "s string, f string, t string").selectExpr("s", "cast(f as timestamp) valid_from", "cast(t as timestamp) valid_to")
     names = lambda at: [r["s"] for r in snapshot(df, at).orderBy("s").collect()]

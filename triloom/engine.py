@@ -116,4 +116,6 @@ class Engine:
         """Stop the jobs of a group set with sparkContext.setJobGroup()."""
         self.spark.sparkContext.cancelJobGroup(group)
 
-
+    def cancel_all(self) -> None:
+        """Stop all jobs of the session's context, whatever started them."""
+        self.spark.sparkContext.cancelAllJobs()

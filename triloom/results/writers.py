@@ -152,7 +152,7 @@ def write(r: Result, media_type: str = "application/json", prefixes: dict[str, s
     if r.form in ("CONSTRUCT", "DESCRIBE"):
         return write_turtle(r, prefixes)
     if media_type not in WRITERS:
-        raise ValueError(f"No writer available for media type {media_type}.")
+        raise ValueError(f"No writer is registered for {media_type}")
     return WRITERS[media_type](r)
 
 

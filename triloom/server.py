@@ -53,12 +53,12 @@ def make_server(engine: Engine, port: int = 3000, timeout: float = 60.0) -> Thre
         def do_GET(self) -> None:
             url = urlsplit(self.path)
             if url.path != "/sparql":
-                return self.refuse(404, "Resource not found")
+                return self.refuse(404, "There is only /sparql here")
             self.answer(parse_qs(url.query).get("query", [""])[0])
 
         def do_POST(self) -> None:
             if urlsplit(self.path).path != "/sparql":
-                return self.refuse(404, "Resource not found")
+                return self.refuse(404, "There is only /sparql here")
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0)).decode()
             kind = (self.headers.get("Content-Type") or "").split(";")[0].strip()
             if kind == "application/x-www-form-urlencoded":
@@ -68,7 +68,7 @@ def make_server(engine: Engine, port: int = 3000, timeout: float = 60.0) -> Thre
             self.answer(body)
 
         def other(self) -> None:
-            self.refuse(405 if urlsplit(self.path).path == "/sparql" else 404, "Incorrect HTTP method" if urlsplit(self.path).path == "/sparql" else "Resource not found")
+            self.refuse(405 if urlsplit(self.path).path == "/sparql" else 404, "/sparql takes GET and POST" if urlsplit(self.path).path == "/sparql" else "There is only /sparql here")
 
         do_PUT = do_DELETE = do_PATCH = do_HEAD = other
 
@@ -133,7 +133,7 @@ def main(argv: list[str] | None = None) -> int:
             prefixes = json.load(f).get("prefixes", {})
     spark = SparkSession.builder.appName("triloom-http").getOrCreate()
     server = make_server(Engine(spark, open_sources(spark, args.sources), prefixes), args.p, args.t)
-    sys.stderr.write(f"Server running on http://localhost:{args.p}/\n")
+    sys.stderr.write(f"Answering queries at http://localhost:{args.p}/sparql\n")
     server.serve_forever()
     return 0
 

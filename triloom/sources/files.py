@@ -47,9 +47,17 @@ def read_ntriples(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parts.select(*[_term(F.col(x)).alias(x) for x in "spo"], F.when(F.col("g") != "", _term(F.col("g"))).alias("g"))
 
 
+#: The largest Turtle or TriG file: it is parsed in the memory of one task.
+WHOLE_FILE_BYTES = 512 << 20
+
+
 def read_turtle(spark: SparkSession, path: str | list[str], base: str = "") -> DataFrame:
-    """Rows s, p, o, g of Turtle, N3 (its Turtle part) or TriG files. A file is parsed by one task; blank nodes are distinct between files."""
+    """Rows s, p, o, g of Turtle, N3 (its Turtle part) or TriG files. A file is parsed by one task, so one of more than WHOLE_FILE_BYTES is refused; N-Triples
+    have no such limit. Blank nodes are distinct between files."""
     ship(spark)
+    large = spark.read.format("binaryFile").load(path).where(F.col("length") > WHOLE_FILE_BYTES).select("path").first()
+    if large:
+        raise ValueError(f"{large[0]} is too large to be parsed as a whole; give it as N-Triples or N-Quads, which are read line by line")
     files = spark.read.text(path, wholetext=True).select("value", F.md5(F.coalesce(F.input_file_name(), F.lit(""))).alias("file"), F.input_file_name().alias("name"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
