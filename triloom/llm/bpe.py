@@ -21,7 +21,7 @@ from ..shipping import ship
 from .common import Bucketed, partitions, released, small
 
 #: Characters of text in a block, distinct words whose merges one index replays together.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 12_000_000
 REPLAY_WORDS = 200_000
 #: Where a pattern allows it, texts are cut into chunks at every space before a non-space, and each distinct chunk is looked at once.
 _CUT, _HARD = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
