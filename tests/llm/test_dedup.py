@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from triloom.llm import golomb, ngram_jaccard
-from triloom.llm.common import materialise
+from triloom.llm.common import Bucketed, materialise
 from triloom.llm.components import components
 from triloom.llm.exact_dedup import exact_dedup
 from triloom.llm.line_dedup import line_dedup
@@ -255,6 +255,30 @@ def test_jaccard_large_group_with_shared_passages(frame, monkeypatch):
     assert len(meet) >= 20 and meet.max() <= 0.05 * meet.sum()
 
 
+def test_jaccard_texts_leave_their_blocks_for_partners_only(frame, monkeypatch):
+    """Copies of a set in many blocks are one set: its text and signatures stay where they are unless another set shares a signature, and move once then."""
+    made = {}
+
+    class Spied(Bucketed):
+        def __init__(self, df, column, tag):
+            super().__init__(df, column, tag)
+            made[tag] = self
+
+    monkeypatch.setattr(ngram_jaccard, "Bucketed", Spied)
+    rng = random.Random(10)
+    copied = [" ".join(f"c{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(30)]
+    first = [" ".join(f"p{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(10)]
+    pairs = first + [t.rsplit(" ", 1)[0] + " end" for t in first]
+    rows = list(enumerate(copied * 10 + pairs * 10))
+    rng.shuffle(rows)
+    found = [tuple(r) for r in jaccard_components(frame(rows)).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, jaccard_reference(rows)))
+    assert sorted(r["text"].decode() for r in made["texts"].files.collect()) == sorted(pairs)
+    assert "text" not in made["signatures"].files.columns
+    both = set(jaccard_components(frame(rows * 2)).collect())  # rows that repeat, and blocks that may
+    assert {tuple(r) for r in both} == set(found)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,6 +26,12 @@ BLOCK_BYTES, BLOCK_ROWS, VERIFY_TEXTS = 8_000_000, 20_000, 2_000
 PAIR_LEVEL, TRIPLE_LEVEL, SMALL = 6, 10, 16
 #: Nodes and tokens of a tile, and of a group of visitors to it.
 TILE_NODES, TILE_TOKENS = 100, 500_000
+#: A row per document; after a block's rows one with the places, sets and signatures of its distinct sets that are indexed.
+_ROWS = "block string, id long, node binary, n long, k long, places array<int>, firsts array<binary>, ns array<long>, counts array<int>, sigs binary"
+_FIELDS = pa.schema(
+    [("block", pa.string()), ("id", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("k", pa.int64()), ("places", pa.list_(pa.int32())), ("firsts", pa.list_(pa.binary()))]
+    + [("ns", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("sigs", pa.binary())]
+)
 _GOLD, _ODD, _MASK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
 
 
@@ -125,6 +131,59 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[int |
         yield xxhash.xxh3_128_hexdigest(repr(ids).encode() + b"".join(texts)), ids, texts
 
 
+def _sharing(held: Bucketed, every: Bucketed, opened: Callable[[pa.RecordBatch], Iterator[tuple[dict, list[bytes]]]]) -> DataFrame:
+    """The sets (``node``, ``n``, ``weight``, ``text``, ``sigs``) that share a signature with another, weight their signatures' number, sigs the shared ones.
+
+    Each set speaks from one block of those that hold it. Blocks send their sets' signatures, sorted and Golomb-coded, to the owners of ranges and get
+    bitmaps back of what occurs more than once; only those move, to the buckets that hold texts and signatures. Some signatures may be marked that one
+    set alone holds (keys that collide), none is missed.
+    """
+    lists = every.files.where("sigs is not null")
+    homes = lists.select("block", F.explode("firsts").alias("node")).groupBy("node").agg(F.min("block").alias("block"))
+    homes = Bucketed(homes.groupBy("block").agg(F.collect_list("node").alias("nodes")), "block", "set-blocks").frame
+    total = (lists.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0) // 8
+    bits, owners = golomb.key_bits(total), golomb.owner_bits(total)
+    shift = np.uint64(64 - bits)
+    own = ("places", "firsts", "ns", "counts", "sigs")
+    single = every.frame.where("sigs is not null").groupBy("block").agg(F.first(F.struct(*own)).alias("own"))  # equal blocks have equal names
+    single = single.select("block", *[f"own.{x}" for x in own]).join(homes.hint("merge"), "block")
+
+    def speaking(row: dict) -> list[tuple[int, np.ndarray]]:
+        """The block's sets that speak from it, by their number among those of the block, with their signatures."""
+        nodes, sigs = set(row["nodes"]), np.split(np.frombuffer(row["sigs"], np.uint64), np.cumsum(row["counts"])[:-1])
+        return [(i, x) for i, (node, x) in enumerate(zip(row["firsts"], sigs, strict=True)) if node in nodes]
+
+    @released
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                keys, counts = np.unique(np.concatenate([x for _, x in speaking(row)]) >> shift, return_counts=True)
+                yield golomb.messages(row["block"], keys, counts, owners, bits)
+
+    sent = single.select("block", "firsts", "counts", "sigs", "nodes").mapInArrow(send, golomb.MESSAGE)
+    marks = golomb.bitmaps(sent).groupBy("block").agg(F.collect_list(F.struct("owner", "bits")).alias("parts"))
+    marks = materialise(marks, "bitmaps")
+
+    @released
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, texts in opened(batch):
+                sets = speaking(row)
+                again = golomb.joined_bits([(x["owner"], x["bits"]) for x in row["parts"]])
+                again = again[np.unique(np.concatenate([x for _, x in sets]) >> shift, return_inverse=True)[1].ravel()]
+                out = []
+                for (i, sigs), marked in zip(sets, np.split(again, np.cumsum([len(x) for _, x in sets])[:-1]), strict=True):
+                    if marked.any():
+                        out.append((row["firsts"][i], row["ns"][i], len(sigs), texts[row["places"][i]], sigs[marked].view(np.int64)))
+                kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], ["node", "n", "weight", "text", "sigs"])
+
+    known = single.join(marks.hint("merge"), "block")
+    found = held.frame.select("block", "lengths", "texts").join(known.hint("merge"), "block").mapInArrow(select, "node binary, n long, weight int, text binary, sigs array<long>")
+    return found.dropDuplicates(["node"])
+
+
 def _verify(pairs: DataFrame, texts: Bucketed, groups: int, n_gram: int, threshold: int) -> DataFrame:
     """Of pairs (``a``, ``b``), which may repeat, those whose sets reach the threshold.
 
@@ -275,7 +334,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component gets null). Other columns are not read; an empty table gives an empty one. Ids are integers.
 
     Token frequencies, over all documents, come from the Golomb-coded exchange between blocks of texts, which are written once. Sets are
-    indexed under signatures(). First each bucket of equal signatures compares its members with one pivot, the set with most
+    indexed under signatures(); a second exchange tells which of these occur more than once, and only sets that hold such ones leave their
+    blocks (_sharing()). First each bucket of equal signatures compares its members with one pivot, the set with most
     signatures, which in a group of near copies is the least altered one; verified links make components. Buckets whose
     members are all in one component are done. In the others, every two members of different components are compared, each
     node with the tiles that hold such partners of it (_meetings()), so no link that joins two components is lost. Copies near to
@@ -315,7 +375,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     yield golomb.messages(row["block"], keys, counts, owners, bits)
 
     parts = golomb.replies(blocks.select("block", "lengths", "texts").mapInArrow(send, golomb.MESSAGE)).groupBy("block").agg(F.collect_list(F.struct("owner", "levels")).alias("parts"))
-    parts = materialise(parts, "levels")
+    parts = Bucketed(parts, "block", "levels").frame
 
     @released
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,24 +387,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 keys, number = np.unique(np.concatenate(tokens) >> shift, return_inverse=True)
                 levels = golomb.joined_levels([(x["owner"], x["levels"]) for x in row["parts"] or ()])
                 ends = np.cumsum([len(own) for own in tokens])
-                out, seen = [], set()
+                out, seen, own_sigs = [], set(), []
                 number = np.split(levels[number.ravel()], ends[:-1])
-                for i, node, text, own, level in zip(row["ids"], nodes, texts, tokens, number, strict=True):
-                    found = None
+                for place, (i, node, text, own, level) in enumerate(zip(row["ids"], nodes, texts, tokens, number, strict=True)):
                     if node and node not in seen:
                         seen.add(node)
-                        found = signatures(own, level, threshold)
+                        if found := signatures(own, level, threshold):
+                            own_sigs.append((place, node, len(own), np.array(sorted(found), np.uint64)))
                     key = xxhash.xxh64_intdigest(text, seed=42) if keyed else None
-                    out.append((i, node, len(own), None if key is None else key - (key >> 63 << 64), text if found else None, np.array(sorted(found), np.uint64).view(np.int64) if found else None))
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], ["id", "node", "n", "k", "text", "sigs"])
-
-    every = held.frame.join(parts.hint("merge"), "block", "left").mapInArrow(index, "id long, node binary, n long, k long, text binary, sigs array<long>")
-    every = materialise(every, "signatures")
-    rows, indexed = every.select("id", "n", "node", *(["k"] if keyed else [])), every.where("sigs is not null")
-    texts = Bucketed(indexed.select("node", "n", "text", "sigs").dropDuplicates(["node"]), "node", "texts")
+                    out.append((row["block"], i, node, len(own), None if key is None else key - (key >> 63 << 64), None, None, None, None, None))
+                if own_sigs:
+                    places, firsts, ns, sigs = zip(*own_sigs, strict=True)
+                    out.append((row["block"], None, None, None, None, places, firsts, ns, [len(x) for x in sigs], np.concatenate(sigs).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], f.type) for j, f in enumerate(_FIELDS)], schema=_FIELDS)
+
+    every = Bucketed(held.frame.join(parts.hint("merge"), "block", "left").mapInArrow(index, _ROWS), "block", "signatures")
+    rows = every.files.where("sigs is null").select("id", "n", "node", *(["k"] if keyed else []))
+    texts = Bucketed(_sharing(held, every, opened), "node", "texts")
     groups = max(partitions(docs.sparkSession), texts.files.count() // VERIFY_TEXTS)
-    members = texts.files.select("node", F.size("sigs").alias("weight"), F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
+    members = texts.files.select("node", "weight", F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
     same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"s{i}") for i in (0, 1)]
     heads = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), *same).where("size > 1")
     heads = heads.groupBy("size", "s0", "s1").agg(F.min("sig").alias("sig")).select("sig", "size")  # buckets with the same members are one
