@@ -12,7 +12,7 @@ from triloom.functions.terms import BOOLEAN, DOUBLE, INTEGER, py_abbreviate, py_
 from triloom.plans.algebra import Op, Pattern
 from triloom.plans.parser import parse
 from triloom.plans.planner import components, plan
-from triloom.plans.relation import TERM, Relation, join, left_join
+from triloom.plans.relation import TERM, Relation, Tiles, join, left_join
 from triloom.sources.federated import FederatedSource
 from triloom.sources.triples import TripleSource, from_rows, read_triples, write_triples
 
@@ -323,6 +323,39 @@ def test_explain(engine):
     assert "born" in text and "Physical Plan" in text
 
 
+def test_few_keys_that_make_many_pairs_are_cut_into_tiles(spark):
+    """A key's pairs are the work of many tasks, whatever bytes they read; before, they were that of one."""
+    from triloom.sources.relational import Mapping, RelationalSource
+
+    hub = spark.createDataFrame([(0,), (1,)], "id int")
+    small = spark.createDataFrame([(i, None if i == 7 else int(i == 5)) for i in range(40)], "id int, hub int")
+    large = spark.createDataFrame([(i, None if i == 9 else int(i % 50 == 0)) for i in range(900)], "id int, hub int")
+    tables = [Mapping("hub", hub, ["id"], rows=2, unique=True), Mapping("small", small, ["id"], {"hub": "hub"}, rows=3200, unique=True), Mapping("large", large, ["id"], {"hub": "hub"}, rows=40_000, unique=True)]
+    found = Engine(spark, RelationalSource(spark, tables), {t: f"urn:t:{t}#" for t in ("small", "large")}).sparql("SELECT ?a ?b { ?a small:hub ?h . ?b large:hub ?h }").typed()
+    want = Counter((f"urn:t:small/{a['id']}", f"urn:t:large/{b['id']}") for a in small.collect() for b in large.collect() if a["hub"] is not None and a["hub"] == b["hub"])
+    assert Counter(map(tuple, found.collect())) == want
+    shares = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 8 and max(shares) < sum(want.values()) / 4
+
+
+@pytest.mark.parametrize("copy_left", [True, False])
+def test_tiles_keep_every_pair(spark, copy_left):
+    left = Relation(spark.createDataFrame([(k, "x") for k in "aab"], "`?k` string, `?l` string"), {"?k": TERM, "?l": TERM})
+    right = Relation(spark.createDataFrame([(k, str(i % 3)) for i in range(20) for k in "abc"], "`?k` string, `?r` string"), {"?k": TERM, "?r": TERM})
+    got = join(left, right, Tiles(7, 5, copy_left))
+    assert list(got.encs) == got.df.columns == ["?k", "?l", "?r"]
+    assert Counter(map(tuple, got.df.collect())) == Counter(map(tuple, join(left, right).df.collect()))
+
+
+def test_only_joins_that_may_make_many_pairs_count_rows(spark, monkeypatch):
+    from triloom.sources.relational import star_schema
+
+    source = star_schema(spark, "/root/testdata/sf0.01")
+    monkeypatch.setattr(source, "_counted", lambda m: pytest.fail("rows were counted"))
+    found = Engine(spark, source, {t: f"urn:t:{t}#" for t in ("supplier", "customer")}).sparql("SELECT ?s ?c { ?s supplier:s_nationkey ?n . ?c customer:c_nationkey ?n }")
+    assert found.typed().count() == 5949
+
+
 def test_a_known_subject_narrows_a_variable_predicate(spark):
     from triloom.sources.relational import Mapping, RelationalSource
 

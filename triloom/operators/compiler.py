@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 from ..functions.expressions import Compiler
 from ..plans.algebra import Bgp, Filter, Group, Pattern, Query, Union, UnsupportedQueryError
-from ..plans.planner import plan
-from ..plans.relation import TERM, Relation, column, join, left_join, nothing, union, unit
+from ..plans.planner import LOOK, Size, Unit, plan
+from ..plans.relation import TERM, Relation, Tiles, column, join, left_join, nothing, union, unit
 from ..sources.base import Source
 
 log = logging.getLogger("triloom.plan")
@@ -53,11 +53,31 @@ class QueryCompiler:
         for i, u in enumerate(units):
             log.info("step %d, about %.0f rows: %s", i, u.count, "; ".join(map(str, u.patterns)))
             found = self.source.star(u.patterns) if len(u.patterns) > 1 else self.match(u.patterns[0], out)
-            out = found if out is None else join(out, found)
+            out = found if out is None else join(out, found, self.tiles(units[:i], u) if start is None else None)
             if out.empty:
                 return nothing(self.spark, names)
         return out.select([v for v in names if v in out.encs])
 
+    def tiles(self, before: list[Unit], new: Unit) -> Tiles | None:
+        """How the join of what came before with a unit is cut; rows are counted only where estimates say that they may make many pairs."""
+        if not set().union(*(u.variables for u in before)) & new.variables:
+            return None
+
+        def sizes(exact: bool) -> tuple[Size, Size, set[str]]:
+            held, known = Size.of(before[0], self.source, exact), before[0].variables
+            for u in before[1:]:
+                held, known = held.joined(Size.of(u, self.source, exact), known & u.variables), known | u.variables
+            return held, Size.of(new, self.source, exact), known & new.variables
+
+        held, size, shared = sizes(False)
+        if held.keys(size, shared) is None or held.joined(size, shared).rows < LOOK:
+            return None
+        held, size, shared = sizes(True)
+        cut = held.tiles(size, shared, self.spark.sparkContext.defaultParallelism)
+        if cut is not None:
+            log.info("about %.0f pairs in %d tasks; each key in %d parts", held.joined(size, shared).rows, cut.tasks, cut.parts)
+        return cut
+
     def match(self, p: Pattern, known: Relation | None) -> Relation:
         """A pattern's solutions; what is known of its subject may narrow where to look."""
         if known is not None and T.py_is_open(p.s) and p.s in known.encs and p.s not in known.maybe:

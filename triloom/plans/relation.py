@@ -146,8 +146,32 @@ def _open_pairs(left: Relation, right: Relation, shared: list[str], open_: list[
     return a.join(b, on, how).select(*values, *[column(v) for v in new], column("#own#right").isNotNull().alias("#hit"), first.alias("#first"))
 
 
-def join(left: Relation, right: Relation) -> Relation:
-    """Compatible pairs. Rows that agree by case, as some shared variable can be unbound, meet in one equi-join (_open_pairs())."""
+@dataclass(frozen=True)
+class Tiles:
+    """How a join whose few keys make many pairs is cut: rows of one side are dealt into parts by a hash of the whole row, so
+    that any row's retry has the same part; the other side's rows go to every part. tasks: how many share the tiles of all keys."""
+
+    parts: int
+    tasks: int
+    copy_left: bool
+
+    def join(self, left: DataFrame, right: DataFrame, shared: list[str]) -> DataFrame:
+        keys = [*shared, "#part"]
+
+        def laid(df: DataFrame, copied: bool) -> DataFrame:
+            whole = F.pmod(F.xxhash64(*[column(v) for v in df.columns]), F.lit(self.parts)).cast("int")
+            part = F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))) if copied else whole
+            return df.select("*", part.alias("#part")).repartition(self.tasks, *[column(v) for v in keys])  # a given number, else they are coalesced by their bytes
+
+        copied, cut = (left, right) if self.copy_left else (right, left)
+        return laid(copied, True).hint("merge").join(laid(cut, False), keys)  # a merge join holds its right side's rows of a key: a tile's
+
+
+def join(left: Relation, right: Relation, tiles: Tiles | None = None) -> Relation:
+    """Compatible pairs. Rows that agree by case, as some shared variable can be unbound, meet in one equi-join (_open_pairs()).
+
+    tiles: for joins on variables that are always bound; others go without.
+    """
     spark = left.df.sparkSession
     names = list(dict.fromkeys([*left.encs, *right.encs]))
     shared = [v for v in left.encs if v in right.encs]
@@ -172,7 +196,8 @@ def join(left: Relation, right: Relation) -> Relation:
         return Relation(_open_pairs(left, right, shared, open_, "inner").select(*[column(v) for v in names]), encs, maybe)
     if not shared:
         return Relation(left.df.crossJoin(right.df).select(*[column(v) for v in names]), encs, maybe)
-    return Relation(left.df.join(right.df, shared).select(*[column(v) for v in names]), encs, maybe)
+    pairs = left.df.join(right.df, shared) if tiles is None else tiles.join(left.df, right.df, shared)
+    return Relation(pairs.select(*[column(v) for v in names]), encs, maybe)
 
 
 def _without(left: Relation, right: Relation, condition) -> Relation:

@@ -48,6 +48,10 @@ class Source:
         """Like count(), for ordering joins; cheaper where a source can."""
         return self.count(p)
 
+    def values(self, p: Pattern, v: str, exact: bool = False) -> float | None:
+        """At most so many terms stand for the variable v in p's matches, or None if that isn't known. exact: by count(), not estimate()."""
+        return None
+
     def match(self, p: Pattern) -> Relation:
         """scan(), or no rows at once for patterns that can't match."""
         if impossible(p):

@@ -131,6 +131,14 @@ class RelationalSource(Source):
             return 0
         return n if T.py_is_open(p.s) else min(n, 50.0)
 
+    def values(self, p: Pattern, v: str, exact: bool = False) -> float | None:
+        """Subjects are as many as rows, and so are the rows that a link can name."""
+        if T.py_is_open(p.p) or p.p == T.RDF_TYPE or (found := self._column(p.p)) is None:
+            return None
+        m, c = found
+        named = m if v == p.s else self.tables[m.links[c]] if v == p.o and c in m.links else None
+        return None if named is None else float(self._counted(named) if exact else self._guessed(named))
+
     def star(self, patterns: list[Pattern]) -> Relation | None:
         """One scan for several patterns on one subject of one table whose key is unique, where joining the patterns is reading the row."""
         found = [self._column(p.p) for p in patterns if p.p != T.RDF_TYPE]
